@@ -1,0 +1,56 @@
+"""Exact token counts with a vocabulary the user supplies."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from .text import estimate_tokens, has_long_run
+
+# Fixed value: the published split pattern of the cl100k encoding.
+CL100K_SPLIT = (
+    r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}"
+    r"| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+)
+
+
+def exact_counter(spark: SparkSession, vocabulary: str):
+    """A pandas UDF counting byte-pair tokens with the ranks in ``vocabulary`` (``.tiktoken`` text format).
+
+    The file is shipped to every executor once; each task builds one encoder for all of its batches.
+    """
+    from pyspark import SparkFiles
+
+    spark.sparkContext.addFile(vocabulary)
+    file_name = vocabulary.rstrip("/").rsplit("/", 1)[-1]
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import tiktoken
+        from tiktoken.load import load_tiktoken_bpe
+
+        encoder = tiktoken.Encoding(
+            name="user_vocabulary",
+            pat_str=CL100K_SPLIT,
+            mergeable_ranks=load_tiktoken_bpe(SparkFiles.get(file_name)),
+            special_tokens={},
+        )
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else len(encoder.encode_ordinary(t))).astype("Int32")
+
+    return count
+
+
+def exact_token_count(spark: SparkSession, content: Column, vocabulary: str) -> Column:
+    """Exact count; empty text has none, and long runs of one character are estimated instead of encoded."""
+    guarded = F.coalesce(has_long_run(content), F.lit(False))
+    counted = exact_counter(spark, vocabulary)(F.when(~guarded, content))
+    return (
+        F.when(F.coalesce(content, F.lit("")) == "", F.lit(0))
+        .when(guarded, estimate_tokens(content))
+        .otherwise(counted)
+        .cast("int")
+    )
