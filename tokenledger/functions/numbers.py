@@ -19,28 +19,30 @@ def or_empty(col: Column, fallback: Column) -> Column:
     return F.when(F.coalesce(col, F.lit("")) == "", fallback).otherwise(col)
 
 
-def to_fixed(x: Column, digits: int) -> Column:
-    """Decimal text of a double, rounded on its exact binary value (half away from zero).
+def fixed_sql(x: str, digits: int) -> str:
+    """SQL for the decimal text of a double, rounded on its exact binary value (half away from zero).
 
     ``format_string`` rounds the shortest decimal form instead, which turns 0.015 into 0.02 although the
     double lies below 0.015. The comparison with the half-way point is made exact by splitting the double.
     """
     scale = 10**digits
-    twice = float(2 * scale)
-    a = F.abs(x)
-    guess = F.floor(a * F.lit(float(scale)) + F.lit(0.5)).cast("double")
-    scaled = a * F.lit(_SPLITTER)
-    high = scaled - (scaled - a)
-    low = a - high
-
-    def reaches(n: Column) -> Column:
-        return ((high * F.lit(twice) - (n * 2 - 1)) + low * F.lit(twice)) >= 0
-
-    n = F.when(reaches(guess + 1), guess + 1).when(reaches(guess), guess).otherwise(guess - 1).cast("bigint")
-    if digits == 0:
-        text = n.cast("string")
-    else:
-        fraction = F.pmod(n, F.lit(scale))
-        whole = ((n - fraction) / F.lit(scale)).cast("bigint").cast("string")
-        text = F.concat(whole, F.lit("."), F.lpad(fraction.cast("string"), digits, "0"))
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), text)
+    a = f"abs({x})"
+    guess = f"double(floor({a} * {scale}D + 0.5D))"
+    high = f"({a} * {_SPLITTER}D - ({a} * {_SPLITTER}D - {a}))"
+
+    def reaches(n: str) -> str:
+        return f"({high} * {2 * scale}D - ({n} * 2 - 1)) + ({a} - {high}) * {2 * scale}D >= 0"
+
+    n = (
+        f"bigint(CASE WHEN {reaches(f'({guess} + 1)')} THEN {guess} + 1 "
+        f"WHEN {reaches(guess)} THEN {guess} ELSE {guess} - 1 END)"
+    )
+    text = f"string({n})"
+    if digits:
+        text = f"concat(string({n} div {scale}), '.', lpad(string({n} % {scale}), {digits}, '0'))"
+    return f"concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, {text})"
+
+
+def to_fixed(x: str, digits: int) -> Column:
+    """:func:`fixed_sql` of a column name or SQL expression."""
+    return F.expr(fixed_sql(x, digits))

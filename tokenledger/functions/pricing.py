@@ -1,8 +1,8 @@
 """Price list, provider aliases, cost and alternatives as columns.
 
 The price list is configuration: a few dozen rows that travel inside the plan. Cost uses a join with a local
-relation (Catalyst sees its size and broadcasts it); alternatives are computed inside the row over a literal
-array, so no usage row is ever multiplied or shuffled.
+relation (Catalyst sees its size and broadcasts it); alternatives are computed inside the row, so no usage row is ever
+multiplied or shuffled.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import ALTERNATIVE
+
 
 class Price(NamedTuple):
     """USD per million tokens. The place in the list (``ord``) breaks cost ties."""
@@ -100,17 +101,11 @@ PRICES: tuple[Price, ...] = _read_list(_LIST)
 
 def price_frame(spark: SparkSession, prices: Sequence[Price] = PRICES) -> DataFrame:
     """The list as a local relation ``(ord, provider, model, input_rate, output_rate, deprecated)``."""
-    table = pa.table(
-        {
-            "ord": pa.array([p.ord for p in prices], pa.int32()),
-            "provider": pa.array([p.provider for p in prices], pa.string()),
-            "model": pa.array([p.model for p in prices], pa.string()),
-            "input_rate": pa.array([p.input_rate for p in prices], pa.float64()),
-            "output_rate": pa.array([p.output_rate for p in prices], pa.float64()),
-            "deprecated": pa.array([p.deprecated for p in prices], pa.bool_()),
-        }
+    rows = ", ".join(
+        f"({p.ord}, '{p.provider}', '{p.model}', {p.input_rate!r}D, {p.output_rate!r}D, {str(p.deprecated).lower()})"
+        for p in prices
     )
-    return spark.createDataFrame(table)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(ord, provider, model, input_rate, output_rate, deprecated)")
 
 
 def canonical_provider(provider: Column) -> Column:
@@ -168,84 +163,100 @@ def _candidates(prices: Sequence[Price], providers: Sequence[str] | None) -> lis
     return [p for name in providers for p in offered if p.provider == name]
 
 
-def _offer(p: Price, place: int) -> Column:
-    return F.struct(
-        F.lit(place).alias("place"),
-        F.lit(p.model).alias("model"),
-        F.lit(p.provider).alias("provider"),
-        F.lit(p.input_rate).alias("rate_in"),
-        F.lit(p.output_rate).alias("rate_out"),
+# Columns every offer is priced from, and the row's own model in canonical form (a missing name matches no offer).
+_OWN = ("_own_provider", "_own_model")
+
+
+def _with_own(df: DataFrame) -> DataFrame:
+    return df.withColumns(
+        {
+            _OWN[0]: F.coalesce(canonical_provider(F.col("provider")), F.lit("")),
+            _OWN[1]: F.coalesce(F.lower("model"), F.lit("")),
+        }
     )
 
 
-def alternatives_column(
-    provider: Column,
-    model: Column,
-    tokens_in: Column,
-    tokens_out: Column,
+def _offer_sql(place: int, p: Price, labelled: bool) -> str:
+    """SQL of one offer as a struct that sorts by cost, then place; null for the row's own model."""
+    cost = f"(input_tokens / 1e6D) * {p.input_rate!r}D + (output_tokens / 1e6D) * {p.output_rate!r}D"
+    label = f", '{p.model}' AS model, '{p.provider}' AS provider" if labelled else ""
+    own = f"_own_model = '{p.model}' AND _own_provider = '{p.provider}'"
+    return f"CASE WHEN NOT ({own}) THEN struct({cost} AS cost, {place} AS place{label}) END"
+
+
+def add_alternatives(
+    df: DataFrame,
     current_cost: Column,
     prices: Sequence[Price] = PRICES,
     providers: Sequence[str] | None = None,
-) -> Column:
-    """Array of other, current models by rising cost: ``(model, provider, cost, savingsPct)``."""
+    name: str = "alternatives",
+) -> DataFrame:
+    """Add an array of the other current models by rising cost: ``(model, provider, cost, savingsPct)``.
+
+    Costs are filled into one array and sorted in generated code; the own model is a null, which sorts first and is
+    cut off. Only the finished array is mapped to its final shape.
+    """
     offers = _candidates(prices, providers)
-    own_provider, own_model = canonical_provider(provider), F.lower(model)
     if not offers:
-        return F.expr("cast(array() as array<struct<model:string,provider:string,cost:double,savingsPct:double>>)")
-    priced = F.transform(
-        F.filter(
-            F.array(*[_offer(p, i) for i, p in enumerate(offers)]),
-            lambda o: ~((o["provider"] == own_provider) & (o["model"] == own_model)),
-        ),
-        lambda o: F.struct(
-            (token_cost(tokens_in, o["rate_in"]) + token_cost(tokens_out, o["rate_out"])).alias("cost"),
-            o["place"].alias("place"),
-            o["model"].alias("model"),
-            o["provider"].alias("provider"),
-        ),
-    )
-    return F.transform(
-        F.array_sort(priced),
-        lambda o: F.struct(
-            o["model"].alias("model"),
-            o["provider"].alias("provider"),
-            o["cost"].alias("cost"),
-            F.when(current_cost > 0, (current_cost - o["cost"]) / current_cost * 100)
-            .otherwise(F.lit(0.0))
-            .alias("savingsPct"),
-        ),
+        return df.withColumn(name, F.expr(f"cast(array() as array<{ALTERNATIVE}>)"))
+    options = ", ".join(_offer_sql(place, p, False) for place, p in enumerate(offers))
+    labels = ", ".join(f"struct('{p.model}' AS model, '{p.provider}' AS provider)" for p in offers)
+    nulls = " + ".join(f"int(_sorted[{i}] IS NULL)" for i in range(_most_repeated(offers)))
+    listed = f"""transform(
+        slice(_sorted, 1 + {nulls}, {len(offers)}),
+        o -> struct(
+            array({labels})[o.place].model AS model,
+            array({labels})[o.place].provider AS provider,
+            o.cost AS cost,
+            CASE WHEN _current > 0 THEN (_current - o.cost) / _current * 100 ELSE 0.0D END AS savingsPct))"""
+    return (
+        _with_own(df)
+        .withColumns({"_current": current_cost, "_sorted": F.expr(f"sort_array(array({options}))")})
+        .withColumn(name, F.expr(listed))
+        .drop(*_OWN, "_current", "_sorted")
     )
 
 
-def best_offer_column(
-    provider: Column,
-    model: Column,
-    tokens_in: Column,
-    tokens_out: Column,
+def _most_repeated(offers: Sequence[Price]) -> int:
+    """How often one model occurs at most (an allow-list may name a provider twice)."""
+    keys = [(p.provider, p.model) for p in offers]
+    return max(keys.count(k) for k in keys)
+
+
+def _possible_winners(offers: Sequence[Price]) -> list[tuple[int, Price]]:
+    """Places and offers that can be cheapest for some token counts (none negative) and some own model.
+
+    An offer is out if two others are never dearer and win every tie: cheaper in both rates, or no dearer in either
+    and earlier in the list. Two, as one of them may be the row's own model. The first two places stay, because
+    without any tokens all costs are equal.
+    """
+
+    def beats(i: int, j: int) -> bool:
+        a, b = offers[i], offers[j]
+        cheaper = a.input_rate < b.input_rate and a.output_rate < b.output_rate
+        return cheaper or (i < j and a.input_rate <= b.input_rate and a.output_rate <= b.output_rate)
+
+    return [
+        (j, offer)
+        for j, offer in enumerate(offers)
+        if j < 2 or sum(beats(i, j) for i in range(len(offers)) if i != j) < 2
+    ]
+
+
+def add_best_offer(
+    df: DataFrame,
     prices: Sequence[Price] = PRICES,
     providers: Sequence[str] | None = None,
-) -> Column:
-    """Cheapest other model as ``(cost, place, model, provider)``, null if there is none.
+    name: str = "best",
+) -> DataFrame:
+    """Add the cheapest other model as ``(cost, place, model, provider)``, null if there is none.
 
-    ``least`` over plain structs stays in generated code, unlike a lambda over an array.
+    Only offers that can win are compared, and ``least`` over plain structs stays in generated code.
     """
     offers = _candidates(prices, providers)
-    own_provider, own_model = canonical_provider(provider), F.lower(model)
-    empty = F.lit(None).cast("struct<cost:double,place:int,model:string,provider:string>")
     if not offers:
-        return empty
-    options = [
-        F.when(
-            ~((own_provider == p.provider) & (own_model == p.model)),
-            F.struct(
-                (token_cost(tokens_in, F.lit(p.input_rate)) + token_cost(tokens_out, F.lit(p.output_rate))).alias(
-                    "cost"
-                ),
-                F.lit(place).alias("place"),
-                F.lit(p.model).alias("model"),
-                F.lit(p.provider).alias("provider"),
-            ),
-        )
-        for place, p in enumerate(offers)
-    ]
-    return F.least(*options) if len(options) > 1 else options[0]
+        nothing = F.lit(None).cast("struct<cost:double,place:int,model:string,provider:string>")
+        return df.withColumn(name, nothing)
+    options = [_offer_sql(place, p, True) for place, p in _possible_winners(offers)]
+    best = f"least({', '.join(options)})" if len(options) > 1 else options[0]
+    return _with_own(df).withColumn(name, F.expr(best)).drop(*_OWN)

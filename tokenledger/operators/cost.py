@@ -11,8 +11,8 @@ from ..config import Config
 from ..functions.pricing import (
     PRICES,
     Price,
-    alternatives_column,
-    best_offer_column,
+    add_alternatives,
+    add_best_offer,
     canonical_provider,
     price_frame,
     with_cost,
@@ -34,18 +34,8 @@ def with_alternatives(
 ) -> DataFrame:
     """Add ``alternatives``: every other current model by rising cost, with the saving against this row's model."""
     priced = with_cost(usage, prices=prices, names=("_cost_in", "_cost_out"))
-    return priced.withColumn(
-        "alternatives",
-        alternatives_column(
-            F.col("provider"),
-            F.col("model"),
-            F.col("input_tokens"),
-            F.col("output_tokens"),
-            F.col("_cost_in") + F.col("_cost_out"),
-            prices,
-            providers,
-        ),
-    ).drop("_cost_in", "_cost_out")
+    current = F.col("_cost_in") + F.col("_cost_out")
+    return add_alternatives(priced, current, prices, providers).drop("_cost_in", "_cost_out")
 
 
 def alternatives(
@@ -63,12 +53,7 @@ def with_best_offer(
     usage: DataFrame, prices: Sequence[Price] = PRICES, providers: Sequence[str] | None = None, name: str = "best"
 ) -> DataFrame:
     """Add the cheapest alternative as a struct, without building the whole list."""
-    return usage.withColumn(
-        name,
-        best_offer_column(
-            F.col("provider"), F.col("model"), F.col("input_tokens"), F.col("output_tokens"), prices, providers
-        ),
-    )
+    return add_best_offer(usage, prices, providers, name)
 
 
 def best_alternative(

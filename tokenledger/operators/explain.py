@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.numbers import or_zero, to_fixed
-from ..functions.pricing import PRICES, Price, alternatives_column, best_offer_column, price_frame, with_cost
+from ..functions.numbers import fixed_sql, or_zero, to_fixed
+from ..functions.pricing import PRICES, Price, add_alternatives, add_best_offer, price_frame, with_cost
 from ..functions.text import SPACE
 
 # Thresholds in percent, and the points each problem adds to the estimated saving.
@@ -53,85 +53,85 @@ def part_facts(variables: DataFrame) -> DataFrame:
     )
 
 
-def _judge(part: Column, total: Column) -> Column:
-    """Struct of one part's share, its findings, and the points it adds."""
-    name, raw = part["name"], part["token_count"] / total * 100
-    pct = F.least(raw, F.lit(100.0))
-    dominant, discrepant = pct > DOMINANCE_PCT, raw > DISCREPANCY_PCT
-    bloated = (name == "context") & (pct > CONTEXT_PCT)
-    aged = F.startswith(name, F.lit("history")) & (pct > HISTORY_PCT)
-    wasteful = F.coalesce(part["waste_pct"] > WASTE_PCT, F.lit(False))
-    quoted = F.concat(F.lit("'"), name, F.lit("'"))
-
-    issues = [
-        F.when(
-            dominant,
-            F.concat(
-                F.lit("Parameter Dominance: "), quoted, F.lit(" uses "), to_fixed(pct, 1),
-                F.lit("% of total prompt weight."),
-            ),
+# Tests on one part ``p`` whose shares are known.
+_DOMINANT = f"p.pct > {DOMINANCE_PCT}"
+_DISCREPANT = f"p.raw > {DISCREPANCY_PCT}"
+_BLOATED = f"p.name = 'context' AND p.pct > {CONTEXT_PCT}"
+_AGED = f"startswith(p.name, 'history') AND p.pct > {HISTORY_PCT}"
+_WASTEFUL = f"coalesce(p.waste_pct > {WASTE_PCT}, false)"
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sentence(*pieces: str) -> str:
+    return f"concat({', '.join(pieces)})"
+
+
+def _cases(*pairs: tuple[str, str]) -> str:
+    """Array of the texts whose test holds, in order."""
+    return "array_compact(array(" + ", ".join(f"CASE WHEN {test} THEN {text} END" for test, text in pairs) + "))"
+
+
+def _judged_sql(parts: str) -> str:
+    """SQL array of structs, one per part: its analysis, issues, advice and points."""
+    quoted = "concat('\\'', p.name, '\\'')"
+    issues = _cases(
+        (
+            _DOMINANT,
+            _sentence("'Parameter Dominance: '", quoted, "' uses '", fixed_sql("p.pct", 1), "'% of total prompt weight.'"),
         ),
-        F.when(
-            discrepant,
-            F.concat(
-                F.lit("Tokenizer Discrepancy: Local estimate for "), quoted, F.lit(" is "), to_fixed(raw, 0),
-                F.lit("% of reported total."),
+        (
+            _DISCREPANT,
+            _sentence(
+                "'Tokenizer Discrepancy: Local estimate for '", quoted, "' is '", fixed_sql("p.raw", 0),
+                "'% of reported total.'",
             ),
         ),
-        F.when(bloated, F.concat(F.lit("Context Bloat: RAG/Context takes "), to_fixed(pct, 1), F.lit("% of tokens."))),
-        F.when(
-            aged, F.concat(F.lit("History Bloat: Conversation history takes "), to_fixed(pct, 1), F.lit("% of tokens."))
-        ),
-        F.when(
-            wasteful,
-            F.concat(
-                F.lit("Whitespace Waste: "), quoted, F.lit(" has "), to_fixed(part["waste_pct"], 1),
-                F.lit("% redundant whitespace."),
-            ),
+        (_BLOATED, _sentence("'Context Bloat: RAG/Context takes '", fixed_sql("p.pct", 1), "'% of tokens.'")),
+        (_AGED, _sentence("'History Bloat: Conversation history takes '", fixed_sql("p.pct", 1), "'% of tokens.'")),
+        (
+            _WASTEFUL,
+            _sentence("'Whitespace Waste: '", quoted, "' has '", fixed_sql("p.waste_pct", 1), "'% redundant whitespace.'"),
         ),
-    ]
-    advice = [
-        F.when(
-            dominant,
-            F.concat(
-                F.lit("Apply semantic compression to "), quoted,
-                F.lit(
-                    ". Summarizing this part could be ~70% effective in reducing total input tokens "
-                    "without context loss."
-                ),
+    )
+    advice = _cases(
+        (
+            _DOMINANT,
+            _sentence(
+                "'Apply semantic compression to '", quoted,
+                "'. Summarizing this part could be ~70% effective in reducing total input tokens without context loss.'",
             ),
         ),
-        F.when(discrepant, F.lit(DISCREPANCY_ADVICE)),
-        F.when(bloated, F.lit(CONTEXT_ADVICE)),
-        F.when(aged, F.lit(HISTORY_ADVICE)),
-        F.when(wasteful, F.concat(F.lit("Normalize whitespace in "), quoted, F.lit(" before sending to LLM."))),
-    ]
+        (_DISCREPANT, _sql_text(DISCREPANCY_ADVICE)),
+        (_BLOATED, _sql_text(CONTEXT_ADVICE)),
+        (_AGED, _sql_text(HISTORY_ADVICE)),
+        (_WASTEFUL, _sentence("'Normalize whitespace in '", quoted, "' before sending to LLM.'")),
+    )
 
-    def pick(history: str, context: str, dominance: str, waste: str) -> Column:
+    def pick(history: str, context: str, dominance: str, waste: str) -> str:
         # A later, more specific finding replaces an earlier one; waste only fills a gap.
-        return (
-            F.when(aged, F.lit(history))
-            .when(bloated, F.lit(context))
-            .when(dominant, F.lit(dominance))
-            .when(wasteful, F.lit(waste))
-        )
+        pairs = ((_AGED, history), (_BLOATED, context), (_DOMINANT, dominance), (_WASTEFUL, waste))
+        return "CASE " + " ".join(f"WHEN {t} THEN {_sql_text(v)}" for t, v in pairs) + " END"
 
-    points = sum(
-        F.when(test, F.lit(p)).otherwise(F.lit(0))
-        for test, p in ((dominant, DOMINANCE_POINTS), (bloated, CONTEXT_POINTS), (aged, HISTORY_POINTS))
-    )
-    return F.struct(
-        F.struct(
-            name.alias("variable_name"),
-            part["token_count"].cast("int").alias("token_count"),
-            pct.alias("percentage"),
-            pick(HISTORY_REASON, CONTEXT_REASON, DOMINANCE_REASON, WASTE_REASON).alias("waste_reason"),
-            pick(HISTORY_FIX, CONTEXT_FIX, DOMINANCE_FIX, WASTE_FIX).alias("recommendation"),
-        ).alias("analysis"),
-        F.array_compact(F.array(*issues)).alias("issues"),
-        F.array_compact(F.array(*advice)).alias("advice"),
-        points.alias("points"),
+    points = " + ".join(
+        f"CASE WHEN {t} THEN {n} ELSE 0 END"
+        for t, n in ((_DOMINANT, DOMINANCE_POINTS), (_BLOATED, CONTEXT_POINTS), (_AGED, HISTORY_POINTS))
     )
+    shares = f"""transform({parts}, q -> struct(
+        q.name AS name, q.token_count AS token_count, q.waste_pct AS waste_pct,
+        q.token_count / total_tokens * 100 AS raw, least(q.token_count / total_tokens * 100, 100D) AS pct))"""
+    return f"""transform({shares}, p -> struct(
+        struct(
+            p.name AS variable_name,
+            int(p.token_count) AS token_count,
+            p.pct AS percentage,
+            {pick(HISTORY_REASON, CONTEXT_REASON, DOMINANCE_REASON, WASTE_REASON)} AS waste_reason,
+            {pick(HISTORY_FIX, CONTEXT_FIX, DOMINANCE_FIX, WASTE_FIX)} AS recommendation) AS analysis,
+        {issues} AS issues,
+        {advice} AS advice,
+        {points} AS points))"""
 
 
 def split_tokens(usage: DataFrame) -> DataFrame:
@@ -147,10 +147,7 @@ def split_tokens(usage: DataFrame) -> DataFrame:
 
 def migration(usage: DataFrame, prices: Sequence[Price] = PRICES) -> DataFrame:
     """Add ``best`` (offer struct), ``saving_pct`` against the logged cost, and ``migrate`` (saving above 10 %)."""
-    rows = usage.withColumn(
-        "best",
-        best_offer_column(F.col("provider"), F.col("model"), F.col("input_tokens"), F.col("output_tokens"), prices),
-    )
+    rows = add_best_offer(usage, prices)
     current = F.coalesce(F.col("total_cost"), F.lit(0.0))
     saving = F.when(current > 0, (current - F.col("best.cost")) / current * 100).otherwise(F.lit(0.0))
     return rows.withColumn("saving_pct", saving).withColumn(
@@ -177,25 +174,10 @@ def explain(usage: DataFrame, variables: DataFrame, prices: Sequence[Price] = PR
     )
     rows = rows.join(retired, (F.lower("provider") == F.col("_p")) & (F.lower("model") == F.col("_m")), "left")
     rows = with_cost(migration(rows, prices), prices=prices, names=("_cost_in", "_cost_out"))
-    rows = rows.withColumn(
-        "mce_alternatives",
-        alternatives_column(
-            F.col("provider"),
-            F.col("model"),
-            F.col("input_tokens"),
-            F.col("output_tokens"),
-            F.col("_cost_in") + F.col("_cost_out"),
-            prices,
-        ),
-    )
+    rows = add_alternatives(rows, F.col("_cost_in") + F.col("_cost_out"), prices, name="mce_alternatives")
+    no_parts = "cast(array() as array<struct<position:int,name:string,token_count:int,waste_pct:double>>)"
     joined = rows.join(gathered, F.col("id") == F.col("usage_id"), "left").withColumn(
-        "_judged",
-        F.transform(
-            F.coalesce(
-                "_parts", F.expr("cast(array() as array<struct<position:int,name:string,token_count:int,waste_pct:double>>)")
-            ),
-            lambda p: _judge(p, F.col("total_tokens")),
-        ),
+        "_judged", F.expr(_judged_sql(f"coalesce(_parts, {no_parts})"))
     )
     retired_now = F.coalesce("_retired", F.lit(False))
     move = F.col("migrate")
@@ -229,7 +211,7 @@ def explain(usage: DataFrame, variables: DataFrame, prices: Sequence[Price] = PR
                             F.lit("/"),
                             F.col("best.model"),
                             F.lit(" could reduce this prompt's cost by "),
-                            to_fixed(F.col("saving_pct"), 0),
+                            to_fixed("saving_pct", 0),
                             F.lit("%."),
                         ),
                     ),
@@ -260,10 +242,9 @@ def backfill_plans(plans: DataFrame, usage: DataFrame, prices: Sequence[Price] =
     priced = F.col("_cost_in") + F.col("_cost_out")
     missing = (F.coalesce("mce_best_alternative_model", F.lit("")) == "") | F.col("mce_alternatives").isNull()
     base = F.when(priced > 0, priced).otherwise(F.coalesce("total_cost", F.lit(0.0)))
-    tokens = (F.col("provider"), F.col("model"), F.col("input_tokens"), F.col("output_tokens"))
     joined = (
-        joined.withColumn("_fill", missing & F.col("provider").isNotNull())
-        .withColumn("_best", best_offer_column(*tokens, prices))
+        add_best_offer(joined, prices, name="_best")
+        .withColumn("_fill", missing & F.col("provider").isNotNull())
         .withColumn("_base", base)
         .withColumn(
             "_saving",
@@ -273,11 +254,10 @@ def backfill_plans(plans: DataFrame, usage: DataFrame, prices: Sequence[Price] =
         )
         .withColumn("_move", F.col("_fill") & F.coalesce(F.col("_saving") > MIN_MIGRATION_SAVING, F.lit(False)))
     )
+    joined = add_alternatives(joined, priced, prices, name="_listed")
     fill, move = F.col("_fill"), F.col("_move")
     filled = {
-        "mce_alternatives": F.when(fill, alternatives_column(*tokens, priced, prices)).otherwise(
-            F.col("mce_alternatives")
-        ),
+        "mce_alternatives": F.when(fill, F.col("_listed")).otherwise(F.col("mce_alternatives")),
         "mce_best_alternative_model": F.when(move, F.col("_best.model")).otherwise(F.col("mce_best_alternative_model")),
         "mce_best_alternative_provider": F.when(move, F.col("_best.provider")).otherwise(
             F.col("mce_best_alternative_provider")
@@ -352,10 +332,10 @@ def parse_analysis(
         "left",
     )
     rows = with_cost(rows, prices=prices, names=("_cost_in", "_cost_out"))
-    tokens = (F.col("provider"), F.col("model"), F.col("input_tokens"), F.col("output_tokens"))
     allowed = cfg.comparison_providers or None
     ok = F.col("_json").isNotNull()
-    rows = rows.withColumn("_best", F.when(ok, best_offer_column(*tokens, prices, allowed)))
+    rows = add_best_offer(rows, prices, allowed, "_best").withColumn("_best", F.when(ok, F.col("_best")))
+    rows = add_alternatives(rows, F.col("_cost_in") + F.col("_cost_out"), prices, allowed, "_listed")
     spent, best_cost = F.col("total_cost"), F.col("_best.cost")
     return rows.select(
         "usage_id",
@@ -368,7 +348,5 @@ def parse_analysis(
         best_cost.alias("mce_best_alternative_cost"),
         # A call that cost nothing has no meaningful percentage.
         F.when(spent > 0, (spent - best_cost) / spent * 100).alias("mce_savings_pct"),
-        F.when(
-            ok, alternatives_column(*tokens, F.col("_cost_in") + F.col("_cost_out"), prices, allowed)
-        ).alias("mce_alternatives"),
+        F.when(ok, F.col("_listed")).alias("mce_alternatives"),
     )

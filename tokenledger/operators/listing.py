@@ -119,9 +119,10 @@ def listing(
     return page(rows, number, sort, size)
 
 
-def cost_text(cost: Column) -> Column:
-    """Cost for display: 0 as ``0.00``, below a cent with 6 decimals, else with 2."""
-    return F.when(cost == 0, F.lit("0.00")).when(cost < 0.01, to_fixed(cost, 6)).otherwise(to_fixed(cost, 2))
+def cost_text(cost: str) -> Column:
+    """Text of a cost column for display: 0 as ``0.00``, below a cent with 6 decimals, else with 2."""
+    value = F.expr(cost)
+    return F.when(value == 0, F.lit("0.00")).when(value < 0.01, to_fixed(cost, 6)).otherwise(to_fixed(cost, 2))
 
 
 def terminal_rows(usage: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def terminal_rows(usage: DataFrame) -> DataFrame:
         F.substring("id", 1, 8).alias("short_id"),
         "model",
         "total_tokens",
-        F.concat(F.lit("$"), to_fixed(F.col("total_cost"), 4)).alias("cost"),
+        F.concat(F.lit("$"), to_fixed("total_cost", 4)).alias("cost"),
     )
 
 

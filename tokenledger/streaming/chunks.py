@@ -38,45 +38,53 @@ def fold_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Add new chunks of one reply to its state; emit when every chunk up to the end marker is there, or on timeout."""
-    texts, seqs, usage_seq, tokens_in, tokens_out, count, last_seq = (
-        state.get if state.exists else ([], [], -1, 0, 0, 0, -1)
-    )
-    texts, seqs = list(texts), list(seqs)
-    if not state.hasTimedOut:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                texts.append(row.text if isinstance(row.text, str) else "")
-                seqs.append(int(row.seq))
-                count += 1
-                used = (int(row.prompt_tokens or 0), int(row.output_tokens or 0))
-                if any(used) and row.seq > usage_seq:
-                    usage_seq, (tokens_in, tokens_out) = int(row.seq), used
-                if row.is_last:
-                    last_seq = int(row.seq)
-        if last_seq < 0 or count <= last_seq:
-            state.update((texts, seqs, usage_seq, tokens_in, tokens_out, count, last_seq))
-            state.setTimeoutDuration(10 * 60 * 1000)
-            return
-    state.remove()
-    ordered = [t for _, t in sorted(zip(seqs, texts))]
-    yield pd.DataFrame(
-        {
-            "stream_id": [key[0]],
-            "response_content": ["".join(ordered)],
-            "input_tokens": [tokens_in],
-            "output_tokens": [tokens_out],
-            "chunks": [count],
-            "complete": [last_seq >= 0],
-        }
-    )
+def _folder(idle_ms: int | None):
+    """The state function, nested so that it travels to the workers by value."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Add new chunks of one reply to its state; emit when every chunk up to the end marker is there, or on timeout."""
+        texts, seqs, usage_seq, tokens_in, tokens_out, count, last_seq = (
+            state.get if state.exists else ([], [], -1, 0, 0, 0, -1)
+        )
+        texts, seqs = list(texts), list(seqs)
+        if not state.hasTimedOut:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    texts.append(row.text if isinstance(row.text, str) else "")
+                    seqs.append(int(row.seq))
+                    count += 1
+                    used = (int(row.prompt_tokens or 0), int(row.output_tokens or 0))
+                    if any(used) and row.seq > usage_seq:
+                        usage_seq, (tokens_in, tokens_out) = int(row.seq), used
+                    if row.is_last:
+                        last_seq = int(row.seq)
+            if last_seq < 0 or count <= last_seq:
+                state.update((texts, seqs, usage_seq, tokens_in, tokens_out, count, last_seq))
+                if idle_ms:
+                    state.setTimeoutDuration(idle_ms)
+                return
+        state.remove()
+        ordered = [t for _, t in sorted(zip(seqs, texts))]
+        yield pd.DataFrame(
+            {
+                "stream_id": [key[0]],
+                "response_content": ["".join(ordered)],
+                "input_tokens": [tokens_in],
+                "output_tokens": [tokens_out],
+                "chunks": [count],
+                "complete": [last_seq >= 0],
+            }
+        )
 
+    return fold
 
-def fold_chunk_stream(chunks: DataFrame) -> DataFrame:
-    """:func:`fold_chunks` on a stream: state per reply until its end marker, at most ten minutes of silence.
 
-    ``seq`` counts from 0. A reply is one model answer, so its state is bounded by the model's output limit.
+def fold_chunk_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """:func:`fold_chunks` on a stream: state per reply until its end marker.
+
+    With ``idle_ms`` a reply that gets no chunk for so long is emitted as it is, marked incomplete (needs a trigger
+    that keeps running). ``seq`` counts from 0. A reply is one model answer, so its state is bounded by the model's
+    output limit.
     """
     rows = chunks.select(
         "stream_id",
@@ -86,6 +94,5 @@ def fold_chunk_stream(chunks: DataFrame) -> DataFrame:
         F.coalesce("output_tokens", F.lit(0)).cast("bigint").alias("output_tokens"),
         F.coalesce("is_last", F.lit(False)).alias("is_last"),
     )
-    return rows.groupBy("stream_id").applyInPandasWithState(
-        _fold_group, FOLDED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("stream_id").applyInPandasWithState(_folder(idle_ms), FOLDED, _STATE, "append", timeout)

@@ -116,23 +116,28 @@ def _known_before(spark: SparkSession, target: str, batch_id: int) -> DataFrame:
 HEARTBEAT = "request_id string, id string, timestamp timestamp, status string, confidence double, previous_status string"
 
 
-def _chain(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Give each verdict of one request the status before it; only that one status is kept."""
-    rows = pd.concat(list(batches)).sort_values(["timestamp", "id"], kind="stable")
-    previous = state.get[0] if state.exists else None
-    chained = rows["status"].shift(1)
-    chained.iloc[0] = previous
-    state.update((rows["status"].iloc[-1],))
-    yield pd.DataFrame(
-        {
-            "request_id": key[0],
-            "id": rows["id"],
-            "timestamp": rows["timestamp"],
-            "status": rows["status"],
-            "confidence": rows["confidence"],
-            "previous_status": chained.astype(object).where(chained.notna(), None),
-        }
-    )
+def _chainer():
+    """The state function, nested so that it travels to the workers by value."""
+
+    def chain(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Give each verdict of one request the status before it; only that one status is kept."""
+        rows = pd.concat(list(batches)).sort_values(["timestamp", "id"], kind="stable")
+        previous = state.get[0] if state.exists else None
+        chained = rows["status"].shift(1)
+        chained.iloc[0] = previous
+        state.update((rows["status"].iloc[-1],))
+        yield pd.DataFrame(
+            {
+                "request_id": key[0],
+                "id": rows["id"],
+                "timestamp": rows["timestamp"],
+                "status": rows["status"],
+                "confidence": rows["confidence"],
+                "previous_status": chained.astype(object).where(chained.notna(), None),
+            }
+        )
+
+    return chain
 
 
 def heartbeat_state(verdicts: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -145,7 +150,7 @@ def heartbeat_state(verdicts: DataFrame, threshold: float = 0.7) -> DataFrame:
         "request_id", "id", F.col("timestamp").cast("timestamp").alias("timestamp"), "status", "confidence"
     )
     chained = rows.groupBy("request_id").applyInPandasWithState(
-        _chain, HEARTBEAT, "status string", "append", GroupStateTimeout.NoTimeout
+        _chainer(), HEARTBEAT, "status string", "append", GroupStateTimeout.NoTimeout
     )
     return chained.withColumn("stop", kill(F.col("status"), F.col("confidence"), threshold))
 
