@@ -44,8 +44,13 @@ def mask_pii(parts: DataFrame) -> DataFrame:
 def _explode_findings(parts: DataFrame, findings) -> DataFrame:
     return (
         parts.withColumn("_low", F.lower("content"))
-        .select(*_PART, F.explode(findings(F.col("content"), F.col("_low"))).alias("f"))
-        .select(*_PART, "f.*")
+        .select(
+            "usage_id",
+            "position",
+            F.col("name").alias("target"),
+            F.explode(findings(F.col("content"), F.col("_low"))).alias("f"),
+        )
+        .select("usage_id", "position", "target", "f.*")
     )
 
 

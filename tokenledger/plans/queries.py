@@ -97,25 +97,25 @@ def provider_aliases(spark, sf_dir):
 @query
 def stats_totals(spark, sf_dir):
     return reports.totals(reports.scope(views.usage(spark, sf_dir), "org_1")).select(
-        "total_tokens", _r("total_cost", 6), "cache_saved_tokens", "compression_saved_tokens", "total_saved_tokens",
-        _r("total_saved_cost", 6), "total_requests", "total_cache_hits",
+        "total_tokens", _r("total_cost"), "cache_saved_tokens", "compression_saved_tokens", "total_saved_tokens",
+        _r("total_saved_cost"), "total_requests", "total_cache_hits",
     )
 
 
 @query
 def stats_by_provider(spark, sf_dir):
-    return reports.by_provider(views.usage(spark, sf_dir)).select("provider", "total_tokens", _r("total_cost", 6))
+    return reports.by_provider(views.usage(spark, sf_dir)).select("provider", "total_tokens", _r("total_cost"))
 
 
 @query
 def stats_by_model(spark, sf_dir):
-    return reports.by_model(views.usage(spark, sf_dir)).select("model", "total_tokens", _r("total_cost", 6))
+    return reports.by_model(views.usage(spark, sf_dir)).select("model", "total_tokens", _r("total_cost"))
 
 
 @query
 def stats_breakdowns(spark, sf_dir):
     return reports.breakdowns(views.usage(spark, sf_dir)).select(
-        "dimension", "value", "total_tokens", _r("total_cost", 6)
+        "dimension", "value", "total_tokens", _r("total_cost")
     )
 
 
@@ -128,7 +128,7 @@ def cache_hit_counts(spark, sf_dir):
 
 @query
 def avg_cost(spark, sf_dir):
-    return reports.totals(views.usage(spark, sf_dir)).select(_r("avg_cost"))
+    return reports.totals(views.usage(spark, sf_dir)).select(_r("avg_cost", 12))
 
 
 @query
@@ -188,9 +188,9 @@ def model_savings(spark, sf_dir):
         .agg(
             F.count("id").alias("requests"),
             F.sum("total_tokens").alias("total_tokens"),
-            F.round(F.sum("total_cost"), 6).alias("total_cost"),
-            F.round(F.sum("best.cost"), 6).alias("cheapest_cost"),
-            F.round(F.sum(F.when(gain > 0, gain).otherwise(0.0)), 6).alias("potential_savings"),
+            F.round(F.sum("total_cost"), 9).alias("total_cost"),
+            F.round(F.sum("best.cost"), 9).alias("cheapest_cost"),
+            F.round(F.sum(F.when(gain > 0, gain).otherwise(0.0)), 9).alias("potential_savings"),
         )
         .orderBy(F.desc("total_cost"), "provider", "model")
     )
@@ -202,10 +202,10 @@ def stats_report(spark, sf_dir):
     hits = ingest.pii_hit_rows(views.texts(spark, sf_dir))
     alerts = scan.injection_findings(views.texts(spark, sf_dir))
     return reports.stats_report(usage, hits, alerts).select(
-        "total_tokens", _r("total_cost", 6), "total_saved_tokens", "total_requests", "total_cache_hits",
+        "total_tokens", _r("total_cost"), "total_saved_tokens", "total_requests", "total_cache_hits",
         F.col("pii_hits").cast("bigint").alias("pii_hits"),
         F.col("security_alerts").cast("bigint").alias("security_alerts"),
-        _r("potential_savings"), _r("avg_cost"),
+        _r("potential_savings"), _r("avg_cost", 12),
     )
 
 
@@ -237,7 +237,7 @@ def monthly_budget(spark, sf_dir):
     )
     allowed, refused = reports.budget(usage, caps)
     rows = allowed.unionByName(refused)
-    return rows.select("id", "project_id", _r("month_to_date", 6), "budget_exceeded")
+    return rows.select("id", "project_id", _r("month_to_date"), "budget_exceeded")
 
 
 # --- listings ---------------------------------------------------------------------------------------------------
@@ -710,7 +710,7 @@ def construct_rejects(spark, sf_dir):
 @query
 def construct_plans(spark, sf_dir):
     return _constructed(spark, sf_dir)["explain_plans"].select(
-        "usage_id", "estimated_savings_pct", _r("estimated_savings_usd"),
+        "usage_id", "estimated_savings_pct", _r("estimated_savings_usd", 12),
         F.size("variable_analysis").cast("bigint").alias("n_parts"),
     )
 
@@ -737,7 +737,7 @@ def cache_savings(spark, sf_dir):
     rows = cache.replay_cache(views.document_calls(spark, sf_dir))
     return rows.groupBy("type").agg(
         F.count("*").alias("n"), F.sum("saved_tokens").alias("saved_tokens"),
-        F.round(F.sum("saved_cost"), 6).alias("saved_cost"),
+        F.round(F.sum("saved_cost"), 9).alias("saved_cost"),
     )
 
 
@@ -785,7 +785,7 @@ def explain_parts(spark, sf_dir):
 @query
 def explain_rollup(spark, sf_dir):
     return _plans(spark, sf_dir).select(
-        "usage_id", "estimated_savings_pct", _r("estimated_savings_usd"),
+        "usage_id", "estimated_savings_pct", _r("estimated_savings_usd", 12),
         F.size("detected_issues").cast("bigint").alias("n_issues"),
         F.size("optimization_suggestions").cast("bigint").alias("n_suggestions"),
         F.size("mce_alternatives").cast("bigint").alias("n_alternatives"),
@@ -972,7 +972,7 @@ def stream_stats_daily(spark, sf_dir):
 
 def _daily(rows: DataFrame) -> DataFrame:
     return rows.select(
-        _micros("window_start", "day"), "org_id", "provider", "model", "total_tokens", _r("total_cost", 6),
+        _micros("window_start", "day"), "org_id", "provider", "model", "total_tokens", _r("total_cost"),
         "cache_saved_tokens", "compression_saved_tokens", "total_requests", "total_cache_hits",
     )
 
