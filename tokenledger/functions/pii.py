@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 
 from .text import SPACE
 
-# ASCII word boundary; Java's own \b also looks at other letters.
+# ASCII word boundaries; Java's own \b also looks at other letters. A match ends in a digit, so its end only needs a
+# following character that is no word character; one that starts with a digit is tested after that digit, which lets
+# the search skip ordinary text.
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_END = r"(?![A-Za-z0-9_])"
+_PHONE_BODY = rf"\(?[0-9]{{3}}\)?[-.{SPACE}]?[0-9]{{3}}[-.{SPACE}]?[0-9]{{4}}"
 
 
 class Pattern(NamedTuple):
-    """``needles``: lower-case strings of which one must occur in the lower-cased text."""
+    """``needles``: strings of which one must occur in the lower-cased text; ``probe``: a cheaper pattern that must
+    match."""
 
     kind: str
     regex: str
-    needles: tuple[str, ...]
+    needles: tuple[str, ...] = ()
+    probe: str | None = None
 
 
 # Kinds and patterns, in the order that breaks ties between equal positions.
@@ -33,11 +39,11 @@ PATTERNS = (
         r"(?i)(?:sk|pk|key|api|auth)-(?:live|test)?[a-zA-Z0-9]{20,}",
         ("sk-", "pk-", "key-", "api-", "auth-"),
     ),
-    Pattern("ssn", rf"{_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_EDGE}", ("-",)),
+    Pattern("ssn", rf"[0-9](?<![A-Za-z0-9_][0-9])[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}{_END}", ("-",)),
     Pattern(
         "phone",
-        rf"{_EDGE}(?:\+?[0-9]{{1,3}}[-.{SPACE}]?)?\(?[0-9]{{3}}\)?[-.{SPACE}]?[0-9]{{3}}[-.{SPACE}]?[0-9]{{4}}{_EDGE}",
-        (),
+        rf"(?=[+(0-9]){_EDGE}(?:\+?[0-9]{{1,3}}[-.{SPACE}]?)?{_PHONE_BODY}{_END}",
+        probe=_PHONE_BODY,
     ),
 )
 
@@ -54,6 +60,8 @@ def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
 
 def _hit(pattern: Pattern, content: Column, lowered: Column) -> Column:
     found = F.rlike(content, F.lit(pattern.regex))
+    if pattern.probe:
+        found = F.rlike(content, F.lit(pattern.probe)) & found
     if pattern.needles:
         found = contains_any(lowered, pattern.needles) & found
     return F.coalesce(found, F.lit(False))

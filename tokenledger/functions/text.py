@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The white space characters of the log's own text rules (wider than Java's \s).
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
+# The same characters as plain text, for functions that take a set of characters.
+SPACE_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
 # Fixed value: a run of this many equal characters makes token counting fall back to the estimate.
 LONG_RUN = 300
 
@@ -27,13 +33,17 @@ def text_length(content: Column) -> Column:
 
 
 def trim_space(content: Column) -> Column:
-    """Strip white space at both ends; the look-behind starts one attempt per run, so it stays linear."""
-    return F.regexp_replace(content, rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
+    """Strip white space at both ends."""
+    return F.btrim(content, F.lit(SPACE_CHARS))
 
 
 def squeeze_space(content: Column) -> Column:
-    """Runs of blanks to one space, three or more line ends to two, then trim."""
-    one_space = F.regexp_replace(content, r"[ \t]+", " ")
+    """Runs of blanks to one space, three or more line ends to two, then trim.
+
+    A single space would be replaced by itself, so only longer runs and tabs are, and texts without any are left alone.
+    """
+    wide = F.contains(content, F.lit("  ")) | F.contains(content, F.lit("\t"))
+    one_space = F.when(wide, F.regexp_replace(content, r"[ \t]{2,}|\t", " ")).otherwise(content)
     two_lines = F.regexp_replace(one_space, rf"\n[{SPACE}]*\n[{SPACE}]*\n+", "\n\n")
     return trim_space(two_lines)
 
@@ -46,9 +56,16 @@ def minify_json(content: Column) -> Column:
     return F.when(valid, compact).otherwise(content)
 
 
-def compress(content: Column) -> Column:
-    """White space compression followed by JSON minification."""
-    return minify_json(squeeze_space(content))
+def with_compressed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Add ``name``: white space compression, then JSON minification, of ``column``.
+
+    Two steps, as the second one uses the result of the first several times.
+    """
+    return (
+        df.withColumn("_squeezed", squeeze_space(F.col(column)))
+        .withColumn(name, minify_json(F.col("_squeezed")))
+        .drop("_squeezed")
+    )
 
 
 def entropy(token: Column) -> Column:

@@ -42,7 +42,8 @@ WASTE_FIX = "Enable lossless compression for this project."
 def whitespace_waste(content: Column) -> Column:
     """Percent of a text that is redundant white space; null unless it contains two spaces in a row."""
     size = F.length(content)
-    cleaned = F.length(F.regexp_replace(content, rf"[{SPACE}]+", " "))
+    # A single white space character keeps the length when it is replaced by a space.
+    cleaned = F.length(F.regexp_replace(content, rf"[{SPACE}]{{2,}}", " "))
     return F.when(F.contains(content, F.lit("  ")), (size - cleaned) / F.greatest(size, F.lit(1)) * 100)
 
 

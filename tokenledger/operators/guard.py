@@ -15,6 +15,7 @@ from .. import schema
 from ..config import Config
 from ..functions import pii, text, threats
 from ..session import stage
+from .scan import explode_rows
 
 # The wrapper and the note put around untrusted text, and the parts that are trusted.
 WRAP_OPEN = "<external_input>\n"
@@ -102,7 +103,7 @@ def scan_and_rewrite(parts: DataFrame, cfg: Config = Config()) -> DataFrame:
         df = df.withColumn("pii", F.expr(_NO_PII))
 
     if "compress" in cfg.formatting:
-        df = df.withColumn("_before", current).withColumn("_small", text.compress(current))
+        df = text.with_compressed(df.withColumn("_before", current), "_before", "_small")
         df = df.withColumn("_saved", text.text_length(F.col("_before")) - text.text_length(F.col("_small")))
         current = F.col("_small")
         actions.append(F.when(F.col("_saved") != 0, _action(2, "compress", None, saved=F.col("_saved"))))
@@ -162,11 +163,11 @@ def guard(parts: DataFrame, cfg: Config = Config(), stage_path: str | None = Non
         wide = stage(wide, "guard", stage_path)
     rejects = rejected_prompts(wide, cfg)
     accepted = wide if rejects is None else wide.join(rejects, "usage_id", "left_anti")
-    findings = wide.select("usage_id", "position", F.col("name").alias("target"), F.explode("findings").alias("f")).select(
+    findings = explode_rows(wide, ["usage_id", "position", F.col("name").alias("target")], F.col("findings")).select(
         "usage_id", "position", "target", "f.*"
     )
     actions = (
-        wide.select("usage_id", "position", F.explode("actions").alias("a"))
+        explode_rows(wide, ["usage_id", "position"], F.col("actions"), "a")
         .select("usage_id", F.col("a.phase").alias("phase"), "position", F.col("a.action").alias("action"))
         .select("usage_id", "phase", "position", "action.*")
     )
@@ -186,7 +187,7 @@ def guard(parts: DataFrame, cfg: Config = Config(), stage_path: str | None = Non
 
 def pii_hits(wide: DataFrame, action: str) -> DataFrame:
     """One row per personal-data finding of scanned parts."""
-    return wide.select("usage_id", F.col("name").alias("variable_name"), F.explode("pii").alias("f")).select(
+    return explode_rows(wide, ["usage_id", F.col("name").alias("variable_name")], F.col("pii")).select(
         "usage_id", "variable_name", F.col("f.type").alias("pii_type"), F.lit(action).alias("action_taken")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pii, threats
@@ -11,6 +11,15 @@ from ..functions.text import entropy as entropy_column
 _PART = ("usage_id", "position", "name")
 
 
+def explode_rows(df: DataFrame, keep: list, array: Column, name: str = "f") -> DataFrame:
+    """One row per element of a computed array.
+
+    A plain ``explode`` makes the optimizer add a filter on the array's size below it, which computes the array (and
+    so scans the text) twice; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def with_pii(parts: DataFrame, column: str = "content") -> DataFrame:
     """Add ``pii``: the findings of each part, as an array."""
     content = F.col(column)
@@ -24,8 +33,7 @@ def with_pii(parts: DataFrame, column: str = "content") -> DataFrame:
 def pii_findings(parts: DataFrame) -> DataFrame:
     """One row per personal-data finding: type, value and place in the text."""
     return (
-        with_pii(parts)
-        .select(*_PART, F.explode("pii").alias("f"))
+        explode_rows(with_pii(parts), list(_PART), F.col("pii"))
         .select(*_PART, F.col("f.type").alias("type"), F.col("f.value").alias("value"), F.col("f.index").alias("index"))
     )
 
@@ -42,16 +50,10 @@ def mask_pii(parts: DataFrame) -> DataFrame:
 
 
 def _explode_findings(parts: DataFrame, findings) -> DataFrame:
-    return (
-        parts.withColumn("_low", F.lower("content"))
-        .select(
-            "usage_id",
-            "position",
-            F.col("name").alias("target"),
-            F.explode(findings(F.col("content"), F.col("_low"))).alias("f"),
-        )
-        .select("usage_id", "position", "target", "f.*")
-    )
+    lowered = parts.withColumn("_low", F.lower("content"))
+    keep = ["usage_id", "position", F.col("name").alias("target")]
+    rows = explode_rows(lowered, keep, findings(F.col("content"), F.col("_low")))
+    return rows.select("usage_id", "position", "target", "f.*")
 
 
 def injection_findings(parts: DataFrame) -> DataFrame:
@@ -66,9 +68,8 @@ def secret_findings(parts: DataFrame) -> DataFrame:
 
 def entropy_tokens(parts: DataFrame) -> DataFrame:
     """Runs of key characters above the entropy limit, with their entropy."""
-    return parts.select(
-        *_PART, F.explode(threats.entropy_tokens(F.col("content"))).alias("token")
-    ).withColumn("entropy", entropy_column(F.col("token")))
+    rows = explode_rows(parts, list(_PART), threats.entropy_tokens(F.col("content")), "token")
+    return rows.withColumn("entropy", entropy_column(F.col("token")))
 
 
 def entropy(df: DataFrame, column: str) -> DataFrame:

@@ -58,3 +58,13 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = path or new_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition ``df`` by its keys if it comes from fewer files than there are cores; else leave it as it is.
+
+    Long texts pack many rows into one file, and text work then runs in too few tasks. Large inputs have many files
+    and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df

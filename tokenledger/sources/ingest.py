@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import pii
 from ..functions.pricing import PRICES, Price, with_cost
+from ..operators.scan import explode_rows, with_pii
 
 # Fixed values.
 INGESTED = "ingested"
@@ -90,15 +90,8 @@ def variable_rows(raw: DataFrame) -> DataFrame:
 
 def pii_hit_rows(variables: DataFrame, action: str = INGEST_ACTION) -> DataFrame:
     """One ``pii_hits`` row per personal-data finding in the parts."""
-    return (
-        variables.withColumn("_low", F.lower("content"))
-        .withColumns(pii.hit_columns(F.col("content"), F.col("_low")))
-        .select(
-            "usage_id",
-            F.col("name").alias("variable_name"),
-            F.explode(pii.pii_findings(F.col("content"), pii.stored_hits())).alias("f"),
-        )
-        .select("usage_id", "variable_name", F.col("f.type").alias("pii_type"), F.lit(action).alias("action_taken"))
+    return explode_rows(with_pii(variables), ["usage_id", F.col("name").alias("variable_name")], F.col("pii")).select(
+        "usage_id", "variable_name", F.col("f.type").alias("pii_type"), F.lit(action).alias("action_taken")
     )
 
 
