@@ -116,11 +116,10 @@ def _tag(kind: Column) -> Column:
     return F.concat(F.lit("["), F.upper(kind), F.lit("_REDACTED]"))
 
 
-def _fold_mask(content: Column) -> Column:
-    """Replace findings from last to first at their original places, so overlaps fall as they do in the log."""
-    lowered = F.lower(content)
+def _fold(content: Column, findings: Column) -> Column:
+    """Replace findings from last to first at their original places."""
     return F.aggregate(
-        F.reverse(pii_findings(content, [_hit(p, content, lowered) for p in PATTERNS])),
+        F.reverse(findings),
         content,
         lambda text, f: F.concat(
             F.substring(text, F.lit(1), f["index"]),
@@ -130,15 +129,31 @@ def _fold_mask(content: Column) -> Column:
     )
 
 
-def mask_pii(content: Column, hits: list[Column]) -> Column:
-    """Text with each finding replaced by ``[TYPE_REDACTED]``.
+def _fold_line(line: Column) -> Column:
+    lowered = F.lower(line)
+    return _fold(line, pii_findings(line, [_hit(p, line, lowered) for p in PATTERNS]))
+
+
+def _overlap(findings: Column) -> Column:
+    """Do two findings share text? They are sorted, so neighbours tell."""
+    return F.exists(
+        F.sequence(F.lit(1), F.size(findings) - 1),
+        lambda i: F.get(findings, i)["index"]
+        < F.get(findings, i - 1)["index"] + F.length(F.get(findings, i - 1)["value"]),
+    )
+
+
+def mask_pii(content: Column, hits: list[Column], findings: Column) -> Column:
+    """Text with each of its ``findings`` replaced by ``[TYPE_REDACTED]``.
 
     A text with one kind of finding needs a single regular replacement, as matches of one pattern never overlap.
-    Texts with several kinds are folded line by line, cut only where no match can cross, so the cost of a long
-    text grows with its length and not with length times findings.
+    Several kinds are folded line by line, cut only where no match can cross, so the cost of a long text grows with
+    its length and not with length times findings. Only where findings overlap is the whole text folded at once: the
+    outer one then also takes away what follows, possibly beyond its line.
     """
     kinds = reduce(lambda a, b: a + b, [h.cast("int") for h in hits])
-    mixed = F.array_join(F.transform(F.split(content, _SAFE_LINE_END, -1), _fold_mask), "\n")
+    by_line = F.array_join(F.transform(F.split(content, _SAFE_LINE_END, -1), _fold_line), "\n")
+    mixed = F.when(_overlap(findings), _fold(content, findings)).otherwise(by_line)
     masked = F.when(kinds == 0, content).when(kinds > 1, mixed)
     for pattern, hit in zip(PATTERNS, hits):
         plain = F.regexp_replace(content, pattern.regex, f"[{pattern.kind.upper()}_REDACTED]")

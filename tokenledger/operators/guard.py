@@ -94,7 +94,7 @@ def scan_and_rewrite(parts: DataFrame, cfg: Config = Config()) -> DataFrame:
         df = df.withColumns(pii.hit_columns(before, F.col("_pii_low")))
         df = df.withColumn("pii", pii.pii_findings(before, pii.stored_hits()))
         if cfg.pii_action == "mask":
-            df = df.withColumn("_masked", pii.mask_pii(before, pii.stored_hits()))
+            df = df.withColumn("_masked", pii.mask_pii(before, pii.stored_hits(), F.col("pii")))
             current = F.col("_masked")
         if cfg.pii_action in ("mask", "warn"):
             found = F.transform("pii", lambda f: F.struct(f["type"].alias("type"), f["value"].alias("value")))

@@ -40,11 +40,9 @@ def pii_findings(parts: DataFrame) -> DataFrame:
 
 def mask_pii(parts: DataFrame) -> DataFrame:
     """Parts with personal data replaced by tags."""
-    content = F.col("content")
     return (
-        parts.withColumn("_low", F.lower(content))
-        .withColumns(pii.hit_columns(content, F.col("_low")))
-        .withColumn("content", pii.mask_pii(content, pii.stored_hits()))
+        with_pii(parts)
+        .withColumn("content", pii.mask_pii(F.col("content"), pii.stored_hits(), F.col("pii")))
         .select(*parts.columns)
     )
 

@@ -49,15 +49,14 @@ def append_absent(dimension: DataFrame, new: DataFrame, key: str | list[str]) ->
 
 def seed_rows(spark: SparkSession, email: str = "dev@localhost") -> dict[str, DataFrame]:
     """Default organisation, user and membership, to be added with :func:`append_absent`."""
-    one = spark.range(1)
+    rows = {
+        "organizations": (("id", SEED_ORG[0]), ("name", SEED_ORG[1])),
+        "users": (("id", SEED_USER_ID), ("email", email), ("name", "Local Developer")),
+        "organization_members": (("org_id", SEED_ORG[0]), ("user_id", SEED_USER_ID), ("role", SEED_ROLE)),
+    }
     return {
-        "organizations": one.select(F.lit(SEED_ORG[0]).alias("id"), F.lit(SEED_ORG[1]).alias("name")),
-        "users": one.select(
-            F.lit(SEED_USER_ID).alias("id"), F.lit(email).alias("email"), F.lit("Local Developer").alias("name")
-        ),
-        "organization_members": one.select(
-            F.lit(SEED_ORG[0]).alias("org_id"), F.lit(SEED_USER_ID).alias("user_id"), F.lit(SEED_ROLE).alias("role")
-        ),
+        name: spark.createDataFrame([tuple(v for _, v in row)], ", ".join(f"{c} string" for c, _ in row))
+        for name, row in rows.items()
     }
 
 
