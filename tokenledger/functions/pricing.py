@@ -176,12 +176,8 @@ def _with_own(df: DataFrame) -> DataFrame:
     )
 
 
-def _offer_sql(place: int, p: Price, labelled: bool) -> str:
-    """SQL of one offer as a struct that sorts by cost, then place; null for the row's own model."""
-    cost = f"(input_tokens / 1e6D) * {p.input_rate!r}D + (output_tokens / 1e6D) * {p.output_rate!r}D"
-    label = f", '{p.model}' AS model, '{p.provider}' AS provider" if labelled else ""
-    own = f"_own_model = '{p.model}' AND _own_provider = '{p.provider}'"
-    return f"CASE WHEN NOT ({own}) THEN struct({cost} AS cost, {place} AS place{label}) END"
+def _cost_sql(p: Price) -> str:
+    return f"(input_tokens / 1e6D) * {p.input_rate!r}D + (output_tokens / 1e6D) * {p.output_rate!r}D"
 
 
 def add_alternatives(
@@ -193,36 +189,37 @@ def add_alternatives(
 ) -> DataFrame:
     """Add an array of the other current models by rising cost: ``(model, provider, cost, savingsPct)``.
 
-    Costs are filled into one array and sorted in generated code; the own model is a null, which sorts first and is
-    cut off. Only the finished array is mapped to its final shape.
+    Costs are one array of doubles, zipped with the places in the list and sorted; names are looked up by place at the
+    end. Building a struct per offer instead makes one generated method too long for the JIT, at six times the time.
     """
     offers = _candidates(prices, providers)
     if not offers:
         return df.withColumn(name, F.expr(f"cast(array() as array<{ALTERNATIVE}>)"))
-    options = ", ".join(_offer_sql(place, p, False) for place, p in enumerate(offers))
+    costs = ", ".join(_cost_sql(p) for p in offers)
     labels = ", ".join(f"struct('{p.model}' AS model, '{p.provider}' AS provider)" for p in offers)
-    nulls = " + ".join(f"int(_sorted[{i}] IS NULL)" for i in range(_most_repeated(offers)))
     listed = f"""transform(
-        slice(_sorted, 1 + {nulls}, {len(offers)}),
+        filter(_sorted, o -> NOT (array({labels})[o._places].model = _own_model
+                                  AND array({labels})[o._places].provider = _own_provider)),
         o -> struct(
-            array({labels})[o.place].model AS model,
-            array({labels})[o.place].provider AS provider,
-            o.cost AS cost,
-            CASE WHEN _current > 0 THEN (_current - o.cost) / _current * 100 ELSE 0.0D END AS savingsPct))"""
+            array({labels})[o._places].model AS model,
+            array({labels})[o._places].provider AS provider,
+            o._costs AS cost,
+            CASE WHEN _current > 0 THEN (_current - o._costs) / _current * 100 ELSE 0.0D END AS savingsPct))"""
     return (
         _with_own(df)
-        .withColumns({"_current": current_cost, "_sorted": F.expr(f"sort_array(array({options}))")})
+        .withColumns(
+            {
+                "_current": current_cost,
+                "_costs": F.expr(f"array({costs})"),
+                "_places": F.sequence(F.lit(0), F.lit(len(offers) - 1)),
+            }
+        )
+        .withColumn("_sorted", F.sort_array(F.arrays_zip("_costs", "_places")))
         .withColumn(name, F.expr(listed))
-        .drop(*_OWN, "_current", "_sorted")
+        .drop(*_OWN, "_current", "_costs", "_places", "_sorted")
     )
 
 
-def _most_repeated(offers: Sequence[Price]) -> int:
-    """How often one model occurs at most (an allow-list may name a provider twice)."""
-    keys = [(p.provider, p.model) for p in offers]
-    return max(keys.count(k) for k in keys)
-
-
 def _possible_winners(offers: Sequence[Price]) -> list[tuple[int, Price]]:
     """Places and offers that can be cheapest for some token counts (none negative) and some own model.
 
@@ -257,6 +254,10 @@ def add_best_offer(
     if not offers:
         nothing = F.lit(None).cast("struct<cost:double,place:int,model:string,provider:string>")
         return df.withColumn(name, nothing)
-    options = [_offer_sql(place, p, True) for place, p in _possible_winners(offers)]
+    options = [
+        f"CASE WHEN NOT (_own_model = '{p.model}' AND _own_provider = '{p.provider}') THEN "
+        f"struct({_cost_sql(p)} AS cost, {place} AS place, '{p.model}' AS model, '{p.provider}' AS provider) END"
+        for place, p in _possible_winners(offers)
+    ]
     best = f"least({', '.join(options)})" if len(options) > 1 else options[0]
     return _with_own(df).withColumn(name, F.expr(best)).drop(*_OWN)

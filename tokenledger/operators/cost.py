@@ -42,10 +42,10 @@ def alternatives(
     usage: DataFrame, prices: Sequence[Price] = PRICES, providers: Sequence[str] | None = None
 ) -> DataFrame:
     """One row per usage and alternative; ``rank`` counts from 0 by rising cost."""
-    return (
-        with_alternatives(usage, prices, providers)
-        .select("id", F.posexplode("alternatives").alias("rank", "a"))
-        .select("id", "rank", "a.model", "a.provider", "a.cost", F.col("a.savingsPct").alias("savings_pct"))
+    # The outer form: a plain explode adds a filter on the list's size, which computes the list twice.
+    rows = with_alternatives(usage, prices, providers).select("id", F.posexplode_outer("alternatives").alias("rank", "a"))
+    return rows.where("a is not null").select(
+        "id", "rank", "a.model", "a.provider", "a.cost", F.col("a.savingsPct").alias("savings_pct")
     )
 
 

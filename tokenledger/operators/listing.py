@@ -147,7 +147,8 @@ def size_reduction(variables: DataFrame) -> DataFrame:
 def with_analysis(variables: DataFrame, plans: DataFrame) -> DataFrame:
     """Parts with the analysis of the same name in their plan (the first one if a name repeats)."""
     rows = (
-        plans.select("usage_id", F.posexplode("variable_analysis").alias("place", "a"))
+        plans.select("usage_id", F.posexplode_outer("variable_analysis").alias("place", "a"))
+        .where("a is not null")
         .groupBy("usage_id", F.col("a.variable_name").alias("name"))
         .agg(F.min(F.struct("place", "a")).alias("_first"))
         .select(

@@ -29,7 +29,7 @@ from ..operators import (
     tenancy,
     verify,
 )
-from ..session import new_path
+from ..session import new_path, spread
 from ..sources import export, ingest, log, replies
 from ..streaming import chunks as chunking
 from ..streaming import live
@@ -41,6 +41,11 @@ QUERIES: dict[str, Query] = {}
 AS_OF = "2024-01-31 00:00:00"
 
 
+def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage log for work that is heavy per row, in enough tasks."""
+    return spread(views.usage(spark, sf_dir), "id")
+
+
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
     return function
@@ -144,7 +149,7 @@ def scoped_usage(spark, sf_dir):
 
 @query
 def alternatives_all(spark, sf_dir):
-    return cost.alternatives(views.usage(spark, sf_dir)).select(
+    return cost.alternatives(_usage(spark, sf_dir)).select(
         "id", F.col("rank").cast("bigint").alias("rank"), "model", "provider", _r("cost"), _r("savings_pct", 6)
     )
 
@@ -152,7 +157,7 @@ def alternatives_all(spark, sf_dir):
 @query
 def alternatives_allowed(spark, sf_dir):
     allowed = ("openai", "gemini", "mistral")
-    return cost.alternatives(views.usage(spark, sf_dir), providers=allowed).select(
+    return cost.alternatives(_usage(spark, sf_dir), providers=allowed).select(
         "id", F.col("rank").cast("bigint").alias("rank"), "model", "provider", _r("cost"), _r("savings_pct", 6)
     )
 
@@ -300,7 +305,7 @@ def size_reduction(spark, sf_dir):
 
 @query
 def usage_nested(spark, sf_dir):
-    usage, variables = views.usage(spark, sf_dir), views.variables(spark, sf_dir)
+    usage, variables = _usage(spark, sf_dir), views.variables(spark, sf_dir)
     plans = explaining.explain(usage, variables)
     rows = listings.nest(listings.recent(usage, n=200), variables, plans)
     return rows.select(
@@ -324,7 +329,7 @@ def usage_nested_by_id(spark, sf_dir):
 
 @query
 def listing_page(spark, sf_dir):
-    usage, variables = views.usage(spark, sf_dir), views.variables(spark, sf_dir)
+    usage, variables = _usage(spark, sf_dir), views.variables(spark, sf_dir)
     plans = explaining.explain(usage, variables)
     rows = listings.listing(
         usage, variables, plans, endpoint="c", only_recommended=True, sort="cost", number=2, limit=500
@@ -334,14 +339,14 @@ def listing_page(spark, sf_dir):
 
 @query
 def recommended_only(spark, sf_dir):
-    plans = explaining.explain(views.usage(spark, sf_dir), views.variables(spark, sf_dir))
+    plans = explaining.explain(_usage(spark, sf_dir), views.variables(spark, sf_dir))
     return listings.recommended(plans).select("usage_id")
 
 
 @query
 def part_analysis(spark, sf_dir):
     variables = views.variables(spark, sf_dir)
-    plans = explaining.explain(views.usage(spark, sf_dir), variables)
+    plans = explaining.explain(_usage(spark, sf_dir), variables)
     return listings.with_analysis(variables, plans).select(
         "usage_id", F.col("position").cast("bigint").alias("position"), "name", _r("percentage", 6), "waste_reason",
         "recommendation",
@@ -452,7 +457,7 @@ def log_round_trip(spark, sf_dir):
 
 @query
 def export_jsonl(spark, sf_dir):
-    usage, variables = views.usage(spark, sf_dir), views.variables(spark, sf_dir)
+    usage, variables = _usage(spark, sf_dir), views.variables(spark, sf_dir)
     lines = export.export_jsonl(usage, variables, explaining.explain(usage, variables))
     return lines.select(
         "id",
@@ -766,14 +771,14 @@ def compression_savings(spark, sf_dir):
 
 
 def _plans(spark, sf_dir):
-    return explaining.explain(views.usage(spark, sf_dir), views.variables(spark, sf_dir))
+    return explaining.explain(_usage(spark, sf_dir), views.variables(spark, sf_dir))
 
 
 @query
 def explain_parts(spark, sf_dir):
     return (
         _plans(spark, sf_dir)
-        .select("usage_id", F.posexplode("variable_analysis").alias("place", "a"))
+        .select("usage_id", F.posexplode_outer("variable_analysis").alias("place", "a")).where("a is not null")
         .select(
             "usage_id", F.col("place").cast("bigint").alias("place"), "a.variable_name",
             F.col("a.token_count").cast("bigint").alias("token_count"), _r(F.col("a.percentage"), 6).alias("percentage"),
@@ -795,15 +800,15 @@ def explain_rollup(spark, sf_dir):
 @query
 def explain_issues(spark, sf_dir):
     return _plans(spark, sf_dir).select(
-        "usage_id", F.posexplode("detected_issues").alias("place", "issue")
-    ).select("usage_id", F.col("place").cast("bigint").alias("place"), "issue")
+        "usage_id", F.posexplode_outer("detected_issues").alias("place", "issue")
+    ).where("issue is not null").select("usage_id", F.col("place").cast("bigint").alias("place"), "issue")
 
 
 @query
 def explain_suggestions(spark, sf_dir):
     return _plans(spark, sf_dir).select(
-        "usage_id", F.posexplode("optimization_suggestions").alias("place", "suggestion")
-    ).select("usage_id", F.col("place").cast("bigint").alias("place"), "suggestion")
+        "usage_id", F.posexplode_outer("optimization_suggestions").alias("place", "suggestion")
+    ).where("suggestion is not null").select("usage_id", F.col("place").cast("bigint").alias("place"), "suggestion")
 
 
 @query
@@ -832,7 +837,7 @@ def whitespace_waste(spark, sf_dir):
 
 @query
 def plan_backfill(spark, sf_dir):
-    usage = views.usage(spark, sf_dir)
+    usage = _usage(spark, sf_dir)
     n = F.substring("usage_id", 2, 20).cast("bigint")
     plans = explaining.explain(usage, views.variables(spark, sf_dir))
     gaps = plans.withColumns(
@@ -912,19 +917,19 @@ def _verdicts(events: DataFrame) -> DataFrame:
 
 @query
 def verification_parse(spark, sf_dir):
-    return _verdicts(views.table(spark, sf_dir, "events")).select(
+    return _verdicts(spread(views.table(spark, sf_dir, "events"), "event_id")).select(
         "id", "status", "confidence", "should_continue", "reasoning"
     )
 
 
 @query
 def kill_rule(spark, sf_dir):
-    return _verdicts(views.table(spark, sf_dir, "events")).select("id", "kill")
+    return _verdicts(spread(views.table(spark, sf_dir, "events"), "event_id")).select("id", "kill")
 
 
 @query
 def heartbeat_chain(spark, sf_dir):
-    rows = verify.with_previous_status(_verdicts(views.table(spark, sf_dir, "events")))
+    rows = verify.with_previous_status(_verdicts(spread(views.table(spark, sf_dir, "events"), "event_id")))
     return rows.select("request_id", "id", "status", "previous_status", F.col("kill").alias("stop"))
 
 
