@@ -5,6 +5,7 @@ Nested results are flattened to scalar columns, so that they compare value by va
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,21 +15,12 @@ from .. import schema
 from ..config import Config
 from ..functions import text
 from ..functions.numbers import to_fixed
-from ..operators import (
-    assemble as assembling,
-)
-from ..operators import (
-    cache,
-    construct as constructing,
-    cost,
-    explain as explaining,
-    guard as guarding,
-    listing as listings,
-    reports,
-    scan,
-    tenancy,
-    verify,
-)
+from ..operators import assemble as assembling
+from ..operators import cache, cost, reports, scan, tenancy, verify
+from ..operators import construct as constructing
+from ..operators import explain as explaining
+from ..operators import guard as guarding
+from ..operators import listing as listings
 from ..session import new_path, spread
 from ..sources import export, ingest, log, replies
 from ..streaming import chunks as chunking
@@ -47,8 +39,15 @@ def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    """Register a query. The given times have no zone; they are read as UTC whatever the session's zone was."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def _r(column: str | Column, digits: int = 9) -> Column:

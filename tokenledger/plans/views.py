@@ -68,12 +68,12 @@ ENDINGS = (
 
 
 # Tables of long texts, and the key they are spread by if they come in few files.
-_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+_TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, _TEXT_KEYS[name]) if name in _TEXT_KEYS else rows
+    return spread(rows, *_TEXT_KEYS[name]) if name in _TEXT_KEYS else rows
 
 
 def _pick(values: tuple[str, ...], number: Column) -> Column:
