@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm import labelled, mixing, nbsvm, packing, rans, rules
+from tokenledger.llm import darts, labelled, mixing, nbsvm, packing, rans, rules
 from tokenledger.llm.tables import load, stage
 from tokenledger.session import new_path
 
@@ -46,10 +46,15 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
 
 
+def op9_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return darts.classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_quality": op3_quality,
     "op5_rans": op5_rans,
     "op7_pack": op7_pack,
     "op8_rules": op8_rules,
+    "op9_darts": op9_darts,
 }

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tokenledger.session import stage
 
-__all__ = ["stage", "packed", "unpacked", "load", "size_of", "ddl_type"]
+__all__ = ["stage", "packed", "unpacked", "load", "size_of", "join_checked"]
 
 #: Column in which operators that return their input's rows carry them, so that no column of the input can clash.
 ROW = "input_row"
@@ -27,10 +26,18 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select(f"{ROW}.*")
 
 
-def ddl_type(df: DataFrame, column: str) -> T.DataType:
-    return df.schema[column].dataType
-
-
 def size_of(df: DataFrame) -> int:
     """Rows of a staged table; Parquet footers answer it."""
     return df.count()
+
+
+#: Rows of at most a few short columns that are broadcast; beyond it both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: Column, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``big`` joined with a narrow ``small``, which is counted first: broadcast up to ``limit`` rows, else shuffled.
+
+    It keeps long texts where they are while few keys are wanted.
+    """
+    return big.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)
