@@ -39,4 +39,37 @@ select c.doc_id, c.size::bigint as size, c.source_size, c.target, (c.size * (flo
 from coins c join chosen h on c.source is not distinct from h.source and c.k = h.k
 """
 
-ORACLES: dict[str, str] = {"op1_mix": _OP1}
+_OP9 = """
+with recursive texts as (
+    select doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w from documents
+), sets as (
+    select doc_id, list_distinct(case when len(w) between 1 and 4 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+    from texts where len(w) > 0
+), elements as (
+    select doc_id, len(s) as n, unnest(s) as e from sets
+), links as (
+    select a.doc_id as a, b.doc_id as b from elements a join elements b on a.e = b.e and a.doc_id <> b.doc_id
+    group by a.doc_id, b.doc_id having count(*) * 10 >= 8 * (any_value(a.n) + any_value(b.n) - count(*))
+), reached(doc_id, other) as (
+    select doc_id, doc_id from documents union select r.doc_id, l.b from reached r join links l on r.other = l.a
+)
+select doc_id, min(other) as class_id from reached group by doc_id
+"""
+
+_OP10 = """
+with usable as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), terms as (
+    select vec_id, generate_subscripts(v, 1) as i, unnest(v) as x from usable
+), scores as (
+    select q.vec_id as query_id, c.vec_id, sum(q.x * c.x)::bigint as score
+    from terms q join terms c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by q.vec_id, c.vec_id
+), ranked as (
+    select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from scores
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op1_mix": _OP1, "op9_darts": _OP9, "op10_maxscore": _OP10}

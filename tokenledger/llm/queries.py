@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm import darts, labelled, mixing, nbsvm, packing, rans, rules
+from tokenledger.llm import darts, labelled, maxscore, mixing, nbsvm, packing, rans, rules
 from tokenledger.llm.tables import load, stage
 from tokenledger.session import new_path
 
@@ -50,6 +50,10 @@ def op9_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return darts.classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_quality": op3_quality,
@@ -57,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pack": op7_pack,
     "op8_rules": op8_rules,
     "op9_darts": op9_darts,
+    "op10_maxscore": op10_maxscore,
 }
