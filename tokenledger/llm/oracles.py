@@ -72,4 +72,24 @@ with usable as (
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op1_mix": _OP1, "op9_darts": _OP9, "op10_maxscore": _OP10}
+_OP6 = """
+with texts as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), windows as (
+    select doc_id, i, array_to_string(w[i:i + 19], ' ') as g
+    from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from texts where len(w) >= 20)
+), later as (
+    select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as n from windows) where n > 1
+), gone as (
+    select distinct doc_id, unnest(range(i, i + 20)) as i from later
+), words as (
+    select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from texts
+), kept as (
+    select words.doc_id, string_agg(word, ' ' order by words.i) as kept, count(*) as n
+    from words anti join gone on words.doc_id = gone.doc_id and words.i = gone.i group by words.doc_id
+)
+select texts.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from texts left join kept on texts.doc_id = kept.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_mix": _OP1, "op6_substrings": _OP6, "op9_darts": _OP9, "op10_maxscore": _OP10}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm import darts, labelled, maxscore, mixing, nbsvm, packing, rans, rules
+from tokenledger.llm import darts, labelled, maxscore, mixing, nbsvm, packing, rans, relative_lz, rules
 from tokenledger.llm.tables import load, stage
 from tokenledger.session import new_path
 
@@ -35,6 +35,14 @@ def op5_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.digest(spark, path)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = relative_lz.cleaned(docs, "doc_id", "text")
+    spaced = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    kept = F.coalesce("kept_text", spaced)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(load(spark, sf_dir, "documents"), TOKENIZER))
 
@@ -58,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_quality": op3_quality,
     "op5_rans": op5_rans,
+    "op6_substrings": op6_substrings,
     "op7_pack": op7_pack,
     "op8_rules": op8_rules,
     "op9_darts": op9_darts,
