@@ -9,6 +9,7 @@
   It holds the ids and lengths of its documents, the coded 32-bit words, and checkpoints: every ``CHECKPOINT_STEPS`` steps
   the lanes' states and the place in the words, so that several readers can decode parts of one block. Each checkpointed
   part has a checksum of its ids.
+* ``parts``: for each partition, the ids in the partitions before it.
 
 Blocks are records of Parquet files, so they are committed like any Spark output, lie in any store Spark reaches, and are
 decoded in parallel. Partitions are ranges of doc_id in ascending order (null first), and ``start`` counts the ids of all
@@ -142,13 +143,24 @@ def decode_block(block: dict, freq: np.ndarray, base: np.ndarray, symbols: np.nd
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids on their way to a file: a byte for the width, then 2 or 4 bytes for each id."""
+    narrow = not len(ids) or int(ids.max()) < 1 << 16
+    return (b"\2" if narrow else b"\4") + ids.astype("<u2" if narrow else "<u4").tobytes()
+
+
+def unpack_ids(raw: pa.Scalar) -> np.ndarray:
+    buffer = raw.as_buffer()
+    return np.frombuffer(buffer, "<u2" if buffer[0] == 2 else "<u4", offset=1).astype(np.uint32)
+
+
 def encode_ids(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """``(doc_id, ids)``: the ids of whole texts, little-endian unsigned 32-bit, with ``end`` appended. No shuffle."""
+    """``(doc_id, ids)``: the ids of whole texts with ``end`` appended, as ``pack_ids`` writes them. No shuffle."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            ids = pa.array((x.astype("<u4").tobytes() for x in encode.rows(batch.column("text"), end)), pa.binary())
+            ids = pa.array((pack_ids(x) for x in encode.rows(batch.column("text"), end)), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), ids], schema=_IDS)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded, "doc_id long, ids binary")
@@ -161,7 +173,7 @@ def count_ids(ids: DataFrame) -> np.ndarray:
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column("ids"):
-                found = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=len(counts))
+                found = np.bincount(unpack_ids(raw), minlength=len(counts))
                 found[: len(counts)] += counts
                 counts = found
         used = np.flatnonzero(counts)
@@ -195,7 +207,7 @@ def write(ids: DataFrame, path: str) -> None:
         size = 0
         for batch in batches:
             for name, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                held.append(np.frombuffer(raw.as_buffer(), "<u4"))
+                held.append(unpack_ids(raw))
                 names.append(name)
                 size += len(held[-1])
                 if size >= BLOCK_IDS:
@@ -206,6 +218,9 @@ def write(ids: DataFrame, path: str) -> None:
 
     ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(coded, BLOCK).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
+    totals = spark.read.schema(BLOCK).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("ids_of_part"))
+    running = F.sum("ids_of_part").over(Window.orderBy("part")) - F.col("ids_of_part")
+    totals.select("part", running.alias("before")).coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")
 
 
 def _table(spark: SparkSession, path: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -215,11 +230,9 @@ def _table(spark: SparkSession, path: str) -> tuple[int, np.ndarray, np.ndarray,
 
 
 def _placed_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks and ``before``, the ids in earlier partitions (one row per partition is summed up)."""
-    blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids_of_part"))
-    running = F.sum("ids_of_part").over(Window.orderBy("part")) - F.col("ids_of_part")
-    return blocks.join(totals.select("part", running.alias("before")), "part")
+    """The blocks and ``before``, the ids in earlier partitions. The table of partitions is small and read from its file,
+    so Spark sees its size and leaves the blocks where they are."""
+    return spark.read.schema(BLOCK).parquet(f"{path}/blocks").join(spark.read.schema("part int, before long").parquet(f"{path}/parts"), "part")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

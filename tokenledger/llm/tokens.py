@@ -3,7 +3,8 @@
 The tokenizer is a file of the ``tokenizers`` library, named by its path; nothing is trained or copied. Its files are
 opened once per Python worker. For a tokenizer that drops white space before it merges (``word_bpe_49k.json``), the ids of
 a text are the ids of its words in turn, so each different word is encoded once per worker and looked up by its 64-bit
-hash after that; the cache is bounded, and a word that has left it is simply encoded again. ``by_word=False`` encodes each
+hash after that; the cache is bounded, and a word that has left it is simply encoded again. A full stop or comma after a
+letter is an id of its own there, so words are looked up without it. ``by_word=False`` encodes each
 text as it is.
 """
 
@@ -39,6 +40,11 @@ class Encoder:
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.by_word, self.cache_words = by_word, cache_words
+        self.mark_ids = np.full(256, -1, np.int64)
+        for mark in ".,":
+            whole, alone = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in (f"a{mark}", mark))
+            if by_word and len(alone) == 1 and whole == [*self.tokenizer.encode("a", add_special_tokens=False).ids, *alone]:
+                self.mark_ids[ord(mark)] = alone[0]
         self._clear()
 
     def _clear(self) -> None:
@@ -47,20 +53,28 @@ class Encoder:
         self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _encode_words(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, one after another, and how many each has."""
+    def _encode_words(self, found: list[bytes], chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of so many characters, one after another, and how many each has."""
         ids, counts = [], []
         for at in range(0, len(found), CALL_WORDS):
-            part = [w.decode("utf-8", "replace") for w in found[at : at + CALL_WORDS]]
-            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in part])
+            part, ends = found[at : at + CALL_WORDS], np.cumsum(chars[at : at + CALL_WORDS] + 1)
+            text = b" ".join(part).decode("utf-8", "replace")
+            if len(text) != ends[-1] - 1:  # bytes that are no characters
+                alone = [self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in part]
+                counts.append(np.array([len(x) for x in alone]))
+                ids.extend(np.array(x, np.uint32) for x in alone)
+                continue
+            encoded = self.tokenizer.encode(text, add_special_tokens=False)
             begins = np.array([b for b, _ in encoded.offsets], np.int64)
             counts.append(np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(part)))
             ids.append(np.array(encoded.ids, np.uint32))
         return np.concatenate(ids), np.concatenate(counts).astype(np.int64)
 
     def _learn(self, chunk: W.Words, keys: np.ndarray, at: np.ndarray) -> None:
-        ids, counts = self._encode_words(chunk.gather(at))
+        follow = np.zeros(len(chunk.data) + 1, np.int32)  # bytes that begin no character
+        np.cumsum((chunk.data & 0xC0) == 0x80, out=follow[1:])
+        starts, ends = chunk.starts[at], chunk.ends[at]
+        ids, counts = self._encode_words(chunk.gather(at), ends - starts - (follow[ends] - follow[starts]))
         starts = len(self.ids) + np.cumsum(counts) - counts
         self.ids = np.concatenate([self.ids, ids])
         place = np.searchsorted(self.keys, keys)
@@ -68,6 +82,14 @@ class Encoder:
         self.starts = np.insert(self.starts, place, starts)
         self.counts = np.insert(self.counts, place, counts)
 
+    def _marks(self, chunk: W.Words) -> tuple[W.Words, np.ndarray]:
+        """The words less a full stop or comma after an ASCII letter, and the id of the mark, or -1."""
+        last = chunk.data[chunk.ends - 1]
+        before = chunk.data[np.maximum(chunk.ends - 2, 0)] | 0x20
+        ends = (chunk.ends - chunk.starts > 1) & (before >= 97) & (before <= 122)
+        mark = np.where(ends, self.mark_ids[last], -1)
+        return W.Words(chunk.data, chunk.offsets, chunk.starts, chunk.ends - (mark >= 0), chunk.bounds, chunk.first), mark
+
     def encode_chunk(self, chunk: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the chunk's rows, one after another, and the bounds of each row."""
         if not self.by_word:
@@ -76,10 +98,10 @@ class Encoder:
             lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
             return np.concatenate([np.array(x, np.uint32) for x in lists]), bounds
-        hashes = chunk.hashes()
-        if not len(hashes):
+        if not len(chunk.starts):
             return np.zeros(0, np.uint32), np.zeros(chunk.rows + 1, np.int64)
-        unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        chunk, mark = self._marks(chunk)
+        unique, at, inverse = np.unique(chunk.hashes(), return_index=True, return_inverse=True)
         if len(self.keys) + len(unique) > self.cache_words:
             self._clear()
         place = np.searchsorted(self.keys, unique)
@@ -90,8 +112,12 @@ class Encoder:
             self._learn(chunk, unique[~known], at[~known])
             place = np.searchsorted(self.keys, unique)
         starts, counts = self.starts[place][inverse], self.counts[place][inverse]
-        total = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.ids[np.repeat(starts - total[:-1], counts) + np.arange(total[-1])]
+        total = np.concatenate([[0], np.cumsum(counts + (mark >= 0))])
+        ids = np.empty(total[-1], np.uint32)
+        number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids[np.repeat(total[:-1], counts) + number] = self.ids[np.repeat(starts, counts) + number]
+        marked = np.flatnonzero(mark >= 0)
+        ids[total[marked + 1] - 1] = mark[marked]
         return ids, total[chunk.bounds]
 
     def rows(self, column: pa.Array, end: int | None = None) -> Iterator[np.ndarray]:
