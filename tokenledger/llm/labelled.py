@@ -12,20 +12,21 @@ def id_crc32(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, where: Column | None = None, seed: str = "sample") -> DataFrame:
-    """``(doc_id, text, label)``: per class, the ``per_class`` labelled ids of lowest hash, and their texts.
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, int], where: Column | None = None, seed: str = "sample") -> DataFrame:
+    """``(doc_id, text, label)``: of each class, the ``per_class`` labelled ids of lowest hash, and their texts.
 
-    The sample of ids is chosen before texts are touched; being at most ``2 * per_class`` rows, it is broadcast, and no
-    text moves but those chosen. An id labelled twice counts once (its greatest label), as does a document given twice.
+    The sample of ids is chosen before texts are touched; its size being bounded so, it is broadcast, and no text moves
+    but those chosen. ``per_class`` may be two numbers, for labels 0 and 1. An id labelled twice counts once (its greatest label), as does a document given twice.
     Rows with a null id or label are not used.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("sample_id"), F.col(label).cast("int").alias("label"))
     marks = marks.filter("sample_id is not null and label in (0, 1)")
     if where is not None:
         marks = marks.filter(where)
+    zeros, ones = per_class if isinstance(per_class, tuple) else (per_class, per_class)
     order = (F.md5(F.concat(F.lit(seed), F.col("sample_id").cast("string"))), F.col("sample_id"))
     marks = marks.groupBy("sample_id").agg(F.max("label").alias("label"))
-    chosen = marks.filter("label = 0").orderBy(*order).limit(per_class).unionByName(marks.filter("label = 1").orderBy(*order).limit(per_class))
+    chosen = marks.filter("label = 0").orderBy(*order).limit(zeros).unionByName(marks.filter("label = 1").orderBy(*order).limit(ones))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["sample_id"])
     return found.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))

@@ -93,5 +93,5 @@ def rates(sized: DataFrame, seed: str = "mix", sizes: DataFrame | None = None, *
 def mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """The mixed corpus: every column of ``docs``, each row as many times as its copies."""
     row = packed(docs, F.col("doc_id"), F.col("source"), words_in(F.col("text")).alias("size"))
-    repeated = rates(row, seed, **options).select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"), F.lit(1))).alias("copy"))
+    repeated = rates(row, seed, **options).select(ROW, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return repeated.select(f"{ROW}.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenledger.llm import mixing
+from tokenledger.llm import lm, mixing
 
 _OP1 = f"""
 with sized as (
@@ -72,6 +72,47 @@ with usable as (
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
+_OP2 = f"""
+with texts as (
+    select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+        doc_id in (select doc_id from labels where quality = 1) as target
+    from documents
+), tokens as (
+    select r, target, unnest(w) as word, generate_subscripts(w, 1) as i from texts
+), totals as (
+    select count(*) as n_all, count(*) filter (target) as n_target, count(*) filter (i = 1) as s_all, count(*) filter (i = 1 and target) as s_target
+    from tokens
+), vocabulary as (
+    select word, count(*) as c_all, count(*) filter (target) as c_target from tokens group by word
+    having count(*) >= greatest({lm.LEAST}, (select ceil(n_all * {lm.WORD_SHARE}) from totals))
+), unknown as (
+    select n_all - coalesce((select sum(c_all) from vocabulary), 0) as c_all, n_target - coalesce((select sum(c_target) from vocabulary), 0) as c_target,
+        (select count(*) from vocabulary) as size from totals
+), numbered as (
+    select r, target, i, v.word as word, coalesce(v.c_all, u.c_all) as c_all, coalesce(v.c_target, u.c_target) as c_target
+    from tokens left join vocabulary v on tokens.word = v.word cross join unknown u
+), paired as (
+    select *, i = 1 as first, lag(word) over p as before, lag(c_all) over p as b_all, lag(c_target) over p as b_target
+    from numbered window p as (partition by r order by i)
+), pairs as (
+    select first, before, word, count(*) as p_all, count(*) filter (target) as p_target from paired group by first, before, word
+    having count(*) >= greatest({lm.LEAST}, (select ceil(n_all * {lm.PAIR_SHARE}) from totals))
+), losses as (
+    select r,
+        -ln((coalesce(p_target, 0) + {lm.MASS} * ((c_target + 1) / (n_target + size + 1)))
+            / (case when a.first then s_target else b_target end + {lm.MASS})) as target_loss,
+        -ln((coalesce(p_all, 0) + {lm.MASS} * ((c_all + 1) / (n_all + size + 1)))
+            / (case when a.first then s_all else b_all end + {lm.MASS})) as background_loss
+    from paired a cross join totals cross join (select size from unknown)
+    left join pairs b on a.first = b.first and a.before is not distinct from b.before and a.word is not distinct from b.word
+), scored as (
+    select r, avg(target_loss) as t, avg(background_loss) as b from losses group by r
+)
+select doc_id, len(w)::bigint as n_tokens, round(coalesce(t, 0), 6) as target_loss, round(coalesce(b, 0), 6) as background_loss,
+    round(coalesce(t - b, 0), 6) as score
+from texts left join scored on texts.r = scored.r
+"""
+
 _OP6 = """
 with texts as (
     select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
@@ -92,4 +133,4 @@ select texts.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigin
 from texts left join kept on texts.doc_id = kept.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_mix": _OP1, "op6_substrings": _OP6, "op9_darts": _OP9, "op10_maxscore": _OP10}
+ORACLES: dict[str, str] = {"op1_mix": _OP1, "op2_lm": _OP2, "op6_substrings": _OP6, "op9_darts": _OP9, "op10_maxscore": _OP10}

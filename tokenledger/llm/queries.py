@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm import darts, labelled, maxscore, mixing, nbsvm, packing, rans, relative_lz, rules
+from tokenledger.llm import darts, labelled, lm, maxscore, mixing, nbsvm, packing, rans, relative_lz, rules, toxicity
 from tokenledger.llm.tables import load, stage
 from tokenledger.session import new_path
 
@@ -21,6 +21,13 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(sized, sizes=sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents labelled as of good quality, the background all documents."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    scored = lm.score(docs, lm.train(docs, labels.filter("quality = 1")))
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     model = nbsvm.train(docs, labels, where=labelled.id_crc32(F.col("sample_id")) % 3 != 1)
@@ -29,6 +36,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(docs, model).select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    net = toxicity.train(docs, labels, where=labelled.id_crc32(F.col("sample_id")) % 5 != 0)
+    held = F.coalesce(labelled.id_crc32(F.col("doc_id")) % 5 == 0, F.lit(False))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return toxicity.score(docs, net).select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op5_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "rans")
     rans.store(load(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -64,7 +79,9 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_lm": op2_lm,
     "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_rans": op5_rans,
     "op6_substrings": op6_substrings,
     "op7_pack": op7_pack,
