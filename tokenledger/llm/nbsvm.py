@@ -6,7 +6,7 @@ descent. The weights are pulled towards their mean size, as in the published met
 fitted to held-back rows of the sample.
 
 The fit uses a bounded sample (``per_class`` labelled rows of each label); scoring reads whole texts of all rows, without
-a shuffle. Edge cases: a null or blank text has no n-grams and gets the score of the bias; without rows of both labels
+a shuffle. Edge cases: a null or empty text has no n-grams and gets the score of the bias; without rows of both labels
 every score is 0.5; repeated rows score alike; an empty table gives an empty table; only ``doc_id`` and ``text`` are read.
 """
 

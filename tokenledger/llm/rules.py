@@ -163,17 +163,18 @@ def base_counts(rows: W.Words) -> dict[str, np.ndarray]:
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 
-def judge(docs: DataFrame, model: Model, keep: float = KEEP, *columns: str) -> DataFrame:
+def judge(docs: DataFrame, model: Model, keep: float = KEEP, *columns: str, whole_rows: bool = False) -> DataFrame:
     """The named columns of ``docs`` and, per row, the counts, the model's ``probability`` and ``kept``. No shuffle.
 
-    The text is ``text``, or that of the packed row if ``docs`` has one.
+    With ``whole_rows``, the packed row in place of columns.
     """
-    inside = ROW in docs.columns
+    rows = packed(docs) if whole_rows else docs.select(*dict.fromkeys([*columns, "text"]))
+    columns = (ROW,) if whole_rows else columns
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[dict[str, np.ndarray]] = []
-            for rows in W.each_chunk(batch.column(ROW).field("text") if inside else batch.column("text")):
+            for rows in W.each_chunk(batch.column(ROW).field("text") if whole_rows else batch.column("text")):
                 found = base_counts(rows)
                 p = model.probability(rows)
                 parts.append(found | {"probability": p, "kept": ~found["base_failed"] & (p >= keep)})
@@ -181,11 +182,10 @@ def judge(docs: DataFrame, model: Model, keep: float = KEEP, *columns: str) -> D
                 made = {k: pa.array(np.concatenate([x[k] for x in parts])) for k in parts[0]}
                 yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in columns} | made)
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns]
-    read = docs.select(*dict.fromkeys([*columns, *([] if inside else ["text"])]))
-    return read.mapInArrow(judged, ", ".join([*kinds, COUNTS, "probability double", "kept boolean"]))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in columns]
+    return rows.mapInArrow(judged, ", ".join([*kinds, COUNTS, "probability double", "kept boolean"]))
 
 
 def filter(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns."""
-    return judge(packed(docs), model, keep, ROW).filter("kept").select(f"{ROW}.*")
+    return judge(docs, model, keep, whole_rows=True).filter("kept").select(f"{ROW}.*")

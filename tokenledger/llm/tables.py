@@ -35,11 +35,9 @@ def size_of(df: DataFrame) -> int:
 BROADCAST_ROWS = 1_000_000
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: Column, how: str, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+def join_checked(big: DataFrame, small: DataFrame, on: Column, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``big`` joined with a narrow ``small``, which is counted first: broadcast up to ``limit`` rows, else shuffled.
 
-    ``weight`` counts rows that hold lists by their length. It keeps long texts where they are while few keys are wanted.
+    It keeps long texts where they are while few keys are wanted.
     """
-    counted = F.count("*") if weight is None else F.sum(weight + 1)
-    size = small.agg(counted).first()[0] or 0
-    return big.join(F.broadcast(small) if size <= limit else small, on, how)
+    return big.join(F.broadcast(small) if small.count() <= limit else small, on, how)
