@@ -4,7 +4,7 @@ Input is a word's vector (hashed, letters folded to lower case, marks at its end
 n-gram vectors. Two gated recurrent units read a window of words in both directions, attention pools their states, and a
 logistic unit scores the window. All overlapping windows of a whole text are scored; a text has the score of its worst
 window, calibrated on held-back rows. The network is trained here, in numpy, on a bounded sample of labelled rows: each
-step takes the worst window of each text, as labels are of texts.
+step takes one window of each text, the worst or one drawn by its odds, as labels are of texts.
 
 The bound of the sample: ``per_class`` labelled ids of each class, of which those of at most ``TRAIN_WORDS`` words are
 used. Scoring reads every word of every text and shuffles nothing. Edge cases: a null or blank text gets the score of a
@@ -259,7 +259,9 @@ def fit(texts: list[bytes], y: np.ndarray, steps: int = STEPS, batch: int = BATC
             vectors = net.embed(x, drop)
             table, row = window_table(x.bounds, x.number, len(vectors) - 1)
             logit = net.run(vectors, table)
-            worst = np.lexsort((-logit, row))[np.searchsorted(row, np.arange(len(picked)))]
+            # Of a text of label 1 a window is drawn by its odds, so that all are tried at first; else the worst is taken.
+            drawn = logit + np.where(y[picked][row] > 0, rng.gumbel(size=len(row)), 0.0)
+            worst = np.lexsort((-drawn, row))[np.searchsorted(row, np.arange(len(picked)))]
             kept: list = []
             logit = net.run(vectors, table[worst], kept)
             d_logit = ((_sigmoid(logit) - y[picked]) / len(picked)).astype(np.float32)
