@@ -9,8 +9,8 @@ similarity.
 Texts with the same set are one node. Signatures are cut into bands; nodes that agree in a band share a bucket. Listing
 all pairs of a bucket is out of the question, so each bucket gives a spanning forest: at most one pair per node, the pairs
 of highest estimated similarity first. These pairs are checked exactly on their sets and joined into components. Then only
-pairs of a bucket that lie in different components are compared by their signatures; those that may reach the threshold
-are checked exactly, and links between components complete the classes. A hot bucket is cut into blocks, and pairs of
+pairs of a bucket that lie in different components are compared, by their signatures and, where these leave a link
+possible, exactly on their sets; one link for each two components that meet in a bucket completes the classes. A hot bucket is cut into blocks, and pairs of
 blocks are handled apart. Classes are the connected components of links of at least the threshold, named by their least
 doc_id.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.llm import words as W
@@ -42,6 +42,8 @@ ROWS = 4
 MAYBE = 0.65
 #: Nodes of a bucket that one task compares with as many others.
 BLOCK = 2000
+#: Elements of the sets of such a block.
+BLOCK_ELEMENTS = 4_000_000
 
 
 def shingles(rows: W.Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -164,16 +166,18 @@ def _forest(table: pa.Table) -> pa.Table:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one bucket that lie in different components and may be alike, given in the first band they share."""
+    """Links of one bucket between different components: one for each two components at most, checked exactly. Pairs whose
+    signatures rule a link out are not looked at, and a pair that shares several bands is looked at in the first."""
     table = table.sort_by("node")
     nodes, sizes, band = table.column("node").to_pylist(), table.column("n").to_numpy(), table.column("band")[0].as_py()
     marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(nodes), -1)
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("elements")]
     block, i, j = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
     _, part = np.unique(np.array([c.hex() for c in table.column("component").to_pylist()]), return_inverse=True)
     outside = np.flatnonzero(part != np.argmax(np.bincount(part)))
     rank = np.full(len(nodes), -1)
     rank[outside] = np.arange(len(outside))
-    a, b = [], []
+    links: dict[tuple[int, int], tuple[bytes, bytes]] = {}
     for k in outside.tolist():
         # Each pair once: with nodes of the largest component, and with outside nodes that come later.
         other = (part != part[k]) & ((rank < 0) | (rank > rank[k]))
@@ -182,18 +186,30 @@ def _across(table: pa.Table) -> pa.Table:
         other &= np.minimum(sizes, sizes[k]) >= THRESHOLD * np.maximum(sizes, sizes[k])
         at = np.flatnonzero(other)
         same = marks[at] == marks[k]
-        at, same = at[same.mean(axis=1) >= MAYBE], same[same.mean(axis=1) >= MAYBE]
-        shared = same.reshape(len(at), BANDS, ROWS).all(axis=2)
-        for m in at[np.argmax(shared, axis=1) == band].tolist():
-            low, high = sorted((nodes[k], nodes[m]))
-            a.append(low), b.append(high)
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Groups ``(bucket, i, j)`` of at most about ``2 * block`` members: all pairs of a bucket's blocks."""
-    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    cut = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        like = same.mean(axis=1) >= MAYBE
+        first = np.argmax(same.reshape(len(at), BANDS, ROWS).all(axis=2), axis=1)
+        at = at[like & (first == band)]
+        if not len(at):
+            continue
+        elements = np.concatenate([sets[m] for m in at])
+        found = np.searchsorted(sets[k], elements)
+        found[found == sizes[k]] = 0
+        both = np.add.reduceat((sets[k][found] == elements).astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
+        for m in at[_linked(both, sizes[at], sizes[k])].tolist():
+            low, high = sorted((k, m), key=lambda x: nodes[x])
+            links.setdefault((min(part[k], part[m]), max(part[k], part[m])), (nodes[low], nodes[high]))
+    return pa.table({"a": pa.array([a for a, _ in links.values()], pa.binary()), "b": pa.array([b for _, b in links.values()], pa.binary())})
+
+
+def _linked(both: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether sets of so many elements, ``both`` of them shared, reach the threshold; in whole numbers, so that a
+    similarity of exactly the threshold is a link."""
+    return both * 1000 >= round(THRESHOLD * 1000) * (one + two - both)
+
+
+def _blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """Groups ``(bucket, i, j)`` of two blocks at most: all pairs of the blocks that a bucket is cut into."""
+    cut = members.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     one = F.col("blocks") == 1
     other = F.explode(F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = cut.withColumn("other", other)
@@ -226,9 +242,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = []
             for one, two in zip(batch.column("left"), batch.column("right"), strict=True):
                 x, y = np.frombuffer(one.as_buffer(), "<u8"), np.frombuffer(two.as_buffer(), "<u8")
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                # In whole numbers, so that a similarity of exactly the threshold is a link.
-                keep.append(both * 1000 >= round(THRESHOLD * 1000) * (len(x) + len(y) - both))
+                keep.append(bool(_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("left")), "a")
@@ -250,7 +264,7 @@ def node_classes(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     inside = join_checked(banded, crowds, banded["bucket"] == crowds["crowd"], "inner").drop("crowd")
     members = stage(inside.join(nodes.select("node", "n", "signature"), "node"), "darts-members")
 
-    grouped = _blocks(members, BLOCK).groupBy("bucket", "i", "j")
+    grouped = _blocks(members, F.ceil(F.col("members") / F.lit(BLOCK))).groupBy("bucket", "i", "j")
     pairs = stage(grouped.applyInArrow(_forest, "a binary, b binary").unionByName(couples).distinct(), "darts-pairs")
     wanted = members.select("node").unionByName(couples.select(F.col("a").alias("node"))).unionByName(couples.select(F.col("b").alias("node"))).distinct()
     sets = stage(_sets(docs, nodes.select("node", "doc_id").join(wanted, "node")), "darts-sets")
@@ -258,10 +272,11 @@ def node_classes(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     parts = components(links)
 
     placed = members.join(parts.withColumnRenamed("component", "found"), "node", "left").withColumn("component", F.coalesce("found", "node")).drop("found")
-    split = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select(F.col("bucket").alias("crowd"))
-    mixed = join_checked(placed, split, placed["bucket"] == split["crowd"], "left_semi")
-    more = _blocks(mixed, BLOCK).groupBy("bucket", "i", "j").applyInArrow(_across, "a binary, b binary")
-    late = stage(_verified(more.join(pairs, ["a", "b"], "left_anti").distinct(), sets), "darts-late")
+    facts = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum("n").alias("elements_of_all"))
+    split = facts.filter("least <> most").select(F.col("bucket").alias("crowd"), "elements_of_all")
+    mixed = join_checked(placed, split, placed["bucket"] == split["crowd"], "inner").join(sets, "node")
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(BLOCK), F.col("elements_of_all") / F.lit(BLOCK_ELEMENTS)))
+    late = stage(_blocks(mixed, blocks).groupBy("bucket", "i", "j").applyInArrow(_across, "a binary, b binary").distinct(), "darts-late")
     return components(links.unionByName(late))
 
 
