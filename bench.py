@@ -26,7 +26,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    spark = build_session("bench", cpus=cpus, shuffle_partitions=int(cpus))
+    spark = build_session("bench", cpus=cpus, shuffle_partitions=int(cpus), text_partitions=int(cpus))
     # Start-up work (class loading, first file listing) is not what the queries cost.
     views.table(spark, sf_dir, "documents").selectExpr("sum(length(text))").collect()
     QUERIES["model_savings"](spark, sf_dir).collect()

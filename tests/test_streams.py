@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import tokenledger as tl
 from tokenledger.plans import queries, views
 from tokenledger.session import new_path, shared_dir
-from tokenledger.streaming import live
+from tokenledger.streaming import chunks, live
 
 
 def files(spark, frame, path, n):
@@ -115,3 +115,22 @@ def test_shared_folder_is_the_clusters(spark):
     with pytest.raises(RuntimeError):
         shared_dir(Cluster(None))
     assert shared_dir(spark)
+
+
+def test_chunks_sent_again_count_once(spark, tmp_path):
+    kind = "stream_id string, seq int, text string, prompt_tokens int, output_tokens int, is_last boolean"
+    batches = [
+        [("r", 0, "A", 0, 0, False), ("r", 2, "C", 3, 4, True)],
+        [("r", 0, "A", 0, 0, False), ("s", 0, "x", 1, 1, True)],
+        [("r", 1, "B", 0, 0, False), ("r", 1, "B", 0, 0, False)],
+        [("r", 1, "B", 0, 0, False), ("s", 0, "x", 1, 1, True)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    chunking_out = chunks.fold_chunk_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    chunking_out.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    streamed = sorted((r.stream_id, r.response_content, r.chunks, r.input_tokens, r.complete) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    whole = spark.createDataFrame([r for b in batches for r in b], kind)
+    batch = sorted((r.stream_id, r.response_content, r.chunks, r.input_tokens, r.complete) for r in chunks.fold_chunks(whole).collect())
+    assert streamed == batch == [("r", "ABC", 3, 3, True), ("s", "x", 1, 1, True)]

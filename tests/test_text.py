@@ -230,3 +230,29 @@ def test_secret_masks(spark):
         threats.mask_secrets(F.col("content"), F.lower("content")).alias("m")
     ).first()
     assert row.m == "id [SECRET_REDACTED], [SECRET_REDACTED]"
+
+
+def test_secret_masks_leave_no_piece(spark):
+    """Whatever stands around a secret, no 8 characters of it survive."""
+    random.seed(5)
+    alnum = "aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0zC"
+    secrets = [
+        "AKIA" + "ABCDEFGH12345678", "ghp" + "_" + (alnum * 2)[:36], "AIza" + (alnum * 2)[:35], "sk" + "_live_" + alnum[:24],
+        "key" + "-" + alnum, alnum, alnum[::-1] + "zQ9w",
+    ]
+    rows = []
+    for _ in range(150):
+        picked = [random.choice(secrets) + random.choice(["", "zQ9w", alnum[:28], "-x", "/a"]) for _ in range(random.randint(1, 3))]
+        rows.append((random.choice(["", "id=", "see "]) + random.choice([" ", ", ", "\n"]).join(picked) + random.choice(["", " end"]), picked))
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, content string")
+    for r in frame.select("i", threats.mask_secrets(F.col("content"), F.lower("content")).alias("m")).collect():
+        for whole in rows[r.i][1]:
+            for at in range(len(whole) - 7):
+                assert whole[at : at + 8] not in r.m, (rows[r.i][0], r.m)
+
+
+def test_script_numbers(spark):
+    cases = {0.0: "0", 3.0: "3", 7.5e-6: "0.0000075", 7.5e-7: "7.5e-7", 1e-7: "1e-7", 1234.5: "1234.5", 0.1: "0.1", 100.0: "100", -0.25: "-0.25"}
+    frame = spark.createDataFrame([(c,) for c in [*cases, None]], "x double")
+    got = {r.x: r.t for r in frame.select("x", numbers.script_number(F.col("x")).alias("t")).collect()}
+    assert got == cases | {None: "null"}

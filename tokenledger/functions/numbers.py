@@ -46,3 +46,16 @@ def fixed_sql(x: str, digits: int) -> str:
 def to_fixed(x: str, digits: int) -> Column:
     """:func:`fixed_sql` of a column name or SQL expression."""
     return F.expr(fixed_sql(x, digits))
+
+
+def script_number(x: Column) -> Column:
+    """The text of a number as scripts in a browser write it: ``3``, ``0.0000075``, ``7.5e-7``; null is ``null``."""
+    text = x.cast("double").cast("string")
+    plain = F.regexp_replace(text.cast("decimal(38,23)").cast("string"), r"\.?0+$", "")
+    tiny = F.regexp_replace(F.lower(text), r"\.0e", "e")
+    return (
+        F.when(x.isNull(), F.lit("null"))
+        .when(x == 0, F.lit("0"))
+        .when((F.abs(x) >= 1e-6) & (F.abs(x) < 1e15), plain)
+        .otherwise(tiny)
+    )

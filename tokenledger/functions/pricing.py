@@ -27,51 +27,41 @@ class Price(NamedTuple):
     deprecated: bool
 
 
-# Provider; model, input rate, output rate, retired or not.
-_LIST = """
-openai
-  o3-2025-12-15 2.00 8.00
-  gpt-5.2-preview 1.75 14.00
-  o4-mini 0.15 0.60
-  gpt-4o 2.50 10.00 deprecated
-  gpt-4o-mini 0.15 0.60 deprecated
-anthropic
-  claude-4-6-opus 5.00 25.00
-  claude-4-6-sonnet 3.00 15.00
-  claude-4-5-haiku 1.00 5.00
-  claude-3-5-sonnet-latest 3.00 15.00 deprecated
-google
-  gemini-3-pro-001 2.00 12.00
-  gemini-3-flash 0.50 3.00
-  gemini-3-flash-preview 0.50 3.00
-  gemini-3.5-flash 1.50 9.00
-  gemini-2.5-pro 1.25 10.00
-  gemini-2.5-flash 0.30 2.50
-  gemini-2.5-flash-lite 0.10 0.40
-  gemini-1.5-pro 1.25 3.75 deprecated
-  gemini-1.5-flash 0.075 0.30 deprecated
-deepseek
-  deepseek-reasoner 0.55 2.19
-  deepseek-chat 0.27 1.10
-mistral
-  mistral-large-2601 2.00 6.00
-  magistral-beta 4.00 12.00
-  ministral-3-14b 0.10 0.10
-meta
-  llama-4-405b 5.00 15.00
-  llama-4-maverick-17b 0.20 0.50
-amazon
-  amazon.nova-premier-v1 2.50 12.50
-  amazon.nova-micro-v1 0.05 0.20
-alibaba
-  qwen-3.5-omni 0.70 8.40
-  qwen3-coder-32b 0.50 2.00
-xai
-  grok-4 3.00 15.00
-  grok-4-fast 0.20 0.50
-cohere
-  command-r7-plus 3.00 15.00
-"""
+# Place, provider, model, input rate, output rate, retired or not.
+PRICES: tuple[Price, ...] = (
+    Price(0, "openai", "o3-2025-12-15", 2.00, 8.00, False),
+    Price(1, "openai", "gpt-5.2-preview", 1.75, 14.00, False),
+    Price(2, "openai", "o4-mini", 0.15, 0.60, False),
+    Price(3, "openai", "gpt-4o", 2.50, 10.00, True),
+    Price(4, "openai", "gpt-4o-mini", 0.15, 0.60, True),
+    Price(5, "anthropic", "claude-4-6-opus", 5.00, 25.00, False),
+    Price(6, "anthropic", "claude-4-6-sonnet", 3.00, 15.00, False),
+    Price(7, "anthropic", "claude-4-5-haiku", 1.00, 5.00, False),
+    Price(8, "anthropic", "claude-3-5-sonnet-latest", 3.00, 15.00, True),
+    Price(9, "google", "gemini-3-pro-001", 2.00, 12.00, False),
+    Price(10, "google", "gemini-3-flash", 0.50, 3.00, False),
+    Price(11, "google", "gemini-3-flash-preview", 0.50, 3.00, False),
+    Price(12, "google", "gemini-3.5-flash", 1.50, 9.00, False),
+    Price(13, "google", "gemini-2.5-pro", 1.25, 10.00, False),
+    Price(14, "google", "gemini-2.5-flash", 0.30, 2.50, False),
+    Price(15, "google", "gemini-2.5-flash-lite", 0.10, 0.40, False),
+    Price(16, "google", "gemini-1.5-pro", 1.25, 3.75, True),
+    Price(17, "google", "gemini-1.5-flash", 0.075, 0.30, True),
+    Price(18, "deepseek", "deepseek-reasoner", 0.55, 2.19, False),
+    Price(19, "deepseek", "deepseek-chat", 0.27, 1.10, False),
+    Price(20, "mistral", "mistral-large-2601", 2.00, 6.00, False),
+    Price(21, "mistral", "magistral-beta", 4.00, 12.00, False),
+    Price(22, "mistral", "ministral-3-14b", 0.10, 0.10, False),
+    Price(23, "meta", "llama-4-405b", 5.00, 15.00, False),
+    Price(24, "meta", "llama-4-maverick-17b", 0.20, 0.50, False),
+    Price(25, "amazon", "amazon.nova-premier-v1", 2.50, 12.50, False),
+    Price(26, "amazon", "amazon.nova-micro-v1", 0.05, 0.20, False),
+    Price(27, "alibaba", "qwen-3.5-omni", 0.70, 8.40, False),
+    Price(28, "alibaba", "qwen3-coder-32b", 0.50, 2.00, False),
+    Price(29, "xai", "grok-4", 3.00, 15.00, False),
+    Price(30, "xai", "grok-4-fast", 0.20, 0.50, False),
+    Price(31, "cohere", "command-r7-plus", 3.00, 15.00, False),
+)
 
 # Provider aliases.
 PROVIDER_ALIASES = {
@@ -84,25 +74,19 @@ PROVIDER_ALIASES = {
 }
 
 
-def _read_list(text: str) -> tuple[Price, ...]:
-    rows: list[Price] = []
-    provider = ""
-    for line in text.strip().splitlines():
-        if not line.startswith(" "):
-            provider = line.strip()
-            continue
-        model, rate_in, rate_out, *flags = line.split()
-        rows.append(Price(len(rows), provider, model, float(rate_in), float(rate_out), "deprecated" in flags))
-    return tuple(rows)
-
-
-PRICES: tuple[Price, ...] = _read_list(_LIST)
+def _sql_text(text: str) -> str:
+    """A string literal; a price list is a user's and may hold any character."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def price_frame(spark: SparkSession, prices: Sequence[Price] = PRICES) -> DataFrame:
     """The list as a local relation ``(ord, provider, model, input_rate, output_rate, deprecated)``."""
+    models = [(p.provider, p.model) for p in prices]
+    if len(set(models)) < len(models):
+        raise ValueError("a model is on the price list twice")
     rows = ", ".join(
-        f"({p.ord}, '{p.provider}', '{p.model}', {p.input_rate!r}D, {p.output_rate!r}D, {str(p.deprecated).lower()})"
+        f"({p.ord}, {_sql_text(p.provider)}, {_sql_text(p.model)}, {p.input_rate!r}D, {p.output_rate!r}D, {str(p.deprecated).lower()})"
         for p in prices
     )
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(ord, provider, model, input_rate, output_rate, deprecated)")
@@ -196,7 +180,7 @@ def add_alternatives(
     if not offers:
         return df.withColumn(name, F.expr(f"cast(array() as array<{ALTERNATIVE}>)"))
     costs = ", ".join(_cost_sql(p) for p in offers)
-    labels = ", ".join(f"struct('{p.model}' AS model, '{p.provider}' AS provider)" for p in offers)
+    labels = ", ".join(f"struct({_sql_text(p.model)} AS model, {_sql_text(p.provider)} AS provider)" for p in offers)
     listed = f"""transform(
         filter(_sorted, o -> NOT (array({labels})[o._places].model = _own_model
                                   AND array({labels})[o._places].provider = _own_provider)),
@@ -255,8 +239,8 @@ def add_best_offer(
         nothing = F.lit(None).cast("struct<cost:double,place:int,model:string,provider:string>")
         return df.withColumn(name, nothing)
     options = [
-        f"CASE WHEN NOT (_own_model = '{p.model}' AND _own_provider = '{p.provider}') THEN "
-        f"struct({_cost_sql(p)} AS cost, {place} AS place, '{p.model}' AS model, '{p.provider}' AS provider) END"
+        f"CASE WHEN NOT (_own_model = {_sql_text(p.model)} AND _own_provider = {_sql_text(p.provider)}) THEN "
+        f"struct({_cost_sql(p)} AS cost, {place} AS place, {_sql_text(p.model)} AS model, {_sql_text(p.provider)} AS provider) END"
         for place, p in _possible_winners(offers)
     ]
     best = f"least({', '.join(options)})" if len(options) > 1 else options[0]

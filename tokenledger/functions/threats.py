@@ -149,13 +149,19 @@ def is_threat(findings: Column) -> Column:
     )
 
 
+REDACTED = "[SECRET_REDACTED]"
+_KEY = "[a-zA-Z0-9/+_-]"
+
+
 def mask_secrets(content: Column, lowered: Column) -> Column:
-    """Replace every secret by ``[SECRET_REDACTED]``: rule matches first, then random-looking runs."""
+    """Replace every secret by ``[SECRET_REDACTED]``, with the whole run of key characters it stands in.
+
+    A rule of fixed length thus leaves no tail of a longer key. Runs are entered at their start only, so that a long one
+    is read once. Random-looking runs of the original text follow, the longest first, as one may begin another.
+    """
     masked = content
     for r in SECRET_RULES:
-        masked = F.when(
-            contains_any(lowered, r.needles), F.regexp_replace(masked, r.regex, "[SECRET_REDACTED]")
-        ).otherwise(masked)
-    return F.aggregate(
-        entropy_tokens(content), masked, lambda text, t: F.replace(text, t, F.lit("[SECRET_REDACTED]"))
-    )
+        whole = f"(?<!{_KEY}){_KEY}*?(?:{r.regex}){_KEY}*"
+        masked = F.when(contains_any(lowered, r.needles), F.regexp_replace(masked, whole, REDACTED)).otherwise(masked)
+    longest_first = F.array_sort(F.transform(F.array_distinct(entropy_tokens(content)), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    return F.aggregate(longest_first, masked, lambda text, x: F.replace(text, x["t"], F.lit(REDACTED)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.numbers import fixed_sql, or_zero, to_fixed
+from ..functions.numbers import fixed_sql, or_zero, script_number, to_fixed
 from ..functions.pricing import PRICES, Price, add_alternatives, add_best_offer, price_frame, with_cost
 from ..functions.text import SPACE
 
@@ -272,9 +272,9 @@ def backfill_plans(plans: DataFrame, usage: DataFrame, prices: Sequence[Price] =
 def analysis_prompts(usage: DataFrame, variables: DataFrame) -> DataFrame:
     """Per usage: the request text asking a model for an analysis, with one line per part."""
     line = F.concat(
-        F.col("name"),
+        F.coalesce("name", F.lit("null")),
         F.lit(" ("),
-        F.col("token_count").cast("string"),
+        F.coalesce(F.col("token_count").cast("string"), F.lit("null")),
         F.lit(' tokens): "'),
         F.substring(F.coalesce("content", F.lit("")), 1, 100),
         F.lit('..."'),
@@ -293,13 +293,13 @@ def analysis_prompts(usage: DataFrame, variables: DataFrame) -> DataFrame:
             "\n    Analyze this LLM prompt structure and suggest optimizations to reduce costs while maintaining "
             "performance.\n\n    Usage Context:\n    - Provider: "
         ),
-        F.col("provider"),
+        F.coalesce("provider", F.lit("null")),
         F.lit("\n    - Model: "),
-        F.col("model"),
+        F.coalesce("model", F.lit("null")),
         F.lit("\n    - Total Tokens: "),
-        F.col("total_tokens").cast("string"),
+        F.coalesce(F.col("total_tokens").cast("string"), F.lit("null")),
         F.lit("\n    - Total Cost: $"),
-        F.col("total_cost").cast("string"),
+        script_number(F.col("total_cost")),
         F.lit("\n\n    Variables:\n    "),
         info,
         F.lit(

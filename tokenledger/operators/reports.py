@@ -39,7 +39,10 @@ def scope(
         usage = usage.where(F.col("type") == kind)
     if days is not None:
         now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
-        usage = usage.where(F.col("timestamp") >= now - F.make_dt_interval(days=F.lit(days)))
+        start = now - F.make_dt_interval(days=F.lit(days))
+        usage = usage.where(F.col("timestamp") >= start)
+        if "date" in usage.columns:  # the log's partition column: days before the bound are not opened
+            usage = usage.where(F.col("date") >= F.to_date(start))
     return usage
 
 
@@ -135,9 +138,10 @@ def potential_savings(
 def count_for(usage: DataFrame, child: DataFrame, name: str) -> DataFrame:
     """One row: child rows (hits, alerts) that belong to the given usage rows.
 
-    Children are counted per usage before the join, so a usage row with very many of them stays one row.
+    Children are counted per usage before the join, so a usage row with very many of them stays one row. A child with a
+    column ``name`` has been counted already.
     """
-    counted = child.groupBy("usage_id").agg(F.count("*").alias("_n"))
+    counted = child.groupBy("usage_id").agg((F.sum(name) if name in child.columns else F.count("*")).alias("_n"))
     joined = counted.join(usage.select(F.col("id").alias("usage_id")), "usage_id", "inner")
     return joined.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias(name))
 
@@ -145,13 +149,17 @@ def count_for(usage: DataFrame, child: DataFrame, name: str) -> DataFrame:
 def stats_report(
     usage: DataFrame, pii_hits: DataFrame, alerts: DataFrame, prices: Sequence[Price] = PRICES
 ) -> DataFrame:
-    """The one-row statistics report. Its one-row pieces are stacked and summed, so no join is needed."""
-    pieces = [
-        totals(usage).drop("avg_cost"),
-        count_for(usage, pii_hits, "pii_hits"),
-        count_for(usage, alerts, "security_alerts"),
-        potential_savings(usage, prices=prices),
-    ]
+    """The one-row statistics report. Its one-row pieces are stacked and summed, so no join is needed.
+
+    ``pii_hits`` and ``alerts`` are rows of findings, or one table of ``scan.finding_counts`` given for both.
+    """
+    if pii_hits is alerts:
+        ids = usage.select(F.col("id").alias("usage_id"))
+        both = alerts.join(ids, "usage_id", "left_semi")
+        found = [both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pii_hits", "security_alerts")])]
+    else:
+        found = [count_for(usage, pii_hits, "pii_hits"), count_for(usage, alerts, "security_alerts")]
+    pieces = [totals(usage).drop("avg_cost"), *found, potential_savings(usage, prices=prices)]
     stacked = pieces[0]
     for piece in pieces[1:]:
         stacked = stacked.unionByName(piece, allowMissingColumns=True)

@@ -64,6 +64,14 @@ def secret_findings(parts: DataFrame) -> DataFrame:
     return _explode_findings(parts, threats.secret_findings)
 
 
+def finding_counts(parts: DataFrame) -> DataFrame:
+    """Per prompt: ``pii_hits`` and ``security_alerts`` (injections and secrets), from one pass over the texts."""
+    content, low = F.col("content"), F.col("_low")
+    alerts = F.size(threats.injection_findings(content, low)) + F.size(threats.secret_findings(content, low))
+    counted = with_pii(parts).select("usage_id", F.greatest(F.size("pii"), F.lit(0)).alias("hits"), F.greatest(alerts, F.lit(0)).alias("alerts"))
+    return counted.groupBy("usage_id").agg(F.sum("hits").alias("pii_hits"), F.sum("alerts").alias("security_alerts"))
+
+
 def entropy_tokens(parts: DataFrame) -> DataFrame:
     """Runs of key characters above the entropy limit, with their entropy."""
     rows = explode_rows(parts, list(_PART), threats.entropy_tokens(F.col("content")), "token")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import or_empty
-from ..functions.text import SPACE, trim_space
+from ..functions.text import SPACE, text_length, trim_space
 from .running import last_before
 
 # Part names, defaults and wording.
@@ -96,8 +96,11 @@ def _field(label: str) -> Column:
 def parse_verification(replies: DataFrame, threshold: float = KILL_THRESHOLD) -> DataFrame:
     """Verdicts from reply texts ``reply``: status, confidence, whether to continue, reasoning, and the kill flag.
 
-    Missing lines give uncertain, 0.5 and true; a confidence of 0 or without a number counts as 0.5.
+    Missing lines give uncertain, 0.5 and true; a confidence of 0 or without a number counts as 0.5. If the rows carry
+    the ``sample`` that was checked, ``char_count`` is its length in UTF-16 units.
     """
+    if "sample" in replies.columns:
+        replies = replies.withColumn("char_count", text_length(F.coalesce("sample", F.lit(""))))
     lines = F.transform(F.split(trim_space(F.col("reply")), "\n"), trim_space)
     number = F.regexp_extract(_field("CONFIDENCE:"), rf"^[{SPACE}]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
     confidence = F.coalesce(number.try_cast("double"), F.lit(0.0))

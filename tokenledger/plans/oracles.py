@@ -460,8 +460,9 @@ _BODIES: dict[str, str] = {
             sum(CASE WHEN type IN ('cache_hit', 'execution') THEN saved_tokens ELSE 0 END)::BIGINT AS total_saved_tokens,
             count(*) AS total_requests, count(*) FILTER (type = 'cache_hit') AS total_cache_hits,
             (SELECT count(*) FROM findings f JOIN usage_log u ON u.id = f.usage_id WHERE u.org_id = 'org_1') AS pii_hits,
-            (SELECT count(*) FROM injections f JOIN usage_log u ON u.id = f.usage_id WHERE u.org_id = 'org_1')
-                AS security_alerts,
+            (SELECT count(*) FROM (SELECT usage_id FROM injections UNION ALL SELECT usage_id FROM secrets
+                UNION ALL SELECT usage_id FROM random_runs) f JOIN usage_log u ON u.id = f.usage_id
+                WHERE u.org_id = 'org_1') AS security_alerts,
             round(({_POTENTIAL}), 9) AS potential_savings, round(sum(total_cost) / count(*), 12) AS avg_cost
         FROM usage_log WHERE org_id = 'org_1'""",
     "org_enrichment": """
@@ -601,8 +602,7 @@ _BODIES: dict[str, str] = {
         UNION ALL SELECT usage_id, name, 'secret', 'High Entropy Token', 'medium',
             'High-entropy string detected (likely a key or token).', NULL FROM random_runs""",
     "entropy_findings": "SELECT usage_id, token, round(entropy, 6) AS entropy FROM random_runs",
-    "entropy_of_source": f"""SELECT doc_id, round({_ENTROPY.format(t='d')}, 6) AS entropy
-        FROM (SELECT doc_id, sha256(text) AS d FROM documents)""",
+    "entropy_of_source": f"""SELECT doc_id, round({_ENTROPY.format(t='text')}, 6) AS entropy FROM documents""",
     "threat_flag": "SELECT usage_id, threat FROM threats",
     "threat_policy": """SELECT usage_id, CASE WHEN threat THEN 'rejected' ELSE 'accepted' END AS outcome FROM threats""",
     "compress_text": f"""SELECT usage_id, md5(s) AS small_md5, length(s) AS size
@@ -756,9 +756,32 @@ _BODIES: dict[str, str] = {
         FROM explain_best e JOIN fresh f USING (id)""",
     "first_plans": """SELECT id AS usage_id, 'a_plan_' || id AS plan_id, -1.0::DOUBLE AS pct FROM rows_to_explain""",
     "analysis_prompts": """
-        SELECT u.id AS usage_id, md5(coalesce(string_agg(v.name || ' (' || v.token_count || ' tokens): "' || v.content[1:100]
-            || '..."', chr(10) ORDER BY v.position), '')) AS part_lines_md5
-        FROM usage_log u LEFT JOIN variables v ON v.usage_id = u.id GROUP BY u.id""",
+        WITH lines AS (
+            SELECT u.id, coalesce(string_agg(v.name || ' (' || v.token_count || ' tokens): "' || v.content[1:100]
+                || '..."', chr(10) ORDER BY v.position), '') AS part_lines
+            FROM usage_log u LEFT JOIN variables v ON v.usage_id = u.id GROUP BY u.id)
+        SELECT id AS usage_id, md5(part_lines) AS part_lines_md5, md5(concat(
+            -- Fixed value: the request text.
+            '
+    Analyze this LLM prompt structure and suggest optimizations to reduce costs while maintaining performance.
+
+    Usage Context:
+    - Provider: ', coalesce(provider, 'null'), '
+    - Model: ', coalesce(model, 'null'), '
+    - Total Tokens: ', total_tokens, '
+    - Total Cost: $', CASE WHEN total_cost IS NULL THEN 'null' WHEN total_cost = 0 THEN '0'
+                WHEN total_cost >= 1e-6 THEN regexp_replace(total_cost::VARCHAR::DECIMAL(38, 23)::VARCHAR, '\\.?0+$', '')
+                ELSE replace(total_cost::VARCHAR, 'e-0', 'e-') END, '
+
+    Variables:
+    ', part_lines, '
+
+    Return a JSON object with:
+    - detected_issues (array of strings)
+    - optimization_suggestions (array of strings)
+    - estimated_savings_pct (number)
+    ')) AS prompt_md5
+        FROM usage_log JOIN lines USING (id)""",
     "analysis_parse": """
         SELECT u.id AS usage_id, event_id % 6 > 0 AS parsed,
             CASE WHEN event_id % 6 > 0 THEN substr(endpoint, 2) || '|long' END AS issues,
@@ -785,9 +808,7 @@ _BODIES: dict[str, str] = {
     "stream_ingest": """SELECT id, 'ingested' AS type, total_tokens, round(total_cost, 9) AS total_cost,
         total_tokens > 32000 AS token_limit_exceeded FROM usage_log""",
     "stats_daily": "SELECT * FROM daily",
-    # A day is final once the newest event is more than the watermark (1 hour) past its end.
-    "stream_stats_daily": """SELECT * FROM daily
-        WHERE day + 86400000000 <= (SELECT epoch_us(max(ts) - INTERVAL 1 HOUR) FROM events)""",
+    "stream_stats_daily": "SELECT * FROM daily",
     "stream_cache": """SELECT id, CASE WHEN (ts, id) > first_store THEN first_store[2] END AS cached_usage_id
         FROM event_stores""",
 }

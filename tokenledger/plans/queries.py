@@ -21,7 +21,7 @@ from ..operators import construct as constructing
 from ..operators import explain as explaining
 from ..operators import guard as guarding
 from ..operators import listing as listings
-from ..session import new_path, spread
+from ..session import dealt, new_path
 from ..sources import export, ingest, log, replies
 from ..streaming import chunks as chunking
 from ..streaming import live
@@ -35,7 +35,7 @@ AS_OF = "2024-01-31 00:00:00"
 
 def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usage log for work that is heavy per row, in enough tasks."""
-    return spread(views.usage(spark, sf_dir), "id")
+    return dealt(views.usage(spark, sf_dir), "id")
 
 
 def query(function: Query) -> Query:
@@ -203,9 +203,10 @@ def model_savings(spark, sf_dir):
 @query
 def stats_report(spark, sf_dir):
     usage = reports.scope(views.usage(spark, sf_dir), "org_1")
-    hits = ingest.pii_hit_rows(views.texts(spark, sf_dir))
-    alerts = scan.injection_findings(views.texts(spark, sf_dir))
-    return reports.stats_report(usage, hits, alerts).select(
+    # The tenant's texts first, then one pass over them for both counts.
+    ids = usage.select(F.col("id").alias("usage_id"))
+    found = scan.finding_counts(views.texts(spark, sf_dir).join(ids, "usage_id", "left_semi"))
+    return reports.stats_report(usage, found, found).select(
         "total_tokens", _r("total_cost"), "total_saved_tokens", "total_requests", "total_cache_hits",
         F.col("pii_hits").cast("bigint").alias("pii_hits"),
         F.col("security_alerts").cast("bigint").alias("security_alerts"),
@@ -537,8 +538,8 @@ def entropy_findings(spark, sf_dir):
 
 @query
 def entropy_of_source(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return scan.entropy(rows, "digest").select("doc_id", _r("entropy", 6))
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan.entropy(rows, "text").select("doc_id", _r("entropy", 6))
 
 
 @query
@@ -863,7 +864,7 @@ def first_plans(spark, sf_dir):
 @query
 def analysis_prompts(spark, sf_dir):
     rows = explaining.analysis_prompts(views.usage(spark, sf_dir), views.variables(spark, sf_dir))
-    return rows.select("usage_id", F.md5("part_lines").alias("part_lines_md5"))
+    return rows.select("usage_id", F.md5("part_lines").alias("part_lines_md5"), F.md5("prompt").alias("prompt_md5"))
 
 
 @query
@@ -916,19 +917,19 @@ def _verdicts(events: DataFrame) -> DataFrame:
 
 @query
 def verification_parse(spark, sf_dir):
-    return _verdicts(spread(views.table(spark, sf_dir, "events"), "event_id")).select(
+    return _verdicts(dealt(views.table(spark, sf_dir, "events"), "event_id")).select(
         "id", "status", "confidence", "should_continue", "reasoning"
     )
 
 
 @query
 def kill_rule(spark, sf_dir):
-    return _verdicts(spread(views.table(spark, sf_dir, "events"), "event_id")).select("id", "kill")
+    return _verdicts(dealt(views.table(spark, sf_dir, "events"), "event_id")).select("id", "kill")
 
 
 @query
 def heartbeat_chain(spark, sf_dir):
-    rows = verify.with_previous_status(_verdicts(spread(views.table(spark, sf_dir, "events"), "event_id")))
+    rows = verify.with_previous_status(_verdicts(dealt(views.table(spark, sf_dir, "events"), "event_id")))
     return rows.select("request_id", "id", "status", "previous_status", F.col("kill").alias("stop"))
 
 
@@ -970,8 +971,11 @@ def stats_daily(spark, sf_dir):
 
 @query
 def stream_stats_daily(spark, sf_dir):
-    """The windowed statistics of a live log. The last day stays open, as the watermark has not passed it."""
-    return _daily(_drain(live.live_stats(views.priced_log(_stream(spark, sf_dir, "events"))), "stats"))
+    """The windowed statistics of a live log, open windows included: the newest figures of each window."""
+    path = new_path(spark, "stats")
+    stats = live.live_stats(views.priced_log(_stream(spark, sf_dir, "events")))
+    live.stream_stats(stats, path, f"{path}-checkpoint", once=True).awaitTermination()
+    return _daily(live.read_stats(spark, path, stats.schema))
 
 
 def _daily(rows: DataFrame) -> DataFrame:

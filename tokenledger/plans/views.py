@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pricing import with_cost
 from ..functions.text import token_count
-from ..session import spread
+from ..session import dealt
 from ..sources.ingest import USAGE_COLUMNS
 
 # Provider and model of a row, picked by its id: aliases, upper case, retired and unknown ones among them.
@@ -67,13 +67,13 @@ ENDINGS = (
 )
 
 
-# Tables of long texts, and the key they are spread by if they come in few files.
+# Tables of long texts, and the key they are dealt by if the session asks for it.
 _TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, *_TEXT_KEYS[name]) if name in _TEXT_KEYS else rows
+    return dealt(rows, *_TEXT_KEYS[name]) if name in _TEXT_KEYS else rows
 
 
 def _pick(values: tuple[str, ...], number: Column) -> Column:

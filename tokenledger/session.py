@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
-_local_dir: str | None = None
+_TEXT_KEY = "tokenledger.text.partitions"
 
 
-def build_session(app: str = "tokenledger", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def build_session(
+    app: str = "tokenledger", cpus: int | str = "*", shuffle_partitions: int = 8, text_partitions: int | None = None
+) -> SparkSession:
     """A local session for tests and the benchmark. A cluster brings its own."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -26,23 +27,19 @@ def build_session(app: str = "tokenledger", cpus: int | str = "*", shuffle_parti
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get(_CHECKPOINT_KEY, None):
+        spark.conf.set(_CHECKPOINT_KEY, f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged")
+    if text_partitions:
+        spark.conf.set(_TEXT_KEY, str(text_partitions))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder; a cluster without the setting is an error.
-    """
-    global _local_dir
+    """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``."""
     configured = spark.conf.get(_CHECKPOINT_KEY, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"{_CHECKPOINT_KEY} must name a shared folder on this cluster")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="tokenledger-")
-    return _local_dir
+    if not configured:
+        raise RuntimeError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
+    return configured.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -60,11 +57,17 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition ``df`` by its keys if it comes from fewer files than there are cores; else leave it as it is.
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, dealt by its keys into as many partitions as the session asks for in ``tokenledger.text.partitions``.
 
-    Long texts pack many rows into one file, and text work then runs in too few tasks. Large inputs have many files
-    and are not shuffled.
+    Unset (the default), rows stay where the scan puts them. Set it where a table of long texts is one file of one row
+    group, which the scan cannot split. The plan follows from the session alone, never from the data.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    parts = df.sparkSession.conf.get(_TEXT_KEY, None)
+    return df.repartition(int(parts), *keys) if parts else df
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove the intermediate tables of finished work below the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tokenledger")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

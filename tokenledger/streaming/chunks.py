@@ -16,8 +16,11 @@ _STATE = "texts array<string>, seqs array<bigint>, usage_seq bigint, input_token
 def fold_chunks(chunks: DataFrame) -> DataFrame:
     """One row per reply from ``(stream_id, seq, text, prompt_tokens, output_tokens, is_last)``.
 
-    Texts are joined in order; the counts are those of the last chunk with a count that is not 0.
+    Texts are joined in order; the counts are those of the last chunk with a count that is not 0. A chunk that was sent
+    again counts once.
     """
+    sent = F.struct(*[c for c in chunks.columns if c not in ("stream_id", "seq")])
+    chunks = chunks.groupBy("stream_id", "seq").agg(F.min(sent).alias("_sent")).select("stream_id", "seq", "_sent.*")
     counted = (F.coalesce("prompt_tokens", F.lit(0)) != 0) | (F.coalesce("output_tokens", F.lit(0)) != 0)
     usage = F.struct(
         "seq", F.coalesce("prompt_tokens", F.lit(0)).alias("i"), F.coalesce("output_tokens", F.lit(0)).alias("o")
@@ -38,6 +41,10 @@ def fold_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
+#: Last seq of a reply that has been given out; a mark is kept for chunks that are sent again.
+DONE = -2
+
+
 def _folder(idle_ms: int | None):
     """The state function, nested so that it travels to the workers by value."""
 
@@ -46,24 +53,40 @@ def _folder(idle_ms: int | None):
         texts, seqs, usage_seq, tokens_in, tokens_out, count, last_seq = (
             state.get if state.exists else ([], [], -1, 0, 0, 0, -1)
         )
-        texts, seqs = list(texts), list(seqs)
+
+        def wait() -> None:
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
+
+        if last_seq == DONE:  # chunks sent again after the reply was given out
+            if state.hasTimedOut:
+                state.remove()
+            else:
+                list(batches)
+                wait()
+            return
+        texts, seqs = list(texts), [int(x) for x in seqs]
         if not state.hasTimedOut:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    texts.append(row.text if isinstance(row.text, str) else "")
-                    seqs.append(int(row.seq))
-                    count += 1
-                    used = (int(row.prompt_tokens or 0), int(row.output_tokens or 0))
-                    if any(used) and row.seq > usage_seq:
-                        usage_seq, (tokens_in, tokens_out) = int(row.seq), used
-                    if row.is_last:
-                        last_seq = int(row.seq)
+            rows = pd.concat(list(batches)).drop_duplicates("seq")
+            rows = rows[~rows["seq"].isin(seqs)].sort_values("seq")
+            texts += rows["text"].fillna("").tolist()
+            seqs += rows["seq"].astype(int).tolist()
+            count = len(seqs)
+            used = rows[(rows["prompt_tokens"] != 0) | (rows["output_tokens"] != 0)]
+            if len(used) and used["seq"].iloc[-1] > usage_seq:
+                usage_seq, tokens_in, tokens_out = (int(used[c].iloc[-1]) for c in ("seq", "prompt_tokens", "output_tokens"))
+            ends = rows.loc[rows["is_last"], "seq"]
+            last_seq = int(ends.iloc[-1]) if len(ends) else last_seq
             if last_seq < 0 or count <= last_seq:
                 state.update((texts, seqs, usage_seq, tokens_in, tokens_out, count, last_seq))
-                if idle_ms:
-                    state.setTimeoutDuration(idle_ms)
+                wait()
                 return
-        state.remove()
+        complete = last_seq >= 0
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            state.update(([], [], -1, 0, 0, 0, DONE))
+            wait()
         ordered = [t for _, t in sorted(zip(seqs, texts))]
         yield pd.DataFrame(
             {
@@ -72,7 +95,7 @@ def _folder(idle_ms: int | None):
                 "input_tokens": [tokens_in],
                 "output_tokens": [tokens_out],
                 "chunks": [count],
-                "complete": [last_seq >= 0],
+                "complete": [complete],
             }
         )
 
@@ -82,8 +105,8 @@ def _folder(idle_ms: int | None):
 def fold_chunk_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """:func:`fold_chunks` on a stream: state per reply until its end marker.
 
-    With ``idle_ms`` a reply that gets no chunk for so long is emitted as it is, marked incomplete (needs a trigger
-    that keeps running). ``seq`` counts from 0. A reply is one model answer, so its state is bounded by the model's
+    With ``idle_ms`` a reply that gets no chunk for so long is emitted as it is, marked incomplete, and no state stays
+    for ever; it needs a trigger that keeps running, as a run over what is there would wait for the time to pass. Chunks that are sent again count once. ``seq`` counts from 0. A reply is one model answer, so its state is bounded by the model's
     output limit.
     """
     rows = chunks.select(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import schema
 from ..config import Config
@@ -72,8 +72,10 @@ def read_batches(spark: SparkSession, target: str, name: str, ddl=None) -> DataF
     return spark.read.schema(given).parquet(f"{target}/{name}")
 
 
-CACHE_ROW = "prompt_hash string, id string, timestamp timestamp"
+CACHE_ROW = "prompt_hash string, id string, timestamp timestamp, response_content string"
 CALL_ROW = "id string, prompt_hash string, timestamp timestamp, cached_usage_id string"
+# Of the rows written for a batch: the reply of a miss, and whether its hash was stored before.
+_REPLAYED = f"{CALL_ROW}, response_content string, known boolean"
 
 
 def stream_cache(calls: DataFrame, target: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -91,14 +93,17 @@ def stream_cache(calls: DataFrame, target: str, checkpoint: str, once: bool = Fa
         stored = known.select("prompt_hash", F.col("id").alias("_known"))
         joined = df.select("id", "prompt_hash", "timestamp", "response_content").join(stored, "prompt_hash", "left")
         replayed = find_hits(joined).withColumn("cached_usage_id", F.coalesce("_known", "cached_usage_id"))
-        replayed.select("id", "prompt_hash", "timestamp", "cached_usage_id").write.mode("overwrite").parquet(
-            f"{target}/calls/batch_id={batch_id}"
-        )
+        # Written once; the calls and the new answers are both read from there.
+        reply = F.when(F.col("cached_usage_id").isNull(), F.col("response_content")).alias("response_content")
+        replayed.select("id", "prompt_hash", "timestamp", "cached_usage_id", reply, F.col("_known").isNotNull().alias("known")).write.mode(
+            "overwrite"
+        ).parquet(f"{target}/calls/batch_id={batch_id}")
+        written = spark.read.schema(_REPLAYED).parquet(f"{target}/calls/batch_id={batch_id}")
         fresh = (
-            replayed.where("_known is null and coalesce(response_content, '') <> ''")
+            written.where("not known and coalesce(response_content, '') <> ''")
             .groupBy("prompt_hash")
-            .agg(F.min(F.struct("timestamp", "id")).alias("_first"))
-            .select("prompt_hash", "_first.id", "_first.timestamp")
+            .agg(F.min(F.struct("timestamp", "id", "response_content")).alias("_first"))
+            .select("prompt_hash", "_first.id", "_first.timestamp", "_first.response_content")
         )
         fresh.write.mode("overwrite").parquet(f"{target}/cache/batch_id={batch_id}")
 
@@ -106,26 +111,31 @@ def stream_cache(calls: DataFrame, target: str, checkpoint: str, once: bool = Fa
 
 
 def _known_before(spark: SparkSession, target: str, batch_id: int) -> DataFrame:
-    try:
-        stored = spark.read.schema(CACHE_ROW + ", batch_id bigint").parquet(f"{target}/cache")
-    except AnalysisException:  # nothing stored yet
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/cache")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # nothing stored yet
         return spark.createDataFrame([], CACHE_ROW)
+    stored = spark.read.schema(CACHE_ROW + ", batch_id bigint").parquet(f"{target}/cache")
     return stored.where(F.col("batch_id") < batch_id).drop("batch_id")
 
 
 HEARTBEAT = "request_id string, id string, timestamp timestamp, status string, confidence double, previous_status string"
 
 
-def _chainer():
+def _chainer(idle_ms: int | None):
     """The state function, nested so that it travels to the workers by value."""
 
     def chain(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Give each verdict of one request the status before it; only that one status is kept."""
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["timestamp", "id"], kind="stable")
         previous = state.get[0] if state.exists else None
         chained = rows["status"].shift(1)
         chained.iloc[0] = previous
         state.update((rows["status"].iloc[-1],))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(
             {
                 "request_id": key[0],
@@ -140,17 +150,19 @@ def _chainer():
     return chain
 
 
-def heartbeat_state(verdicts: DataFrame, threshold: float = 0.7) -> DataFrame:
+def heartbeat_state(verdicts: DataFrame, threshold: float = 0.7, idle_ms: int | None = None) -> DataFrame:
     """Verdicts of a stream ``(request_id, id, timestamp, status, confidence)`` with the previous status and a stop flag.
 
-    The state of a request is one status. Verdicts of one request arrive in step with its heartbeats, so a
+    The state of a request is one status, dropped when no verdict comes for ``idle_ms`` (set it on a trigger that keeps
+    running). Verdicts of one request arrive in step with its heartbeats, so a
     micro-batch (bounded by the source's rate limit) holds few of each.
     """
     rows = verdicts.select(
         "request_id", "id", F.col("timestamp").cast("timestamp").alias("timestamp"), "status", "confidence"
     )
     chained = rows.groupBy("request_id").applyInPandasWithState(
-        _chainer(), HEARTBEAT, "status string", "append", GroupStateTimeout.NoTimeout
+        _chainer(idle_ms), HEARTBEAT, "status string", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
     )
     return chained.withColumn("stop", kill(F.col("status"), F.col("confidence"), threshold))
 
@@ -176,3 +188,25 @@ def live_stats(
         .withColumns({"window_start": F.col("_window.start"), "window_end": F.col("_window.end")})
         .drop("_window")
     )
+
+
+def stream_stats(stats: DataFrame, target: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep the newest figures of every window of :func:`live_stats`, open or closed, below ``target``.
+
+    Each micro-batch writes the windows it changed into its own folder; :func:`read_stats` takes the newest of each.
+    """
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    writer = stats.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_stats(spark: SparkSession, target: str, ddl, by: Sequence[str] = ("org_id", "provider", "model")) -> DataFrame:
+    """The newest figures of each window that :func:`stream_stats` has written."""
+    fields = [f.name for f in ddl.fields]
+    rows = spark.read.schema(StructType([*ddl.fields, StructField("batch_id", LongType())])).parquet(target)
+    keys = ["window_start", *by]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in fields if c not in keys]), "batch_id").alias("_newest"))
+    return newest.select(*keys, "_newest.*")
