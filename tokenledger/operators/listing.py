@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import to_fixed
 from ..functions.pricing import PRICES, Price
+from ..session import stage
 from .explain import backfill_plans
 from .reports import scope
 
@@ -34,6 +35,16 @@ def recent(usage: DataFrame, org: str | None = None, project: str | None = None,
     return scope(usage, org, project).orderBy(*_order("date")).limit(n)
 
 
+def newest(usage: DataFrame, variables: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The newest ``n`` usage rows and their parts, written once to the shared folder.
+
+    Explaining, nesting and listing then read these few rows and not the log again.
+    """
+    rows = stage(recent(usage, n=n), "newest")
+    own = variables.join(rows.select(F.col("id").alias("usage_id")), "usage_id", "left_semi")
+    return rows, stage(own, "newest-parts")
+
+
 def page(usage: DataFrame, number: int, sort: str = "date", size: int = PAGE_SIZE) -> DataFrame:
     """Page ``number`` (from 1) of the rows in the given order."""
     return usage.orderBy(*_order(sort)).offset((number - 1) * size).limit(size)

@@ -305,9 +305,8 @@ def size_reduction(spark, sf_dir):
 
 @query
 def usage_nested(spark, sf_dir):
-    usage, variables = _usage(spark, sf_dir), views.variables(spark, sf_dir)
-    plans = explaining.explain(usage, variables)
-    rows = listings.nest(listings.recent(usage, n=200), variables, plans)
+    usage, variables = listings.newest(_usage(spark, sf_dir), views.variables(spark, sf_dir), 200)
+    rows = listings.nest(usage, variables, explaining.explain(usage, variables))
     return rows.select(
         "id",
         F.coalesce(F.array_join(F.transform("variables", lambda v: F.concat(v["name"], F.lit(":"), v["token_count"])), ","), F.lit("")).alias("parts"),
@@ -329,7 +328,7 @@ def usage_nested_by_id(spark, sf_dir):
 
 @query
 def listing_page(spark, sf_dir):
-    usage, variables = _usage(spark, sf_dir), views.variables(spark, sf_dir)
+    usage, variables = listings.newest(_usage(spark, sf_dir), views.variables(spark, sf_dir), 500)
     plans = explaining.explain(usage, variables)
     rows = listings.listing(
         usage, variables, plans, endpoint="c", only_recommended=True, sort="cost", number=2, limit=500
@@ -457,7 +456,7 @@ def log_round_trip(spark, sf_dir):
 
 @query
 def export_jsonl(spark, sf_dir):
-    usage, variables = _usage(spark, sf_dir), views.variables(spark, sf_dir)
+    usage, variables = listings.newest(_usage(spark, sf_dir), views.variables(spark, sf_dir), export.EXPORT_LIMIT)
     lines = export.export_jsonl(usage, variables, explaining.explain(usage, variables))
     return lines.select(
         "id",
