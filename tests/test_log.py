@@ -361,3 +361,23 @@ def test_previous_status(spark):
     rows = [(f"v{i}", "r", START + timedelta(hours=i * 3), s) for i, s in enumerate(["a", "b", None, "c"])]
     frame = spark.createDataFrame(rows, "id string, request_id string, timestamp timestamp, status string")
     assert [r.previous_status for r in verify.with_previous_status(frame).orderBy("id").collect()] == [None, "a", "b", "b"]
+
+
+def test_price_lists_of_any_text_and_no_doubles(spark):
+    from tokenledger.functions.pricing import Price, price_frame
+
+    odd = [Price(0, "o'neil", "m\\'x", 1.0, 2.0, False)]
+    assert [(r.provider, r.model) for r in price_frame(spark, odd).collect()] == [("o'neil", "m\\'x")]
+    with pytest.raises(ValueError):
+        price_frame(spark, [odd[0], odd[0]._replace(ord=1)])
+
+
+def test_children_carry_the_time_of_their_record(spark):
+    raw = spark.sql(
+        "select 'u1' id, 1 input_tokens, 1 output_tokens, timestamp'2024-01-02 03:04:05' timestamp, "
+        "array(named_struct('name', 'q', 'content', 'a@b.com', 'original_content', '', 'token_count', 1, 'char_count', 7, 'position', 0)) variables, "
+        "array(named_struct('type', 'pii', 'target', 'q', 'method', 'mask')) actions_taken"
+    )
+    tables = tl.ingest_usage(raw)
+    for name in ("pii_hits", "variable_actions"):
+        assert [str(r.timestamp) for r in tables[name].collect()] == ["2024-01-02 03:04:05"]

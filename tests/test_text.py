@@ -185,12 +185,15 @@ def test_tokens(spark):
 def test_pretokens_equal_split(spark):
     import regex
 
-    from tokenledger.functions.tokens import CL100K_SPLIT
-
+    # Fixed value: the published split pattern of the cl100k encoding.
+    cl100k_split = (
+        r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}"
+        r"| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    )
     cases = ["I'm 12345 years, it's  fine!\n\n  ok", "tabs\t\tand   spaces ", "\u00e9t\u00e9 \u4f60\u597d don't", "a  b", "  "]
     frame = spark.createDataFrame([(c,) for c in cases], "c string")
     for row in frame.select("c", text.pretoken_count(F.col("c")).alias("n")).collect():
-        assert row.n == len(regex.findall(CL100K_SPLIT, row.c)), row.c
+        assert row.n == len(regex.findall(cl100k_split, row.c)), row.c
 
 
 def test_long_runs(spark):
@@ -199,19 +202,6 @@ def test_long_runs(spark):
     assert {r.c: r.r for r in frame.select("c", text.has_long_run(F.col("c")).alias("r")).collect()} == cases
 
 
-def test_exact_tokens(spark, tmp_path):
-    import base64
-
-    from tokenledger.functions.tokens import exact_token_count
-
-    ranks = [bytes([b]) for b in range(256)] + [b"he", b"ll", b"llo", b"hello"]
-    vocabulary = tmp_path / "tiny.tiktoken"
-    vocabulary.write_bytes(b"".join(base64.b64encode(r) + b" " + str(i).encode() + b"\n" for i, r in enumerate(ranks)))
-    frame = spark.createDataFrame([("hello",), ("hello he",), ("",), (None,), ("z" * 400,)], "c string")
-    counted = exact_token_count(spark, F.col("c"), str(vocabulary))
-    assert [r.n for r in frame.select(counted.alias("n")).collect()] == [1, 3, 0, 0, 100]
-
-
 def test_fixed_decimals(spark):
     random.seed(1)
     values = [0.015, 0.025, 0.125, 1.005, 0.0, 123456.785, 2.5, 0.5, 99.995, -1.255]
@@ -256,3 +246,10 @@ def test_script_numbers(spark):
     frame = spark.createDataFrame([(c,) for c in [*cases, None]], "x double")
     got = {r.x: r.t for r in frame.select("x", numbers.script_number(F.col("x")).alias("t")).collect()}
     assert got == cases | {None: "null"}
+
+
+def test_char_count_of_the_checked_sample(spark):
+    from tokenledger.operators.verify import parse_verification
+
+    frame = spark.createDataFrame([("STATUS: on_track", "ab\U0001f600"), ("", None)], "reply string, sample string")
+    assert [r.char_count for r in parse_verification(frame).collect()] == [4, 0]

@@ -17,8 +17,7 @@ class Config:
     """Which checks run and what happens on a finding.
 
     ``pii_action``: mask | warn | reject.  ``security_action``: warn | reject | mask.
-    ``threshold_action``: warning | reject.  ``token_mode``: estimate | pretoken | exact
-    (exact needs ``vocabulary``, the path of a rank file in the ``.tiktoken`` text format).
+    ``threshold_action``: warning | reject.  ``token_mode``: estimate | pretoken
     ``skip_history`` leaves ``history_*`` parts unscanned and unchanged.
     """
 
@@ -30,7 +29,6 @@ class Config:
     threshold_action: str = "warning"
     max_tokens: int = DEFAULT_MAX_TOKENS
     token_mode: str = "estimate"
-    vocabulary: str | None = None
     default_provider: str = DEFAULT_PROVIDER
     default_model: str = DEFAULT_MODEL
     default_project: str = DEFAULT_PROJECT

@@ -153,7 +153,7 @@ def stats_report(
 
     ``pii_hits`` and ``alerts`` are rows of findings, or one table of ``scan.finding_counts`` given for both.
     """
-    if pii_hits is alerts:
+    if pii_hits is alerts and "security_alerts" in alerts.columns:
         ids = usage.select(F.col("id").alias("usage_id"))
         both = alerts.join(ids, "usage_id", "left_semi")
         found = [both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pii_hits", "security_alerts")])]

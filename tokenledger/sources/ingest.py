@@ -73,12 +73,22 @@ def usage_rows(
     return rows.select(*USAGE_COLUMNS)
 
 
-def variable_rows(raw: DataFrame) -> DataFrame:
-    """``prompt_variables`` rows from the nested ``variables`` of each record, missing fields as '' or 0."""
-    v = F.col("v")
+def _time(raw: DataFrame) -> Column:
+    """When a record was made; without a time, now."""
+    return F.coalesce(_given(raw, "timestamp", "timestamp").cast("timestamp"), F.current_timestamp()).alias("timestamp")
+
+
+def variable_rows(raw: DataFrame, timed: bool = False) -> DataFrame:
+    """``prompt_variables`` rows from the nested ``variables`` of each record, missing fields as '' or 0.
+
+    With ``timed`` they carry the record's ``timestamp``, for the hits found in them.
+    """
+    v, time = F.col("v"), ["timestamp"] if timed else []
     content = F.coalesce(v["content"], F.lit(""))
-    return raw.select(F.col("id").alias("usage_id"), F.explode("variables").alias("v")).select(
+    rows = raw.select(F.col("id").alias("usage_id"), *([_time(raw)] if timed else []), F.explode("variables").alias("v"))
+    return rows.select(
         "usage_id",
+        *time,
         v["name"].alias("name"),
         content.alias("content"),
         F.when(F.coalesce(v["original_content"], F.lit("")) != "", v["original_content"])
@@ -90,19 +100,23 @@ def variable_rows(raw: DataFrame) -> DataFrame:
 
 def pii_hit_rows(variables: DataFrame, action: str = INGEST_ACTION) -> DataFrame:
     """One ``pii_hits`` row per personal-data finding in the parts."""
-    return explode_rows(with_pii(variables), ["usage_id", F.col("name").alias("variable_name")], F.col("pii")).select(
-        "usage_id", "variable_name", F.col("f.type").alias("pii_type"), F.lit(action).alias("action_taken")
+    time = ["timestamp"] if "timestamp" in variables.columns else []
+    return explode_rows(with_pii(variables), ["usage_id", *time, F.col("name").alias("variable_name")], F.col("pii")).select(
+        "usage_id", "variable_name", F.col("f.type").alias("pii_type"), F.lit(action).alias("action_taken"), *time
     )
 
 
-def action_rows(raw: DataFrame) -> DataFrame:
+def action_rows(raw: DataFrame, timed: bool = False) -> DataFrame:
     """``variable_actions`` rows from the nested ``actions_taken``; ``details`` is the whole action as JSON."""
-    return raw.select(F.col("id").alias("usage_id"), F.explode("actions_taken").alias("a")).select(
+    time = ["timestamp"] if timed else []
+    rows = raw.select(F.col("id").alias("usage_id"), *([_time(raw)] if timed else []), F.explode("actions_taken").alias("a"))
+    return rows.select(
         "usage_id",
         F.col("a.target").alias("variable_name"),
         F.col("a.type").alias("action_type"),
         F.when(F.col("a.method") != "", F.col("a.method")).alias("action_method"),
         F.to_json("a").alias("details"),
+        *time,
     )
 
 
@@ -114,9 +128,9 @@ def ingest_usage(
     if "variables" in raw.columns:
         tables["prompt_variables"] = variable_rows(raw)
         if "pii" in cfg.formatting:
-            tables["pii_hits"] = pii_hit_rows(tables["prompt_variables"])
+            tables["pii_hits"] = pii_hit_rows(variable_rows(raw, timed=True))
     if "actions_taken" in raw.columns:
-        tables["variable_actions"] = action_rows(raw)
+        tables["variable_actions"] = action_rows(raw, timed=True)
     return tables
 
 
