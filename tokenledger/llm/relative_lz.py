@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.llm import words as W
-from tokenledger.llm.tables import ROW, join_checked, packed, stage
+from tokenledger.llm.tables import ROW, packed, stage
 
 WINDOW = 20
 ANCHOR = 6
@@ -137,16 +137,16 @@ def _window_rows(docs: DataFrame, checked: DataFrame, window: int) -> DataFrame:
 
     listed = stage(checked.groupBy("doc").agg(F.collect_list(F.struct("at", "windows")).alias("wanted")), "lz-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = join_checked(texts, listed, F.coalesce(texts["doc_id"], F.lit(_LEAST)) == listed["doc"], "inner", weight=F.size("wanted"))
+    found = texts.join(listed, F.coalesce(texts["doc_id"], F.lit(_LEAST)) == listed["doc"])
     return found.select("doc_id", "text", "wanted").mapInArrow(cut, "h1 long, h2 long, doc long, at long")
 
 
 def duplicate_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``(doc, at, windows)``: runs of windows whose words start earlier in the corpus."""
-    if ROW in docs.columns:
-        docs = docs.select(f"{ROW}.doc_id", f"{ROW}.text")
     parsed = _parsed(docs, window, anchor)
     repeated = parsed.groupBy("key").agg(F.count("*").alias("n"), (F.min("run") != F.max("run")).alias("cut_apart")).filter("n > 1").drop("n")
+    # Stored, so that the join's two sides are plain shuffles and adaptive execution can split a hot anchor.
+    repeated = stage(repeated, "lz-anchors")
     hits = stage(parsed.join(repeated, "key"), "lz-hits")
     open_ = hits.filter("not sure")
     first = open_.groupBy("key", "run").agg(F.min(F.struct("doc", "at")).alias("first"))
@@ -172,14 +172,14 @@ def _kept_words(text: bytes, mark: int, found: list[dict], window: int) -> tuple
     return [w for w, c in zip(words, covered.tolist(), strict=True) if not c], len(words)
 
 
-def cleaned(docs: DataFrame, *columns: str, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """The named columns of ``docs`` and ``kept_text``, ``n_words``, ``n_removed``.
-
-    ``kept_text`` joins the kept words with one space; it is null where nothing is removed, as the text then stays.
+def cleaned(docs: DataFrame, *columns: str, whole_rows: bool = False, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The named columns of ``docs`` and ``kept_text``, ``n_words``, ``n_removed``; with ``whole_rows``, the packed row in
+    place of columns. ``kept_text`` joins the kept words with one space; it is null where nothing is removed, as the text then stays.
     """
     spans = duplicate_windows(docs, window, anchor)
     listed = stage(spans.groupBy("doc").agg(F.collect_list(F.struct("at", "windows")).alias("spans")), "lz-spans")
-    inside = ROW in docs.columns
+    rows = packed(docs) if whole_rows else docs
+    columns = (ROW,) if whole_rows else columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,18 +198,17 @@ def cleaned(docs: DataFrame, *columns: str, window: int = WINDOW, anchor: int =
             made = {"kept_text": pa.array(kept, pa.string()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in columns} | made)
 
-    text = F.col(f"{ROW}.text" if inside else "text")
-    identity = F.coalesce(F.col(f"{ROW}.doc_id" if inside else "doc_id").cast("long"), F.lit(_LEAST))
-    rows = docs.select(*columns, text.alias("text"), identity.alias("doc_key")) if "text" not in columns else docs.select(*columns, identity.alias("doc_key"))
-    joined = join_checked(rows, listed, rows["doc_key"] == listed["doc"], "left", weight=F.size("spans"))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    text, doc_id = (F.col(f"{ROW}.`{c}`" if whole_rows else c) for c in ("text", "doc_id"))
+    rows = rows.select(*columns, *([] if "text" in columns else [text.alias("text")]), F.coalesce(doc_id.cast("long"), F.lit(_LEAST)).alias("doc_key"))
+    joined = rows.join(listed, rows["doc_key"] == listed["doc"], "left")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
     return joined.select(*columns, *([] if "text" in columns else ["text"]), "spans").mapInArrow(clean, f"{kinds}, kept_text string, n_words long, n_removed long")
 
 
 def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` without its duplicate words: all columns, ``text`` as it was where nothing is removed. ``n_chars``, if
     there is one, follows the text."""
-    found = cleaned(packed(docs), ROW, window=window, anchor=anchor)
+    found = cleaned(docs, whole_rows=True, window=window, anchor=anchor)
     text = F.coalesce(F.col("kept_text"), F.col(f"{ROW}.`text`"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
