@@ -350,6 +350,52 @@ def test_shares_bound_the_model(sf):
     assert (model.vocabulary.counts.sum(axis=1) == model.vocabulary.totals).all()
 
 
+def plain_losses(rows, targets):
+    """Losses of ``(doc_id, text)`` rows under models of all words and pairs seen twice."""
+    texts = [(i, (t or "").split(), i in targets) for i, t in rows]
+    words = Counter(w for _, ws, _ in texts for w in ws)
+    named = [(i, [w if words[w] >= lm.LEAST else "?" for w in ws], goal) for i, ws, goal in texts]
+    size, out = sum(c >= lm.LEAST for c in words.values()), [[], []]
+    seen = Counter(p for _, ws, _ in named for p in zip(["^", *ws], ws))
+    for k in range(2):
+        own = [ws for _, ws, goal in named if goal or k]
+        one, two = Counter(w for ws in own for w in ["^"] * bool(ws) + ws), Counter(p for ws in own for p in zip(["^", *ws], ws))
+        total = sum(map(len, own))
+        for _, ws, _ in named:
+            loss = [-np.log((two[p] * (seen[p] >= lm.LEAST) + lm.MASS * (one[p[1]] + 1) / (total + size + 1)) / (one[p[0]] + lm.MASS)) for p in zip(["^", *ws], ws)]
+            out[k].append(sum(loss) / max(len(ws), 1))
+    return [(i, len(ws), *x) for (i, ws, _), *x in zip(named, *out)]
+
+
+def same_losses(got, expected):
+    key = lambda r: (r[0] is None, r[0] or 0, *map(lambda x: round(x, 6), r[1:4]))
+    got, expected = sorted(map(key, map(tuple, got))), sorted(map(key, expected))
+    assert [x[:3] for x in got] == [x[:3] for x in expected]
+    assert np.allclose([x[3:] for x in got], [x[3:] for x in expected], atol=2e-6)
+
+
+def test_losses_keep_rare_words_and_pairs_of_large_inputs(spark):
+    """Beyond 2 million tokens a share of all tokens is more than two occurrences; words seen twice count all the same."""
+    from tokenledger.llm.queries import op2_lm
+    from tokenledger.session import new_path
+
+    rows = [(i, "a b " * 150_000) for i in range(10)] + [(20, "rare pair a"), (21, "b rare pair once"), (22, None)]
+    path = new_path(spark, "lm-test")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(20, 1), (0, 0)], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    same_losses(op2_lm(spark, path).collect(), plain_losses(rows, {20}))
+
+
+def test_losses_by_brute_force(spark, awkward, labels, nothing, monkeypatch):
+    rows = [(r[0], r[1]) for r in awkward_rows()]
+    targets = {r.doc_id for r in labels.filter("quality = 1 and doc_id is not null").collect()}
+    for tokens, keys in ((2_000_000, 2_000_000), (50, 70)):  # one block and slice, and many
+        monkeypatch.setattr(lm, "SLICE_KEYS", keys)
+        monkeypatch.setattr(lm, "BLOCK_TOKENS", tokens)
+        same_losses(lm.losses(awkward.repartition(3), labels.filter("quality = 1")).collect(), plain_losses(rows, targets))
+    assert lm.losses(nothing, labels).count() == 0
+
+
 # search
 
 

@@ -4,11 +4,14 @@ Two bigram models, of a target set of documents and of all documents, have the s
 vocabulary. A text's score is its loss per token under the target model less that under the background model; lower is
 more like the target.
 
-Counts are exact and cover all documents: tasks count their own words, the counts are summed in Spark, and what is
-gathered grows with the corpus. The vocabulary is the words seen at least twice and at least ``WORD_SHARE`` of all tokens,
-so it holds at most ``1 / WORD_SHARE`` words whatever the corpus; all other words are one unknown word. Pairs are kept from
-``PAIR_SHARE`` of all tokens, at most ``1 / PAIR_SHARE`` of them; below it a pair counts as unseen in both models. These
-bounds allow the model to be sent to every task.
+Counts are exact and cover all documents. ``losses`` keeps every word and pair seen at least ``LEAST`` times, at every size;
+all other words are one unknown word, and other pairs count as unseen in both models. No model is gathered: texts are
+stored as blocks of word numbers, each block asks for the counts of its different words, then of its different pairs, and
+the answers come back to the block. Requests are cut by ranges of the hash, so a task gets about as many keys at every size
+and a frequent key is one entry a block.
+
+``train`` gathers a model that can be sent to tasks and is therefore bounded: words from ``WORD_SHARE`` and pairs from
+``PAIR_SHARE`` of all tokens, at most ``1 / share`` of them. ``score`` applies it.
 
 p(w) = (c(w) + 1) / (N + V), p(w | v) = (c(v, w) + MASS p(w)) / (c(v) + MASS); the first word of a text follows a start mark.
 
@@ -24,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,9 @@ WORD_SHARE = 1e-6
 PAIR_SHARE = 5e-7
 LEAST = 2
 MASS = 10.0
+#: Tokens of a block (and one text more), and keys that a task counts at once.
+BLOCK_TOKENS = 2_000_000
+SLICE_KEYS = 2_000_000
 
 _COUNT = "key long, in_target long, in_all long"
 
@@ -108,15 +115,15 @@ def _frequent(counts: DataFrame, tokens: int, share: float):
 
 
 def marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """``(text, target)``: whether a document's id is one of the target's."""
+    """``(doc_id, text, target)``: whether a document's id is one of the target's."""
     ids = target_ids.select(F.col("doc_id").cast("long").alias("target_id")).filter("target_id is not null").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = join_checked(rows, ids, rows["doc_id"] == ids["target_id"], "left")
-    return joined.select("text", F.col("target_id").isNotNull().alias("target"))
+    return joined.select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
 
 
 def train(docs: DataFrame, target_ids: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Model:
-    rows = marked(docs, target_ids)
+    rows = marked(docs, target_ids).select("text", "target")
 
     def flags(batch: pa.RecordBatch, rows: W.Words) -> np.ndarray:
         return batch.column("target").slice(rows.first, rows.rows).to_numpy(zero_copy_only=False)[rows.doc()].astype(np.float64)
@@ -179,3 +186,182 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return made.mapInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+
+_BLOCK = "block long, doc_ids array<long>, n_tokens long, n_target long, s_all long, s_target long, n_words long, counts binary, target binary, words binary, seen binary, tokens binary"
+_ANSWER = "block long, slice long, in_target binary, in_all binary, size long, sum_target long, sum_all long"
+_UNKNOWN, _START = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of all of them, compressed."""
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(values).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(raw, asbytes=True) if raw else b"")
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.Codec("zstd", 1).decompress(raw[8:], 8 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").reshape(n)
+
+
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The texts as blocks of word numbers; a block's words are numbered by falling frequency."""
+
+    def made(number: int, ids: list, counts: list, target: list, hashes: list) -> pa.RecordBatch:
+        counts_, target_ = np.concatenate(counts), np.concatenate(target)
+        words, inverse, seen = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-seen, kind="stable")] = np.arange(len(words))
+        used = counts_ > 0
+        one = {
+            "block": TaskContext.get().partitionId() << 32 | number, "doc_ids": pa.concat_arrays(ids).to_pylist(), "n_tokens": int(counts_.sum()), "n_target": int(counts_[target_].sum()),
+            "s_all": int(used.sum()), "s_target": int((used & target_).sum()), "n_words": len(words), "counts": _packed(counts_), "target": _packed(target_),
+            "words": _packed(_gaps(words)), "seen": _packed(seen), "tokens": _packed(rank[inverse]),
+        }
+        return pa.RecordBatch.from_pydict({k: pa.array([v], pa.list_(pa.int64()) if k == "doc_ids" else pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in one.items()})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = 0, ([], [], [], [])
+        for batch in batches:
+            for part in W.each_chunk(batch.column("text")):
+                flags = batch.column("target").slice(part.first, part.rows).to_numpy(zero_copy_only=False).astype(bool)
+                for parts, x in zip(held, (batch.column("doc_id").slice(part.first, part.rows), part.counts, flags, part.hashes()), strict=True):
+                    parts.append(x)
+                if sum(map(len, held[3])) >= BLOCK_TOKENS:
+                    yield made(number, *held)
+                    number, held = number + 1, ([], [], [], [])
+        if held[0]:
+            yield made(number, *held)
+
+    return stage(rows.mapInArrow(cut, _BLOCK), "lm-blocks")
+
+
+@dataclass
+class _Block:
+    """A stored block: words sorted by hash, the place among them of each token, and what the texts are."""
+
+    counts: np.ndarray
+    target: np.ndarray  # of each token
+    words: np.ndarray
+    tokens: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> _Block:
+        counts = _unpacked(row["counts"]).astype(np.int64)
+        order = np.argsort(-_unpacked(row["seen"]).astype(np.int64), kind="stable")
+        target = np.repeat(_unpacked(row["target"]).astype(bool), counts)
+        return cls(counts, target, np.cumsum(_unpacked(row["words"]), dtype=np.uint64), order[_unpacked(row["tokens"]).astype(np.int64)])
+
+    def pairs(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each token and of the one before it (words, then the unknown word, then the start mark), the
+        hashes of the different pairs, sorted, and each token's place among them."""
+        n = len(self.words)
+        number = np.where(known, np.arange(n), n)[self.tokens]
+        before = np.empty_like(number)
+        before[1:] = number[:-1]
+        before[(np.cumsum(self.counts) - self.counts)[self.counts > 0]] = n + 1
+        codes, inverse = np.unique(before * (n + 2) + number, return_inverse=True)
+        hashes = np.concatenate([self.words, [_UNKNOWN, _START]])
+        keys = W.mix(W.mix(hashes[codes // (n + 2)]) + hashes[codes % (n + 2)])
+        order = np.argsort(keys, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return number, before, keys[order], place[inverse]
+
+
+def _asked(blocks: DataFrame, of_pairs: bool, slices: int) -> DataFrame:
+    """``(slice, block, keys, in_target, in_all)``: each block's different keys and their counts there, cut by ranges."""
+    borders = np.array([-(-(i << 64) // slices) for i in range(1, slices)], np.uint64)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                block = _Block.of(row)
+                keys, at = block.pairs(_unpacked(row["in_all"]) > 0)[2:] if of_pairs else (block.words, block.tokens)
+                seen, target = np.bincount(at, minlength=len(keys)), np.bincount(at[block.target], minlength=len(keys))
+                cuts = [0, *np.searchsorted(keys, borders).tolist(), len(keys)]
+                out = [(s, row["block"], _packed(_gaps(keys[a:b])), _packed(target[a:b]), _packed(seen[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                kinds = {"slice": pa.int64(), "block": pa.int64(), "keys": pa.binary(), "in_target": pa.binary(), "in_all": pa.binary()}
+                yield pa.RecordBatch.from_pydict({k: pa.array([x[i] for x in out], kind) for i, (k, kind) in enumerate(kinds.items())})
+
+    columns = ["block", "counts", "target", "words", "seen", "tokens", *["in_all"] * of_pairs]
+    return blocks.select(columns).mapInArrow(asked, "slice long, block long, keys binary, in_target binary, in_all binary")
+
+
+def _answers(asked: DataFrame, least: int, name: str) -> DataFrame:
+    """For each request the counts of its keys in the corpus, 0 for those seen less than ``least`` times. Under no block:
+    how many keys a slice keeps, and their counts."""
+
+    def counted(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys = [np.cumsum(_unpacked(r["keys"]), dtype=np.uint64) for r in rows]
+        unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = [np.bincount(inverse, np.concatenate([_unpacked(r[c]) for r in rows]).astype(np.float64), len(unique)).astype(np.int64) for c in ("in_target", "in_all")]
+        kept = sums[1] >= least
+        out = [(None, rows[0]["slice"], None, None, int(kept.sum()), int(sums[0][kept].sum()), int(sums[1][kept].sum()))]
+        at = 0
+        for row, own in zip(rows, keys, strict=True):
+            places = inverse[at : at + len(own)]
+            out.append((row["block"], row["slice"], *[_packed(np.where(kept[places], x[places], 0)) for x in sums], None, None, None))
+            at += len(own)
+        kinds = {"block": pa.int64(), "slice": pa.int64(), "in_target": pa.binary(), "in_all": pa.binary(), "size": pa.int64(), "sum_target": pa.int64(), "sum_all": pa.int64()}
+        return pa.table({k: pa.array([x[i] for x in out], kind) for i, (k, kind) in enumerate(kinds.items())})
+
+    return stage(asked.groupBy("slice").applyInArrow(counted, _ANSWER), name)
+
+
+def _joined(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A block's answers in the order of its keys."""
+    rows = answers.sort_by("slice").select(["in_target", "in_all"]).to_pylist()
+    return tuple(np.concatenate([np.zeros(0, np.int64), *[_unpacked(r[c]).astype(np.int64) for r in rows]]) for c in ("in_target", "in_all"))
+
+
+def _back(blocks: DataFrame, answers: DataFrame):
+    """Each block together with its answers."""
+    own = answers.filter("block is not null").select("block", "slice", "in_target", "in_all")
+    return blocks.groupBy("block").cogroup(own.groupBy("block"))
+
+
+def losses(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """``(doc_id, n_tokens, target_loss, background_loss, score)`` of whole texts, under models of all words and pairs seen
+    at least ``LEAST`` times."""
+    blocks = _blocks(marked(docs, target_ids))
+    facts = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_target", "n_tokens", "s_target", "s_all", "n_words")]).first()
+    slices = lambda n: max(1, -(-n // SLICE_KEYS))
+    words = _answers(_asked(blocks, False, slices(facts["n_words"])), LEAST, "lm-words")
+    known = words.filter("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "sum_target", "sum_all")]).first()
+
+    def numbered(left: pa.Table, right: pa.Table) -> pa.Table:
+        target, seen = _joined(right)
+        return left.append_column("of_target", pa.array([_packed(target)], pa.binary())).append_column("in_all", pa.array([_packed(seen)], pa.binary()))
+
+    kept = blocks.select("block", "doc_ids", "counts", "target", "words", "seen", "tokens")
+    counted = stage(_back(kept, words).applyInArrow(numbered, "block long, doc_ids array<long>, counts binary, target binary, words binary, seen binary, tokens binary, of_target binary, in_all binary"), "lm-counted")
+    pairs = _answers(_asked(counted, True, slices(facts["n_tokens"])), LEAST, "lm-pairs")
+    size, totals = known["size"], (facts["n_target"], facts["n_tokens"])
+    unknown = (totals[0] - known["sum_target"], totals[1] - known["sum_all"])
+    starts = (facts["s_target"], facts["s_all"])
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        block, seen = _Block.of(row), _unpacked(row["in_all"]).astype(np.int64)
+        number, before, _, place = block.pairs(seen > 0)
+        filled, out = block.counts > 0, np.zeros((2, len(block.counts)))
+        for k, (own, found) in enumerate(zip((_unpacked(row["of_target"]).astype(np.int64), seen), _joined(right), strict=True)):
+            count = np.append(own, [unknown[k], starts[k]])
+            word = (count[number] + 1) / (totals[k] + size + 1)
+            loss = -np.log((found[place] + MASS * word) / (count[before] + MASS))
+            if len(loss):
+                out[k, filled] = np.add.reduceat(loss, (np.cumsum(block.counts) - block.counts)[filled]) / block.counts[filled]
+        return pa.table(
+            {"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(block.counts), "target_loss": pa.array(out[0]), "background_loss": pa.array(out[1]), "score": pa.array(out[0] - out[1])}
+        )
+
+    return _back(counted, pairs).applyInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -24,7 +24,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target are the documents labelled as of good quality, the background all documents."""
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
-    scored = lm.score(docs, lm.train(docs, labels.filter("quality = 1")))
+    scored = lm.losses(docs, labels.filter("quality = 1"))
     return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
