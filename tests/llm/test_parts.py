@@ -168,6 +168,22 @@ def test_dart_signatures_with_weights():
     assert abs(np.mean(found) - np.mean(exact)) < 0.04
 
 
+def test_a_link_in_a_crowd_whose_signatures_agree_little():
+    rng = np.random.default_rng(3)
+    one = np.sort(rng.integers(0, 2**62, 9).astype(np.uint64))
+    two = np.sort(np.append(one[:8], np.uint64(2**63)))  # 8 of 10 shared: exactly the threshold
+    marks = rng.integers(0, 2**16, (3, 96)).astype("<u2")
+    marks[:, :4] = marks[0, :4]  # one band, in which a third node makes the bucket a crowd
+    marks[1, :58] = marks[0, :58]  # 58 of 96 coordinates agree
+    sets = [one, two, np.sort(rng.integers(0, 2**62, 9).astype(np.uint64))]
+    names = [bytes([k]) * 16 for k in range(3)]
+    table = pa.table(
+        {"node": pa.array(names, pa.binary()), "n": [9] * 3, "band": [0] * 3, "signature": pa.array([m.tobytes() for m in marks], pa.binary()), "elements": pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())}
+        | {"component": pa.array(names, pa.binary()), "block": [0] * 3, "i": [0] * 3, "j": [0] * 3}
+    )
+    assert darts._across(table).to_pylist() == [{"a": names[0], "b": names[1]}]
+
+
 def test_factors_cover_each_window_once_and_alike():
     rng = random.Random(6)
     passage = prose(rng, 45)

@@ -8,11 +8,11 @@ similarity.
 
 Texts with the same set are one node. Signatures are cut into bands; nodes that agree in a band share a bucket. Listing
 all pairs of a bucket is out of the question, so each bucket gives a spanning forest: at most one pair per node, the pairs
-of highest estimated similarity first. These pairs are checked exactly on their sets and joined into components. Then only
-pairs of a bucket that lie in different components are compared, by their signatures and, where these leave a link
-possible, exactly on their sets; one link for each two components that meet in a bucket completes the classes. A hot bucket is cut into blocks, and pairs of
-blocks are handled apart. Classes are the connected components of links of at least the threshold, named by their least
-doc_id.
+of highest estimated similarity first. These pairs are checked exactly on their sets and joined into components. Then all
+pairs of a bucket that lie in different components and whose sizes allow a link are compared exactly on their sets; the
+links that join components complete the classes. Signatures decide who meets in a bucket and what is checked first, never
+that a pair is left out. A hot bucket is cut into blocks, and pairs of blocks are handled apart. Classes are the connected
+components of links of at least the threshold, named by their least doc_id.
 
 Edge cases: a null or blank text has no set; it is a class of its own under its doc_id. Texts of fewer than five words are
 alike only if equal word for word. Repeated rows fall into one class. A null doc_id counts as the greatest; a class of
@@ -38,7 +38,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
-#: Pairs whose signatures agree less than this are not checked: over 3.5 standard errors below the threshold.
+#: Pairs of a forest whose signatures agree less than this are left to ``_across``, which checks all that are not joined.
 MAYBE = 0.65
 #: Nodes of a bucket that one task compares with as many others.
 BLOCK = 2000
@@ -166,8 +166,8 @@ def _forest(table: pa.Table) -> pa.Table:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Links of one bucket between different components: one for each two components at most, checked exactly. Pairs whose
-    signatures rule a link out are not looked at, and a pair that shares several bands is looked at in the first."""
+    """Links of one bucket between different components, checked exactly; nodes that links of the bucket have joined are
+    not compared any more. A pair that shares several bands is looked at in the first."""
     table = table.sort_by("node")
     nodes, sizes, band = table.column("node").to_pylist(), table.column("n").to_numpy(), table.column("band")[0].as_py()
     marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(nodes), -1)
@@ -177,7 +177,7 @@ def _across(table: pa.Table) -> pa.Table:
     outside = np.flatnonzero(part != np.argmax(np.bincount(part)))
     rank = np.full(len(nodes), -1)
     rank[outside] = np.arange(len(outside))
-    links: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+    links: list[tuple[bytes, bytes]] = []
     for k in outside.tolist():
         # Each pair once: with nodes of the largest component, and with outside nodes that come later.
         other = (part != part[k]) & ((rank < 0) | (rank > rank[k]))
@@ -185,10 +185,8 @@ def _across(table: pa.Table) -> pa.Table:
             other &= block != block[k]
         other &= np.minimum(sizes, sizes[k]) >= THRESHOLD * np.maximum(sizes, sizes[k])
         at = np.flatnonzero(other)
-        same = marks[at] == marks[k]
-        like = same.mean(axis=1) >= MAYBE
-        first = np.argmax(same.reshape(len(at), BANDS, ROWS).all(axis=2), axis=1)
-        at = at[like & (first == band)]
+        first = np.argmax((marks[at] == marks[k]).reshape(len(at), BANDS, ROWS).all(axis=2), axis=1)
+        at = at[first == band]
         if not len(at):
             continue
         elements = np.concatenate([sets[m] for m in at])
@@ -196,9 +194,10 @@ def _across(table: pa.Table) -> pa.Table:
         found[found == sizes[k]] = 0
         both = np.add.reduceat((sets[k][found] == elements).astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
         for m in at[_linked(both, sizes[at], sizes[k])].tolist():
-            low, high = sorted((k, m), key=lambda x: nodes[x])
-            links.setdefault((min(part[k], part[m]), max(part[k], part[m])), (nodes[low], nodes[high]))
-    return pa.table({"a": pa.array([a for a, _ in links.values()], pa.binary()), "b": pa.array([b for _, b in links.values()], pa.binary())})
+            if part[m] != part[k]:
+                links.append((min(nodes[k], nodes[m]), max(nodes[k], nodes[m])))
+                part[part == part[m]] = part[k]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
 
 def _linked(both: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
