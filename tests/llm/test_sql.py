@@ -10,7 +10,7 @@ from tokenledger.llm.queries import QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, sf_dir, name):
     duck = duckdb.connect()
-    for table in ("documents", "labels", "embeddings"):
+    for table in ("documents", "labels", "embeddings", "conversations", "pages"):
         duck.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     result, expected = QUERIES[name](spark, sf_dir), duck.execute(ORACLES[name])
     columns = [d[0] for d in expected.description]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm import darts, labelled, lm, maxscore, mixing, nbsvm, packing, rans, relative_lz, rules, toxicity
+from tokenledger.llm import darts, dialogue, labelled, lm, maxscore, mixing, multi_index, nbsvm, packing, rans, relative_lz, rules, toxicity, urls
 from tokenledger.llm.tables import load, stage
 from tokenledger.session import new_path
 
@@ -77,6 +77,26 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = load(spark, sf_dir, "conversations")
+    return dialogue.report(conversations, dialogue.damaged(conversations))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of every seventh id is moved on by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.mine(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+#: The rules of the URL query, as host, start of the path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules are the list; a URL that it does not hold is allowed."""
+    return urls.judge(load(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, urls.LIST), keep=["page_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_lm": op2_lm,
@@ -88,4 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_darts": op9_darts,
     "op10_maxscore": op10_maxscore,
+    "op11_dialogue": op11_dialogue,
+    "op12_negatives": op12_negatives,
+    "op13_urls": op13_urls,
 }
