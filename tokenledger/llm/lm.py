@@ -1,23 +1,20 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, of a target set of documents and of all documents, have the same order, smoothing, cut-offs and
+Two bigram models, of a target set of documents and of all documents, have the same order, smoothing, cut-off and
 vocabulary. A text's score is its loss per token under the target model less that under the background model; lower is
 more like the target.
 
-Counts are exact and cover all documents. ``losses`` keeps every word and pair seen at least ``LEAST`` times, at every size;
-all other words are one unknown word, and other pairs count as unseen in both models. No model is gathered: texts are
-stored as blocks of word numbers, each block asks for the counts of its different words, then of its different pairs, and
-the answers come back to the block. Requests are cut by ranges of the hash, so a task gets about as many keys at every size
-and a frequent key is one entry a block.
-
-``train`` gathers a model that can be sent to tasks and is therefore bounded: words from ``WORD_SHARE`` and pairs from
-``PAIR_SHARE`` of all tokens, at most ``1 / share`` of them. ``score`` applies it.
+Counts are exact and cover all documents: every word and pair seen at least ``LEAST`` times counts, at every size; all other
+words are one unknown word, and other pairs count as unseen in both models. No model is gathered: texts are stored as blocks
+of word numbers, each block asks for the counts of its different words, then of its different pairs, and the answers come
+back to the block. Requests are cut by ranges of the hash, so a task gets about as many keys at every size and a frequent key
+is one entry a block. The blocks are stored in buckets and do not move again; only requests and answers do.
 
 p(w) = (c(w) + 1) / (N + V), p(w | v) = (c(v, w) + MASS p(w)) / (c(v) + MASS); the first word of a text follows a start mark.
 
 Edge cases: a null or blank text has no tokens and losses and score 0. Without target documents the target model is
 uniform over the vocabulary. Repeated rows count and score each time. An empty table gives an empty table; only ``doc_id``
-and ``text`` are read.
+and ``text`` are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -27,91 +24,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.llm import words as W
 from tokenledger.llm.tables import join_checked, stage
+from tokenledger.session import bucketed
 
-WORD_SHARE = 1e-6
-PAIR_SHARE = 5e-7
 LEAST = 2
 MASS = 10.0
 #: Tokens of a block (and one text more), and keys that a task counts at once.
-BLOCK_TOKENS = 2_000_000
-SLICE_KEYS = 2_000_000
-
-_COUNT = "key long, in_target long, in_all long"
-
-
-@dataclass
-class Vocabulary:
-    keys: np.ndarray  # sorted word hashes
-    counts: np.ndarray  # (2, words + 1): in the target, in all; the last is the unknown word
-    totals: np.ndarray  # (2,) tokens
-
-    @property
-    def unknown(self) -> int:
-        return len(self.keys)
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
-        known = self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
-        return np.where(known, at, self.unknown)
-
-    def pairs(self, rows: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: its number, the number before it (a start mark for the first), and the pair's key."""
-        number = self.numbers(rows.hashes())
-        before = np.empty_like(number)
-        before[1:] = number[:-1]
-        before[rows.bounds[:-1][rows.counts > 0]] = self.unknown + 1
-        return number, before, before * (self.unknown + 2) + number
-
-
-@dataclass
-class Model:
-    vocabulary: Vocabulary
-    starts: np.ndarray  # (2,) texts with a word, the count of the start mark
-    keys: np.ndarray  # sorted pair keys
-    counts: np.ndarray  # (2, pairs)
-
-    def losses(self, rows: W.Words) -> np.ndarray:
-        """``(2, rows)``: the loss per token under the target and the background model."""
-        v = self.vocabulary
-        out = np.zeros((2, rows.rows))
-        if not len(rows.starts):
-            return out
-        number, before, key = v.pairs(rows)
-        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        seen = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
-        for k in range(2):
-            context = np.append(v.counts[k], self.starts[k])[before]
-            word = (v.counts[k][number] + 1) / (v.totals[k] + v.unknown + 1)
-            pair = np.where(seen, self.counts[k][at], 0) if len(self.keys) else 0
-            loss = -np.log((pair + MASS * word) / (context + MASS))
-            out[k] = W.row_sums(loss, rows.bounds) / np.maximum(rows.counts, 1)
-        return out
-
-
-def _tally(keys: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
-    unique, inverse = np.unique(keys, return_inverse=True)
-    return pa.RecordBatch.from_pydict(
-        {"key": pa.array(unique.astype(np.int64, copy=False)), "in_target": pa.array(np.bincount(inverse, target, len(unique)).astype(np.int64)), "in_all": pa.array(np.bincount(inverse, minlength=len(unique)))}
-    )
-
-
-def _summed(counts: DataFrame, name: str) -> DataFrame:
-    """Counts by key over the corpus, stored; keys seen less than ``LEAST`` times are of no use."""
-    total = counts.groupBy("key").agg(F.sum("in_target").alias("in_target"), F.sum("in_all").alias("in_all"))
-    return stage(total.filter(f"in_all >= {LEAST} or key is null"), name)
-
-
-def _frequent(counts: DataFrame, tokens: int, share: float):
-    """The keys of at least ``share`` of all tokens, at most ``1 / share`` rows."""
-    least = max(LEAST, int(np.ceil(tokens * share)))
-    return counts.filter(F.col("key").isNotNull() & (F.col("in_all") >= least)).toPandas().sort_values("key", ignore_index=True)
+BLOCK_TOKENS = 750_000
+SLICE_KEYS = 1_000_000
 
 
 def marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -122,72 +48,6 @@ def marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
 
 
-def train(docs: DataFrame, target_ids: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Model:
-    rows = marked(docs, target_ids).select("text", "target")
-
-    def flags(batch: pa.RecordBatch, rows: W.Words) -> np.ndarray:
-        return batch.column("target").slice(rows.first, rows.rows).to_numpy(zero_copy_only=False)[rows.doc()].astype(np.float64)
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, target = [np.zeros(0, np.uint64)], [np.zeros(0)]
-            for part in W.each_chunk(batch.column("text")):
-                hashes.append(part.hashes())
-                target.append(flags(batch, part))
-            target_ = np.concatenate(target)
-            yield _tally(np.concatenate(hashes).view(np.int64), target_)
-            # Under no key: all tokens.
-            yield pa.RecordBatch.from_pydict({"key": pa.array([None], pa.int64()), "in_target": pa.array([int(target_.sum())]), "in_all": pa.array([len(target_)])})
-
-    words = _summed(rows.mapInArrow(count_words, _COUNT), "lm-words")
-    total = words.filter("key is null").first()
-    totals = np.array([total["in_target"], total["in_all"]] if total else [0, 0], np.int64)
-    found = _frequent(words, int(totals[1]), word_share)
-    keys = found["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)  # hashes are unsigned here
-    counts = found[["in_target", "in_all"]].to_numpy(np.int64).T[:, order].reshape(2, -1)
-    vocabulary = Vocabulary(keys[order], np.column_stack([counts, totals - counts.sum(axis=1)]), totals)
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs, target, starts = [np.zeros(0, np.int64)], [np.zeros(0)], [0, 0]
-            for part in W.each_chunk(batch.column("text")):
-                pairs.append(sent.value.pairs(part)[2])
-                target.append(flags(batch, part))
-                used = part.counts > 0
-                starts[0] += int(batch.column("target").slice(part.first, part.rows).to_numpy(zero_copy_only=False)[used].sum())
-                starts[1] += int(used.sum())
-            yield _tally(np.concatenate(pairs), np.concatenate(target))
-            # Under no key: all texts with a word.
-            yield pa.RecordBatch.from_pydict({"key": pa.array([None], pa.int64()), "in_target": pa.array([starts[0]]), "in_all": pa.array([starts[1]])})
-
-    pairs = _summed(rows.mapInArrow(count_pairs, _COUNT), "lm-pairs")
-    first = pairs.filter("key is null").first()
-    kept = _frequent(pairs, int(totals[1]), pair_share)
-    starts = np.array([first["in_target"], first["in_all"]] if first else [0, 0], np.int64)
-    return Model(vocabulary, starts, kept["key"].to_numpy(np.int64), kept[["in_target", "in_all"]].to_numpy(np.int64).T.reshape(2, -1))
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, n_tokens, target_loss, background_loss, score)`` of whole texts; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in W.each_chunk(batch.column("text")):
-                target, background = sent.value.losses(rows)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column("doc_id").slice(rows.first, rows.rows), "n_tokens": pa.array(rows.counts),
-                        "target_loss": pa.array(target), "background_loss": pa.array(background), "score": pa.array(target - background),
-                    }
-                )
-
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return made.mapInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
 _BLOCK = "block long, doc_ids array<long>, n_tokens long, n_target long, s_all long, s_target long, n_words long, counts binary, target binary, words binary, seen binary, tokens binary"
 _ANSWER = "block long, slice long, in_target binary, in_all binary, size long, sum_target long, sum_all long"
 _UNKNOWN, _START = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -212,13 +72,13 @@ def _gaps(keys: np.ndarray) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """The texts as blocks of word numbers; a block's words are numbered by falling frequency."""
+    """The texts as blocks of word numbers, in buckets by block; a block's words are numbered by falling frequency."""
 
     def made(number: int, ids: list, counts: list, target: list, hashes: list) -> pa.RecordBatch:
         counts_, target_ = np.concatenate(counts), np.concatenate(target)
         words, inverse, seen = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        rank = np.empty(len(words), np.int64)
-        rank[np.argsort(-seen, kind="stable")] = np.arange(len(words))
+        rank = np.empty(len(words), np.int32)
+        rank[np.argsort(-seen, kind="stable")] = np.arange(len(words), dtype=np.int32)
         used = counts_ > 0
         one = {
             "block": TaskContext.get().partitionId() << 32 | number, "doc_ids": pa.concat_arrays(ids).to_pylist(), "n_tokens": int(counts_.sum()), "n_target": int(counts_[target_].sum()),
@@ -240,7 +100,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
         if held[0]:
             yield made(number, *held)
 
-    return stage(rows.mapInArrow(cut, _BLOCK), "lm-blocks")
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(rows.mapInArrow(cut, _BLOCK), "lm-blocks", ["block"], buckets)
 
 
 @dataclass
@@ -255,44 +116,38 @@ class _Block:
     @classmethod
     def of(cls, row: dict) -> _Block:
         counts = _unpacked(row["counts"]).astype(np.int64)
-        order = np.argsort(-_unpacked(row["seen"]).astype(np.int64), kind="stable")
+        order = np.argsort(-_unpacked(row["seen"]).astype(np.int64), kind="stable").astype(np.int32)
         target = np.repeat(_unpacked(row["target"]).astype(bool), counts)
-        return cls(counts, target, np.cumsum(_unpacked(row["words"]), dtype=np.uint64), order[_unpacked(row["tokens"]).astype(np.int64)])
+        return cls(counts, target, np.cumsum(_unpacked(row["words"]), dtype=np.uint64), order[_unpacked(row["tokens"]).astype(np.int32)])
 
     def pairs(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The number of each token and of the one before it (words, then the unknown word, then the start mark), the
         hashes of the different pairs, sorted, and each token's place among them."""
         n = len(self.words)
-        number = np.where(known, np.arange(n), n)[self.tokens]
+        number = np.where(known, np.arange(n, dtype=np.int32), np.int32(n))[self.tokens]
         before = np.empty_like(number)
         before[1:] = number[:-1]
         before[(np.cumsum(self.counts) - self.counts)[self.counts > 0]] = n + 1
-        codes, inverse = np.unique(before * (n + 2) + number, return_inverse=True)
+        codes, inverse = np.unique(before.astype(np.int64) * (n + 2) + number, return_inverse=True)
         hashes = np.concatenate([self.words, [_UNKNOWN, _START]])
         keys = W.mix(W.mix(hashes[codes // (n + 2)]) + hashes[codes % (n + 2)])
-        order = np.argsort(keys, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        order = np.argsort(keys, kind="stable").astype(np.int32)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         return number, before, keys[order], place[inverse]
 
 
-def _asked(blocks: DataFrame, of_pairs: bool, slices: int) -> DataFrame:
-    """``(slice, block, keys, in_target, in_all)``: each block's different keys and their counts there, cut by ranges."""
-    borders = np.array([-(-(i << 64) // slices) for i in range(1, slices)], np.uint64)
+_REQUEST = "slice long, block long, keys binary, in_target binary, in_all binary"
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                block = _Block.of(row)
-                keys, at = block.pairs(_unpacked(row["in_all"]) > 0)[2:] if of_pairs else (block.words, block.tokens)
-                seen, target = np.bincount(at, minlength=len(keys)), np.bincount(at[block.target], minlength=len(keys))
-                cuts = [0, *np.searchsorted(keys, borders).tolist(), len(keys)]
-                out = [(s, row["block"], _packed(_gaps(keys[a:b])), _packed(target[a:b]), _packed(seen[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-                kinds = {"slice": pa.int64(), "block": pa.int64(), "keys": pa.binary(), "in_target": pa.binary(), "in_all": pa.binary()}
-                yield pa.RecordBatch.from_pydict({k: pa.array([x[i] for x in out], kind) for i, (k, kind) in enumerate(kinds.items())})
 
-    columns = ["block", "counts", "target", "words", "seen", "tokens", *["in_all"] * of_pairs]
-    return blocks.select(columns).mapInArrow(asked, "slice long, block long, keys binary, in_target binary, in_all binary")
+def _requests(block: _Block, number: int, keys: np.ndarray, at: np.ndarray, slices: int) -> pa.Table:
+    """``_REQUEST``: a block's different keys and their counts there, cut by ranges."""
+    borders = np.array([-(-(i << 64) // slices) for i in range(1, slices)], np.uint64)
+    seen, target = (np.bincount(x, minlength=len(keys)).astype(np.int32) for x in (at, at[block.target]))
+    cuts = [0, *np.searchsorted(keys, borders).tolist(), len(keys)]
+    out = [(s, number, _packed(_gaps(keys[a:b])), _packed(target[a:b]), _packed(seen[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+    kinds = {"slice": pa.int64(), "block": pa.int64(), "keys": pa.binary(), "in_target": pa.binary(), "in_all": pa.binary()}
+    return pa.table({k: pa.array([x[i] for x in out], kind) for i, (k, kind) in enumerate(kinds.items())})
 
 
 def _answers(asked: DataFrame, least: int, name: str) -> DataFrame:
@@ -303,13 +158,21 @@ def _answers(asked: DataFrame, least: int, name: str) -> DataFrame:
         rows = table.to_pylist()
         keys = [np.cumsum(_unpacked(r["keys"]), dtype=np.uint64) for r in rows]
         unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(inverse, np.concatenate([_unpacked(r[c]) for r in rows]).astype(np.float64), len(unique)).astype(np.int64) for c in ("in_target", "in_all")]
+        inverse = inverse.astype(np.int32)
+        sums = []
+        for c in ("in_target", "in_all"):
+            total, at = np.zeros(len(unique), np.int64), 0
+            for row, own in zip(rows, keys, strict=True):
+                total[inverse[at : at + len(own)]] += _unpacked(row[c]).astype(np.int64)  # a request's keys differ
+                at += len(own)
+            sums.append(total)
         kept = sums[1] >= least
         out = [(None, rows[0]["slice"], None, None, int(kept.sum()), int(sums[0][kept].sum()), int(sums[1][kept].sum()))]
+        sums = [np.where(kept, x, 0) for x in sums]
         at = 0
         for row, own in zip(rows, keys, strict=True):
             places = inverse[at : at + len(own)]
-            out.append((row["block"], row["slice"], *[_packed(np.where(kept[places], x[places], 0)) for x in sums], None, None, None))
+            out.append((row["block"], row["slice"], *[_packed(x[places]) for x in sums], None, None, None))
             at += len(own)
         kinds = {"block": pa.int64(), "slice": pa.int64(), "in_target": pa.binary(), "in_all": pa.binary(), "size": pa.int64(), "sum_target": pa.int64(), "sum_all": pa.int64()}
         return pa.table({k: pa.array([x[i] for x in out], kind) for i, (k, kind) in enumerate(kinds.items())})
@@ -323,10 +186,8 @@ def _joined(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([np.zeros(0, np.int64), *[_unpacked(r[c]).astype(np.int64) for r in rows]]) for c in ("in_target", "in_all"))
 
 
-def _back(blocks: DataFrame, answers: DataFrame):
-    """Each block together with its answers."""
-    own = answers.filter("block is not null").select("block", "slice", "in_target", "in_all")
-    return blocks.groupBy("block").cogroup(own.groupBy("block"))
+def _given(answers: DataFrame, of_pairs: bool) -> DataFrame:
+    return answers.filter("block is not null").select("block", "slice", "in_target", "in_all", F.lit(of_pairs).alias("of_pairs"))
 
 
 def losses(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -334,34 +195,47 @@ def losses(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     at least ``LEAST`` times."""
     blocks = _blocks(marked(docs, target_ids))
     facts = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_target", "n_tokens", "s_target", "s_all", "n_words")]).first()
-    slices = lambda n: max(1, -(-n // SLICE_KEYS))
-    words = _answers(_asked(blocks, False, slices(facts["n_words"])), LEAST, "lm-words")
+    slices_of_words, slices_of_pairs = (max(1, -(-facts[c] // SLICE_KEYS)) for c in ("n_words", "n_tokens"))
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                block = _Block.of(row)
+                yield from _requests(block, row["block"], block.words, block.tokens, slices_of_words).to_batches()
+
+    content = ["counts", "target", "words", "seen", "tokens"]
+    words = _answers(blocks.select("block", *content).mapInArrow(ask_words, _REQUEST), LEAST, "lm-words")
     known = words.filter("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "sum_target", "sum_all")]).first()
 
-    def numbered(left: pa.Table, right: pa.Table) -> pa.Table:
-        target, seen = _joined(right)
-        return left.append_column("of_target", pa.array([_packed(target)], pa.binary())).append_column("in_all", pa.array([_packed(seen)], pa.binary()))
+    def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        block = _Block.of(row)
+        keys, at = block.pairs(_joined(right)[1] > 0)[2:]
+        return _requests(block, row["block"], keys, at, slices_of_pairs)
 
-    kept = blocks.select("block", "doc_ids", "counts", "target", "words", "seen", "tokens")
-    counted = stage(_back(kept, words).applyInArrow(numbered, "block long, doc_ids array<long>, counts binary, target binary, words binary, seen binary, tokens binary, of_target binary, in_all binary"), "lm-counted")
-    pairs = _answers(_asked(counted, True, slices(facts["n_tokens"])), LEAST, "lm-pairs")
+    asked = blocks.select("block", *content).groupBy("block").cogroup(_given(words, False).groupBy("block")).applyInArrow(ask_pairs, _REQUEST)
+    pairs = _answers(asked, LEAST, "lm-pairs")
     size, totals = known["size"], (facts["n_target"], facts["n_tokens"])
     unknown = (totals[0] - known["sum_target"], totals[1] - known["sum_all"])
     starts = (facts["s_target"], facts["s_all"])
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        block, seen = _Block.of(row), _unpacked(row["in_all"]).astype(np.int64)
-        number, before, _, place = block.pairs(seen > 0)
+        own, found = (_joined(right.filter(x)) for x in (pc.invert(right.column("of_pairs")), right.column("of_pairs")))
+        block = _Block.of(row)
+        number, before, _, place = block.pairs(own[1] > 0)
         filled, out = block.counts > 0, np.zeros((2, len(block.counts)))
-        for k, (own, found) in enumerate(zip((_unpacked(row["of_target"]).astype(np.int64), seen), _joined(right), strict=True)):
-            count = np.append(own, [unknown[k], starts[k]])
+        for k in range(2):
+            count = np.append(own[k], [unknown[k], starts[k]])
             word = (count[number] + 1) / (totals[k] + size + 1)
-            loss = -np.log((found[place] + MASS * word) / (count[before] + MASS))
+            loss = -np.log((found[k][place] + MASS * word) / (count[before] + MASS))
             if len(loss):
                 out[k, filled] = np.add.reduceat(loss, (np.cumsum(block.counts) - block.counts)[filled]) / block.counts[filled]
         return pa.table(
             {"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(block.counts), "target_loss": pa.array(out[0]), "background_loss": pa.array(out[1]), "score": pa.array(out[0] - out[1])}
         )
 
-    return _back(counted, pairs).applyInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    answers = _given(words, False).unionByName(_given(pairs, True))
+    both = blocks.select("block", "doc_ids", *content).groupBy("block").cogroup(answers.groupBy("block"))
+    return both.applyInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

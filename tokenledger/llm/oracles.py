@@ -84,7 +84,7 @@ with texts as (
     from tokens
 ), vocabulary as (
     select word, count(*) as c_all, count(*) filter (target) as c_target from tokens group by word
-    having count(*) >= greatest({lm.LEAST}, (select ceil(n_all * {lm.WORD_SHARE}) from totals))
+    having count(*) >= {lm.LEAST}
 ), unknown as (
     select n_all - coalesce((select sum(c_all) from vocabulary), 0) as c_all, n_target - coalesce((select sum(c_target) from vocabulary), 0) as c_target,
         (select count(*) from vocabulary) as size from totals
@@ -96,7 +96,7 @@ with texts as (
     from numbered window p as (partition by r order by i)
 ), pairs as (
     select first, before, word, count(*) as p_all, count(*) filter (target) as p_target from paired group by first, before, word
-    having count(*) >= greatest({lm.LEAST}, (select ceil(n_all * {lm.PAIR_SHARE}) from totals))
+    having count(*) >= {lm.LEAST}
 ), losses as (
     select r,
         -ln((coalesce(p_target, 0) + {lm.MASS} * ((c_target + 1) / (n_target + size + 1)))
