@@ -184,7 +184,7 @@ def test_negatives_by_brute_force(spark, monkeypatch, width, shard, codewords):
     monkeypatch.setattr(multi_index, "BATCH", 20)
     rows = crowd(np.random.default_rng(width), 400, width)
     frame = spark.createDataFrame(rows, VECTORS).repartition(3)
-    got = multi_index.mine(frame, F.col("vec_id") % 20 == 0, F.col("label"), shard=shard, group_least=60, anchors_of_group=7, codewords=codewords)
+    got = multi_index.mine(frame, F.col("vec_id") % 20 == 0, F.col("label"), shard=shard, codewords=codewords, least=60, most_asking=7)
     assert sorted(str(tuple(r)) for r in got.collect()) == mined(rows, 20) != []
 
 
@@ -193,7 +193,7 @@ def test_negatives_of_awkward_vectors(spark):
     rows = crowd(rng, 60, 3, 2)
     rows += [(100, None, 1), (101, [1.0, None, 2.0], 1), (102, [float("nan")] * 3, 1), (103, [float("inf"), 0.0, 0.0], 0), (104, [1.0, 1.0, 1.0], None), (105, [], 1), (106, [3.0], 0)]
     rows += [(None, [1.0, 2.0, 1.0], 0), (None, [1.0, 2.0, 1.0], 1), (110, [1e7, 1.0, 1.0], 0), (111, [1e30, -1e30, 3.0], 0), (112, [1e30, -1e30, 2.0], 1), (120, [2e30, 1e29, 0.0], 1), (120, [2e30, 1e29, 0.0], 1)]
-    got = multi_index.mine(spark.createDataFrame(rows, VECTORS).withColumn("block", F.lit(1)), F.col("vec_id") % 10 == 0, F.col("label"), shard=16, group_least=20)
+    got = multi_index.mine(spark.createDataFrame(rows, VECTORS).withColumn("block", F.lit(1)), F.col("vec_id") % 10 == 0, F.col("label"), shard=16, least=20)
     assert sorted(str(tuple(r)) for r in got.collect()) == mined(rows, 10) != []
 
 

@@ -395,7 +395,7 @@ def test_search_by_brute_force(spark):
     rng = np.random.default_rng(16)
     rows = [(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(300)]
     rows += [(300, None), (350, [1.0, None] * 4), (400, [float("nan")] * 8), (450, [float("inf")] * 8), (500, []), (550, [0.5, 1.5]), (None, rows[0][1]), (100, rows[3][1]), (2, rows[2][1])]
-    got = maxscore.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("own")), F.col("vec_id") % 50 == 0, shard=32, group=2)
+    got = maxscore.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("own")), F.col("vec_id") % 50 == 0, shard=32, least=64)
     use = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     expected = Counter()
     for q, a in use:
@@ -405,6 +405,20 @@ def test_search_by_brute_force(spark):
     assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == expected
 
 
+def test_search_of_large_finite_vectors(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=4).astype("f4").tolist()) for i in range(150)]
+    rows += [(150, [1e7, -1.0, 2.0, 0.5]), (151, [1e30, 1e30, -1e30, 1.0]), (152, [1e30, 1e30, -1e30, 2.0]), (200, [3e38, 3e38, 3e38, 3e38]), (201, [-3e38, 1e-30, 1.0, 2.0]), (202, [2e7, 8388608.0, 0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = {r.vec_id: [int(np.floor(256 * float(x))) for x in r.embedding] for r in frame.collect()}
+    expected = []
+    for q in (i for i in whole if i % 50 == 0):
+        scores = sorted(((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in whole.items() if i != q))[:5]
+        expected += [(q, rank, i, max(-(2**63), min(2**63 - 1, -s))) for rank, (s, i) in enumerate(scores, 1)]
+    got = maxscore.search(frame.repartition(3), F.col("vec_id") % 50 == 0, shard=16, least=40, most_asking=2)
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
 def test_search_of_nothing_and_few(spark):
     kind = "vec_id long, embedding array<float>"
     assert maxscore.search(spark.createDataFrame([], kind), F.col("vec_id") % 50 == 0).count() == 0

@@ -5,71 +5,34 @@ vectors in that component, with the least and the greatest, so that a query know
 query and a shard, terms are ordered by that bound. The terms of least bound whose bounds together cannot lift a vector
 over the query's current threshold are non-essential: the postings of the others, the essential ones, are traversed for
 all vectors, and vectors that could still reach the threshold with everything left are probed in the remaining terms,
-largest bound first, dropping out as soon as they cannot. The threshold is the k-th best score so far. Each task meets one
-block of queries with one group of shards; the groups' best are merged by rank.
+largest bound first, dropping out as soon as they cannot. The threshold is the k-th best score so far. Each task meets
+blocks of queries with one group of shards; the groups' best are merged by rank.
 
-Scores are whole numbers: every component x becomes floor(256 * x), x as double.
+Scores are whole numbers: every component x becomes floor(256 * x), x as double. They are exact at every size; a score
+beyond 64 bits is ranked as it is and shown as the nearest long.
 
-Edge cases: a vector that is null, holds a null or non-finite component, or one whose whole number does not fit 32 bits,
-takes no part. Shorter vectors count as filled up with zeros. Rows with the same vec_id are not candidates of each other;
+Edge cases: a vector that is null or holds a null or non-finite component takes no part. Shorter vectors count as filled up with zeros. Rows with the same vec_id are not candidates of each other;
 each is a query of its own if the id is one. Null ids are no queries, and rank after others in ties. Ties go to the
 smaller vec_id. An empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenledger.llm.tables import size_of, stage
+from tokenledger.llm import vectors as V
+from tokenledger.llm.tables import stage
 
-SCALE = 256
 K = 5
 SHARD = 4096
 QUERIES = 1024
-GROUP = 4
-_FITS = float(1 << 31)
-
-_BLOCK = "block long, rows int, width int, ids array<long>, matrix binary"
-_FOUND = pa.schema([("query_block", pa.int64()), ("query_row", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-FOUND = "query_block long, query_row int, query_id long, vec_id long, score long"
-
-
-def whole_numbers(vectors: DataFrame, column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``(vec_id, vector)`` with whole components; rows that take no part are left out."""
-    scaled = F.transform(F.col(column), lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    usable = F.col(column).isNotNull() & F.forall(F.col(column), lambda x: F.coalesce(F.abs(x.cast("double")) * scale < _FITS - 1, F.lit(False)))
-    return vectors.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.cast("array<int>").alias("vector"))
-
 
-def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """Blocks of at most ``rows`` vectors, made where they lie: nothing is shuffled."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                lists = part.column("vector")
-                widths = lists.value_lengths().to_numpy()
-                width = int(widths.max())
-                matrix = np.zeros((part.num_rows, width), "<i4")
-                matrix[np.arange(width) < widths[:, None]] = lists.flatten().to_numpy()
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "block": pa.array([number]), "rows": pa.array([part.num_rows], pa.int32()), "width": pa.array([width], pa.int32()),
-                        "ids": pa.array([part.column("vec_id").to_pylist()], pa.list_(pa.int64())), "matrix": pa.array([matrix.tobytes()], pa.binary()),
-                    }
-                )
-                number += 1
-
-    return vectors.mapInArrow(cut, _BLOCK)
+FOUND = "query_block long, query_row int, query_id long, vec_id long, score string, place int"
+_FOUND = pa.schema([("query_block", pa.int64()), ("query_row", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.string()), ("place", pa.int32())])
 
 
 class Shard:
@@ -79,7 +42,7 @@ class Shard:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))  # ties go to the smaller id
         self.ids = [ids[i] for i in order]
         self.known = np.array([-(2**63) if i is None else i for i in self.ids], np.int64)
-        self.most = int(np.abs(matrix.astype(np.int64)).max(initial=0)) * max(matrix.shape[1], 1)
+        self.most = float(np.abs(matrix).max(initial=0))
         self.postings = np.ascontiguousarray(matrix[order].T.astype(np.float64))
         self.low, self.high = (self.postings.min(axis=1), self.postings.max(axis=1)) if len(ids) else (None, None)
 
@@ -87,10 +50,13 @@ class Shard:
         """Merge this shard's best ``(-score, no id, id, place)`` into ``best``."""
         width = min(len(query), len(self.postings))
         q = query[:width].astype(np.float64)
-        if int(np.abs(query.astype(np.int64)).max(initial=0)) * self.most >= 1 << 53:  # beyond the whole numbers of a double
+        with np.errstate(over="ignore"):
+            large = float(np.abs(query).max(initial=0)) * self.most * len(self.postings) >= 1 << 53
+        if large:  # beyond the whole numbers of a double
             return self._search_large(query_id, query[:width], best, k)
         bound = np.maximum(q * self.low[:width], q * self.high[:width])  # most that a term can add; may be below 0
-        threshold = -best[k - 1][0] if len(best) >= k else -np.inf
+        # This shard's scores are below 2^53, so a threshold beyond 2^60 may stand for all greater ones.
+        threshold = float(min(max(-best[k - 1][0], -(1 << 60)), 1 << 60)) if len(best) >= k else -np.inf
         order = np.argsort(bound)
         rest = np.concatenate([[0.0], np.cumsum(bound[order])])  # most that the first i terms can add together
         # Non-essential: terms that help, taken from the least bound, that stay under the threshold together.
@@ -115,52 +81,39 @@ class Shard:
 
 
     def _search_large(self, query_id: int, query: np.ndarray, best: list[tuple[int, bool, int, int]], k: int) -> list[tuple[int, bool, int, int]]:
-        """The same for numbers so large that only Python's are exact; scores stop at the ends of a long."""
-        found = []
-        for i, values in enumerate(self.postings.T[:, : len(query)].astype(np.int64).tolist()):
+        """The same for numbers so large that only Python's are exact."""
+        found, whole = [], [int(x) for x in query.tolist()]
+        for i, values in enumerate(self.postings.T[:, : len(query)].tolist()):
             if self.known[i] != query_id:
-                score = max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(values, query.tolist(), strict=True))))
+                score = sum(int(a) * b for a, b in zip(values, whole, strict=True))
                 found.append((-score, self.ids[i] is None, self.ids[i] or 0, 0))
         return sorted(best + found)[:k]
 
 
 def _search(shards: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     rows: list[tuple] = []
-    loaded = []
-    for s in shards.sort_by("block").to_pylist():
-        loaded.append(Shard(s["ids"], np.frombuffer(s["matrix"], "<i4").reshape(s["rows"], s["width"])))
+    loaded = [Shard(s["ids"], V.matrix_of(s)) for s in shards.sort_by("block").to_pylist()]
     for block in queries.to_pylist():
-        matrix = np.frombuffer(block["matrix"], "<i4").reshape(block["rows"], block["width"])
-        for row, (query_id, query) in enumerate(zip(block["ids"], matrix, strict=True)):
+        for row, (query_id, query) in enumerate(zip(block["ids"], V.matrix_of(block), strict=True)):
             best: list[tuple[int, bool, int, int]] = []
             for shard in loaded:
                 best = shard.search(query_id, query, best, k)
-            rows += [(block["block"], row, query_id, None if none else i, -score) for score, none, i, _ in best]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            rows += [(block["block"], row, query_id, None if none else i, str(-score), place) for place, (score, none, i, _) in enumerate(best)]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_FOUND)
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, column: str = "embedding", shard: int = SHARD, group: int = GROUP) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` best of all other vectors for each query row."""
-    whole = whole_numbers(vectors, column)
-    shards = stage(blocks(whole, shard), "maxscore-shards")
-    asked = whole.filter(is_query).repartition(F.xxhash64("vec_id", "vector"))
-    queries = stage(blocks(asked, QUERIES), "maxscore-queries")
-    groups, query_groups = max(1, -(-size_of(shards) // group)), max(1, size_of(queries))
-
-    def dealt(parts: int) -> Column:
-        return F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")
-
-    def all_of(parts: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-
-    paired = shards.withColumn("group", dealt(groups)).select("*", all_of(query_groups).alias("query_group"))
-    sent = queries.withColumn("query_group", dealt(query_groups)).select("*", all_of(groups).alias("group"))
+def search(vectors: DataFrame, is_query: Column, k: int = K, column: str = "embedding", shard: int = SHARD, **limits: int) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``k`` best of all other vectors for each query row. ``limits`` are those of
+    ``vectors.meet``."""
+    rows = V.whole(vectors, column)
+    shards = stage(V.blocks(rows, shard), "maxscore-shards")
+    queries = stage(V.blocks(rows.filter(is_query).repartition(F.xxhash64("vec_id", "vector")), QUERIES), "maxscore-queries")
 
     def searched(left: pa.Table, right: pa.Table) -> pa.Table:
         return _search(left, right, k)
 
-    found = paired.groupBy("group", "query_group").cogroup(sent.groupBy("group", "query_group")).applyInArrow(searched, FOUND)
-    best = Window.partitionBy("query_block", "query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    found = V.meet(shards, queries, searched, FOUND, **limits)
+    best = Window.partitionBy("query_block", "query_row").orderBy(*V.falling(F.col("score")), F.col("vec_id").asc_nulls_last(), "place")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", V.shown(F.col("score")).alias("score"))

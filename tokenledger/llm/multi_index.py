@@ -32,14 +32,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tokenledger.llm import vectors as V
 from tokenledger.llm.tables import stage
 
-SCALE = 256
 K = 5
 LOW = 80
 CODEWORDS = 16
@@ -48,76 +47,10 @@ STEPS = 8
 #: Rows of a shard, rows of cells scored at once.
 SHARD = 4096
 BATCH = 512
-#: What a task holds at most: bytes of its shards as doubles, anchors. And the rows that are worth a task.
-GROUP_BYTES = 32 << 20
-GROUP_LEAST = 2048
-ANCHORS = 8192
-
-_HUGE = float(np.finfo(np.float64).max)
-_LEAST, _MOST = -(2**63), 2**63 - 1
-_BLOCK = "block long, rows int, width int, ids array<long>, labels array<long>, matrix binary"
+_NO_ID = -(2**63)
 _BEST = "anchor_block long, anchor_row int, anchor_id long, window int, place int, vec_id long, score string"
 
 
-def usable(vectors: DataFrame, label: Column, column: str = "embedding") -> DataFrame:
-    """``(vec_id, label, vector)`` with the whole numbers as doubles; rows that take no part are left out."""
-    value = F.col(column)
-    finite = F.forall(value, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
-    rows = vectors.filter(value.isNotNull() & finite & label.isNotNull())
-    # A double beyond 2^1015 stands for the greatest whole number that a double holds.
-    scaled = F.transform(value, lambda x: F.greatest(F.least(_floor(x.cast("double") * SCALE), F.lit(_HUGE)), F.lit(-_HUGE)))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), label.cast("long").alias("label"), scaled.alias("vector"))
-
-
-def _floor(x: Column) -> Column:
-    """The floor of a double as a double; from 2^52 on a double is whole already."""
-    return F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)
-
-
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most ``size`` rows, made where they lie: nothing is shuffled."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, count = TaskContext.get().partitionId() << 32, [], 0
-
-        def made() -> pa.RecordBatch:
-            part = pa.Table.from_batches(held).combine_chunks()
-            lists = pa.concat_arrays(part.column("vector").chunks)
-            widths = lists.value_lengths().to_numpy(zero_copy_only=False)
-            matrix = np.zeros((part.num_rows, max(int(widths.max()), 1)), "<f8")
-            matrix[np.arange(matrix.shape[1]) < widths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-            small = np.abs(matrix).max(initial=0) < 1 << 15
-            raw = matrix.astype("<i2" if small else "<f8").tobytes()
-            return pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([number]), "rows": pa.array([matrix.shape[0]], pa.int32()), "width": pa.array([matrix.shape[1]], pa.int32()),
-                    "ids": pa.array([part.column("vec_id").to_pylist()], pa.list_(pa.int64())),
-                    "labels": pa.array([part.column("label").to_pylist()], pa.list_(pa.int64())), "matrix": pa.array([raw], pa.binary()),
-                }
-            )
-
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, size - count)
-                held.append(part)
-                at, count = at + part.num_rows, count + part.num_rows
-                if count == size:
-                    yield made()
-                    number, held, count = number + 1, [], 0
-        if held:
-            yield made()
-
-    return rows.mapInArrow(cut, _BLOCK)
-
-
-def matrix_of(row: dict) -> np.ndarray:
-    """A block's rows as doubles."""
-    cells = row["rows"] * row["width"]
-    kind = "<i2" if len(row["matrix"]) == 2 * cells else "<f8"
-    return np.frombuffer(row["matrix"], kind).astype(np.float64).reshape(row["rows"], row["width"])
-
-
 def halves(matrix: np.ndarray, width: int) -> list[np.ndarray]:
     """The two halves of rows filled up (or cut) to ``width`` components; none is lost, as ``width`` is the greatest."""
     full = np.zeros((len(matrix), width))
@@ -186,7 +119,7 @@ class Shard:
         cell = codes[0] * len(books[1]) + codes[1]
         order = np.argsort(cell, kind="stable")
         self.ids, self.labels, self.matrix = [ids[i] for i in order], labels[order], np.hstack(parts)[order]
-        self.known = np.array([_LEAST if i is None else i for i in self.ids], np.int64)
+        self.known = np.array([_NO_ID if i is None else i for i in self.ids], np.int64)
         self.ends = np.searchsorted(cell[order], np.arange(len(books[0]) * len(books[1]) + 1))
         self.most = float(np.abs(matrix).max(initial=0))
         self.radii = []
@@ -282,10 +215,10 @@ def ceil_share(score: int, low: int) -> int:
 def _search(shards: pa.Table, anchors: pa.Table, books: list[np.ndarray], width: int, k: int, low: int | None) -> pa.Table:
     """The best rows of these shards for each anchor and window. Without ``low``: its positives; else the rows of other
     labels in the window of each positive, whose scores are in the column ``positives``."""
-    loaded = [Shard(s["ids"], np.array(s["labels"], np.int64), matrix_of(s), books, width) for s in shards.sort_by("block").to_pylist()]
+    loaded = [Shard(s["ids"], np.array(s["labels"], np.int64), V.matrix_of(s), books, width) for s in shards.sort_by("block").to_pylist()]
     out = []
     for block in anchors.to_pylist():
-        matrix = matrix_of(block)
+        matrix = V.matrix_of(block)
         for row, (anchor_id, label, query) in enumerate(zip(block["ids"], block["labels"], matrix, strict=True)):
             if low is None:
                 windows = [Best(k)]
@@ -299,52 +232,29 @@ def _search(shards: pa.Table, anchors: pa.Table, books: list[np.ndarray], width:
     return _rows(out)
 
 
-def _long(score: Column) -> Column:
-    """A score's nearest long."""
-    exact = score.try_cast("long")
-    return F.coalesce(exact, F.when(score.startswith("-"), F.lit(_LEAST)).otherwise(F.lit(_MOST)))
-
-
-def _order(score: Column) -> list[Column]:
-    """Scores written as whole numbers, highest first, without a bound on their size."""
-    negative = score.startswith("-")
-    return [negative.asc(), F.when(negative, -F.length(score)).otherwise(F.length(score)).desc(), F.when(~negative, score).desc_nulls_last(), F.when(negative, score).asc_nulls_last()]
-
-
-def mine(vectors: DataFrame, is_anchor: Column, label: Column, column: str = "embedding", k: int = K, low: int = LOW, shard: int = SHARD, group_bytes: int = GROUP_BYTES, group_least: int = GROUP_LEAST, anchors_of_group: int = ANCHORS, codewords: int = CODEWORDS) -> DataFrame:
-    """``(anchor_id, positive_id, rank, negative_id, positive_score, negative_score)``."""
-    rows = usable(vectors, label, column)
-    shards = stage(blocks(rows, shard), "multi-index-shards")
-    anchors = stage(blocks(rows.filter(is_anchor).repartition(F.xxhash64("vec_id", "vector")), min(anchors_of_group, 1024)), "multi-index-anchors")
-    total, width = (x or 1 for x in shards.agg(F.sum("rows"), F.max("width")).first())
-    sample = stage(blocks(rows.orderBy(F.xxhash64("vector"), F.xxhash64("vec_id")).limit(SAMPLE).coalesce(1), SAMPLE), "multi-index-sample").collect()
-    books = fit(np.vstack([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (matrix_of(r.asDict()) for r in sample)]) if sample else np.zeros((0, width)), width, codewords)
-    asking = anchors.agg(F.sum("rows")).first()[0] or 1
-    # As many groups as there are tasks to fill, of rows within both limits.
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    of_group = min(max(group_least, -(-total // parts)), max(1, group_bytes // (8 * width)))
-    groups, anchor_groups = -(-total // of_group), -(-asking // anchors_of_group)
-
-    def dealt(parts: int) -> Column:
-        return F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")
-
-    def meet(asked: DataFrame, low: int | None) -> DataFrame:
-        stored = shards.withColumn("group", dealt(groups)).select("*", F.explode(F.sequence(F.lit(0), F.lit(anchor_groups - 1))).alias("anchor_group"))
-        sent = asked.withColumn("anchor_group", dealt(anchor_groups)).select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+def mine(vectors: DataFrame, is_anchor: Column, label: Column, column: str = "embedding", k: int = K, low: int = LOW, shard: int = SHARD, codewords: int = CODEWORDS, **limits: int) -> DataFrame:
+    """``(anchor_id, positive_id, rank, negative_id, positive_score, negative_score)``. ``limits`` are those of ``vectors.meet``."""
+    rows = V.whole(vectors, column, where=label.isNotNull(), label=label.cast("long"))
+    shards = stage(V.blocks(rows, shard), "multi-index-shards")
+    anchors = stage(V.blocks(rows.filter(is_anchor).repartition(F.xxhash64("vec_id", "vector")), min(limits.get("most_asking", V.ASKING), 1024)), "multi-index-anchors")
+    width = shards.agg(F.max("width")).first()[0] or 1
+    sample = V.blocks(rows.orderBy(F.xxhash64("vector"), F.xxhash64("vec_id")).limit(SAMPLE).coalesce(1), SAMPLE).collect()
+    books = fit(np.vstack([np.zeros((0, width)), *(np.hstack(halves(V.matrix_of(r.asDict()), width)) for r in sample)]), width, codewords)
 
+    def best(asked: DataFrame, low: int | None) -> DataFrame:
         def searched(left: pa.Table, right: pa.Table) -> pa.Table:
             return _search(left, right, books, width, k, low)
 
-        found = stored.groupBy("group", "anchor_group").cogroup(sent.groupBy("group", "anchor_group")).applyInArrow(searched, _BEST)
-        first = Window.partitionBy("anchor_block", "anchor_row", "window").orderBy(*_order(F.col("score")), F.col("vec_id").asc_nulls_last(), "place")
+        found = V.meet(shards, asked, searched, _BEST, **limits)
+        first = Window.partitionBy("anchor_block", "anchor_row", "window").orderBy(*V.falling(F.col("score")), F.col("vec_id").asc_nulls_last(), "place")
         return found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
 
-    positives = stage(meet(anchors, None).select("anchor_block", "anchor_row", F.col("rank").alias("positive"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "multi-index-positives")
+    positives = stage(best(anchors, None).select("anchor_block", "anchor_row", F.col("rank").alias("positive"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "multi-index-positives")
     # The scores of each anchor's positives, in the order of the block's rows: at most k a row.
     scores = positives.groupBy("anchor_block", "anchor_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("positive", "positive_score"))), lambda p: p["positive_score"]).alias("scores"))
     of_rows = scores.groupBy("anchor_block").agg(F.map_from_entries(F.collect_list(F.struct("anchor_row", "scores"))).alias("by_row"))
     each = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.coalesce(F.try_element_at("by_row", i), F.array().cast("array<string>")))
-    asked = anchors.join(of_rows, anchors["block"] == of_rows["anchor_block"]).select(anchors["*"], each.alias("positives"))
-    negatives = meet(asked, low).select("anchor_block", "anchor_row", "anchor_id", (F.col("window") + 1).alias("positive"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
+    asked = stage(anchors.join(of_rows, anchors["block"] == of_rows["anchor_block"]).select(anchors["*"], each.alias("positives")), "multi-index-asked")
+    negatives = best(asked, low).select("anchor_block", "anchor_row", "anchor_id", (F.col("window") + 1).alias("positive"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     both = negatives.join(positives, ["anchor_block", "anchor_row", "positive"])
-    return both.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", _long(F.col("positive_score")).alias("positive_score"), _long(F.col("negative_score")).alias("negative_score"))
+    return both.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", V.shown(F.col("positive_score")).alias("positive_score"), V.shown(F.col("negative_score")).alias("negative_score"))

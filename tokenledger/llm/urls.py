@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenledger.llm.tables import join_checked, packed, stage
+from tokenledger.llm.tables import packed, stage
 
 BITS = 16
 MOST_BYTES = 32 << 20
@@ -152,7 +152,8 @@ def judge(pages: DataFrame, listed: DataFrame, keep: list[str] | None = None, ur
     exact = wanted.join(known, (wanted["pair.host"] == known["host"]) & (wanted["pair.path"] == known["path"]))
     rank = F.struct(F.length("host"), F.length("path"))
     best = stage(exact.groupBy(F.col("_host").alias("of_host"), F.col("_path").alias("of_path")).agg(F.max_by(F.struct("host", "path", "verdict"), rank).alias("rule")), "urls-decided")
-    decided = join_checked(rows, best, (rows["_host"] == best["of_host"]) & (rows["_path"] == best["of_path"]), "left").select("input_row", "_host", "_path", "rule")
+    # Both sides are stored, so that adaptive execution can split a URL given very often.
+    decided = rows.join(best, (rows["_host"] == best["of_host"]) & (rows["_path"] == best["of_path"]), "left").select("input_row", "_host", "_path", "rule")
     free = passed.filter(F.size("pairs") == 0).withColumn("rule", F.lit(None).cast("struct<host:string,path:string,verdict:string>")).drop("pairs")
     verdicts = decided.unionByName(free)
     facts = [F.col("_host").alias("host"), F.col("_path").alias("path"), F.concat("rule.host", "rule.path").alias("rule"), F.coalesce("rule.verdict", F.lit(default)).alias("verdict")]
