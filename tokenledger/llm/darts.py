@@ -42,8 +42,9 @@ ROWS = 4
 MAYBE = 0.65
 #: Nodes of a bucket that one task compares with as many others.
 BLOCK = 2000
-#: Elements of the sets of such a block.
-BLOCK_ELEMENTS = 4_000_000
+#: Elements of the sets of such a block, and elements that are compared with a set at once.
+BLOCK_ELEMENTS = 1_000_000
+RUN_ELEMENTS = 100_000
 
 
 def shingles(rows: W.Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -189,10 +190,7 @@ def _across(table: pa.Table) -> pa.Table:
         at = at[first == band]
         if not len(at):
             continue
-        elements = np.concatenate([sets[m] for m in at])
-        found = np.searchsorted(sets[k], elements)
-        found[found == sizes[k]] = 0
-        both = np.add.reduceat((sets[k][found] == elements).astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
+        both = np.concatenate([_shared(sets[k], [sets[m] for m in run]) for run in _runs(at, sizes[at])])
         for m in at[_linked(both, sizes[at], sizes[k])].tolist():
             if part[m] != part[k]:
                 links.append((min(nodes[k], nodes[m]), max(nodes[k], nodes[m])))
@@ -200,6 +198,21 @@ def _across(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
 
+def _runs(at: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """``at`` in runs of about ``RUN_ELEMENTS`` elements."""
+    before = np.cumsum(sizes) - sizes
+    return np.split(at, np.flatnonzero(np.diff(before // RUN_ELEMENTS)) + 1)
+
+
+def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the others shares with ``one``; all are sorted and not empty."""
+    sizes = np.array([len(x) for x in others])
+    elements = np.concatenate(others)
+    found = np.searchsorted(one, elements)
+    found[found == len(one)] = 0
+    return np.add.reduceat((one[found] == elements).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
 def _linked(both: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Whether sets of so many elements, ``both`` of them shared, reach the threshold; in whole numbers, so that a
     similarity of exactly the threshold is a link."""

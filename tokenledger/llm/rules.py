@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tokenledger.llm import features, labelled
 from tokenledger.llm import words as W
-from tokenledger.llm.tables import ROW, packed
+from tokenledger.llm.tables import ROW, packed, stage
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -31,6 +31,10 @@ SYMBOLS = b"#*$%&|<>"
 KEEP = 0.5
 #: Labelled rows of each class that the model is fitted on.
 PER_CLASS = 1000
+#: Slots of all their texts together that reach the driver; texts are taken by falling hash of their id until then.
+SAMPLE_SLOTS = 12_000_000
+#: Sampled texts whose gradient is summed at once.
+BATCH = 100
 STEPS = 120
 
 _SYMBOL = np.zeros(256, bool)
@@ -73,7 +77,10 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, steps: int = STEPS, ridge: float = 1e-5) -> Model:
     """Fit on a bounded sample; what reaches the driver is the sample's n-gram shares."""
     size = 1 << features.BITS
-    rows = labelled.sample(docs, labels, label, per_class).mapInArrow(_sample_features, "doc_id long, label int, slots binary, shares binary").toPandas()
+    found = stage(labelled.sample(docs, labels, label, per_class).mapInArrow(_sample_features, "doc_id long, label int, slots binary, shares binary"), "rules-sample")
+    sizes = found.select("doc_id", F.xxhash64("doc_id").alias("hash"), (F.length("slots") / 4).alias("slots")).toPandas().sort_values("hash", ascending=False)
+    taken = sizes["doc_id"][sizes["slots"].cumsum() <= SAMPLE_SLOTS].tolist()
+    rows = (found if len(taken) == len(sizes) else found.filter(F.col("doc_id").isin(taken))).toPandas()
     rows = rows.sort_values("doc_id", ignore_index=True)
     y = rows["label"].to_numpy(np.float64)
     if not len(y) or y.min() == y.max():
@@ -84,16 +91,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
     picked = np.flatnonzero(~held)
     column, value = np.concatenate([slots[i] for i in picked]), np.concatenate([shares[i] for i in picked])
-    row = np.repeat(np.arange(len(picked)), [len(slots[i]) for i in picked])
+    ends = np.concatenate([[0], np.cumsum([len(slots[i]) for i in picked])])
+    batches = [(i, min(i + BATCH, len(picked))) for i in range(0, len(picked), BATCH)]
     target = y[picked]
     weight = np.where(target > 0, 0.5 / max(target.mean(), 1e-9), 0.5 / max(1 - target.mean(), 1e-9)) / len(target)
     # Rare shares move little by themselves: scale each slot by its root mean square, within bounds.
-    scale = 1 / np.maximum(np.sqrt(np.bincount(column, value * value, size) / len(picked)), 1e-2)
-    value = value * scale[column]
+    squares = sum(np.bincount(column[ends[a] : ends[b]], value[ends[a] : ends[b]] ** 2, size) for a, b in batches)
+    scale = 1 / np.maximum(np.sqrt(squares / len(picked)), 1e-2)
     w, bias, m, v = np.zeros(size), 0.0, np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):  # Adam on the whole sample
-        error = (labelled.sigmoid(np.bincount(row, value * w[column], len(picked)) + bias) - target) * weight
-        g = np.append(np.bincount(column, value * error[row], size) + ridge * w, error.sum())
+        g, scaled = np.append(ridge * w, 0.0), w * scale
+        for a, b in batches:
+            at, share = column[ends[a] : ends[b]], value[ends[a] : ends[b]]
+            row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+            error = (labelled.sigmoid(np.bincount(row, share * scaled[at], b - a) + bias) - target[a:b]) * weight[a:b]
+            g[:-1] += scale * np.bincount(at, share * error[row], size)
+            g[-1] += error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; one longer text is handled alone. It bounds the memory of a task, not the work.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
