@@ -7,7 +7,7 @@ import tokenledger as tl
 from tokenledger.operators import guard, reports
 from tokenledger.plans import queries, views
 
-STREAMS = {"heartbeat_stream", "fold_chunk_stream", "stream_ingest", "stream_stats_daily", "stream_cache"}
+STREAMS = {"heartbeat_stream", "fold_chunk_stream", "stream_ingest", "stream_stats_daily", "stream_cache", "stream_ingest_tables", "dead_letters", "replayed_letters", "stream_totals_and_late"}
 
 
 def plan(df):

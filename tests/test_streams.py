@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import tokenledger as tl
 from tokenledger.plans import queries, views
 from tokenledger.session import new_path, shared_dir
-from tokenledger.streaming import chunks, live
+from tokenledger.streaming import chunks, commits, live
 
 
 def files(spark, frame, path, n):
@@ -42,7 +42,7 @@ def test_ingest_stream(spark, tmp_path):
     expected = tl.ingest_usage(frame.where("input_tokens >= 0 and id is not null"))["usage_data"]
     columns = ["id", "type", "total_tokens", "total_cost"]
     assert sorted(map(tuple, stored.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
-    letters = spark.read.parquet(f"{target}/{live.DEAD_LETTERS}")
+    letters = live.dead_letters(spark, target)
     assert letters.count() == 2 and "record has no id" in letters.first().error
 
 
@@ -58,9 +58,14 @@ def test_failed_table_is_kept(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(live, "ingest_usage", broken)
     target = str(tmp_path / "tables")
     tl.stream_ingest(files(spark, frame, str(tmp_path / "in"), 1), target, str(tmp_path / "cp"), once=True).awaitTermination()
-    assert live.read_batches(spark, target, "usage_data").count() == 1
-    letters = spark.read.parquet(f"{target}/{live.DEAD_LETTERS}").collect()
-    assert len(letters) == 1 and letters[0].error.startswith("prompt_variables") and '"u1"' in letters[0].record
+    # No table of the batch counts; the record is a letter, and a replay stores it whole.
+    assert live.read_batches(spark, target, "usage_data").count() == 0
+    letters = live.dead_letters(spark, target).collect()
+    assert len(letters) == 1 and "boom" in letters[0].error and letters[0].part == "write" and '"u1"' in letters[0].record
+    monkeypatch.setattr(live, "ingest_usage", real)
+    for _ in range(2):
+        assert live.replay_letters(spark, target, frame.schema).count() == 0
+        assert [r.id for r in live.read_batches(spark, target, "usage_data").collect()] == ["u1"]
 
 
 def test_cache_stream(spark, sf_dir, tmp_path):
@@ -72,11 +77,12 @@ def test_cache_stream(spark, sf_dir, tmp_path):
         calls.where(f"timestamp >= timestamp'{low}' and timestamp < timestamp'{day}'").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(source)
     target = str(tmp_path / "out")
-    tl.stream_cache(stream, target, f"{target}/cp", once=True).awaitTermination()
-    got = spark.read.schema(live.CALL_ROW).parquet(f"{target}/calls").select("id", "cached_usage_id")
+    tl.stream_cache(stream, target, f"{target}/cp", once=True, buckets=8, compact_after=2).awaitTermination()
+    got = live.read_calls(spark, target).select("id", "cached_usage_id")
     expected = tl.find_hits(calls).select("id", "cached_usage_id")
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
-    assert spark.read.parquet(f"{target}/cache").count() == calls.where("response_content <> ''").select("prompt_hash").distinct().count()
+    assert commits.load(spark, target).batches("cache") <= 3
+    assert commits.read(spark, target, "cache", live.CACHE_ROW).count() == calls.where("response_content <> ''").select("prompt_hash").distinct().count()
 
 
 def test_heartbeats_over_batches(spark, tmp_path):
@@ -134,3 +140,69 @@ def test_chunks_sent_again_count_once(spark, tmp_path):
     whole = spark.createDataFrame([r for b in batches for r in b], kind)
     batch = sorted((r.stream_id, r.response_content, r.chunks, r.input_tokens, r.complete) for r in chunks.fold_chunks(whole).collect())
     assert streamed == batch == [("r", "ABC", 3, 3, True), ("s", "x", 1, 1, True)]
+
+
+def test_manifest_ranges():
+    manifest = commits.Manifest()
+    for batch in (3, 1, 2, 7, -1, 3):
+        manifest.add("t", batch)
+    assert manifest.tables["t"] == [[-1, -1], [1, 3], [7, 7]] and manifest.batches("t") == 5
+    assert manifest.holds("t", 2) and not manifest.holds("t", 4) and not manifest.holds("u", 1)
+    manifest.add("t", 9, snapshot=True)
+    assert manifest.tables["t"] == [[9, 9]]
+
+
+def test_unpublished_batches_are_not_read(spark, tmp_path):
+    target = str(tmp_path / "t")
+    for batch in range(3):
+        commits.write(spark.range(batch, batch + 1), target, "rows", batch)
+    assert commits.read(spark, target, "rows", "id bigint").count() == 0
+    commits.publish(spark, target, lambda m: m.add("rows", 1))
+    assert [r.id for r in commits.read(spark, target, "rows", "id bigint").collect()] == [1]
+    for _ in range(commits.KEPT + 3):
+        commits.publish(spark, target, lambda m: m.add("rows", 2))
+    assert sorted(r.id for r in commits.read(spark, target, "rows", "id bigint").collect()) == [1, 2]
+    assert len(list((tmp_path / "t" / commits.FOLDER).glob("*.json"))) == commits.KEPT
+    plan = commits.read(spark, target, "rows", "id bigint")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "batch_id" in plan.split("PartitionFilters:")[1][:120]
+
+
+def test_a_second_writer_loses_nothing(spark, tmp_path, monkeypatch):
+    target, first, real = str(tmp_path), [], commits.load
+
+    def slow(session, path):
+        manifest = real(session, path)
+        if not first:  # another writer publishes between reading and writing
+            first.append(True)
+            commits.publish(session, path, lambda m: m.add("rows", 5))
+        return manifest
+
+    monkeypatch.setattr(commits, "load", slow)
+    commits.publish(spark, target, lambda m: m.add("rows", 1))
+    assert real(spark, target).tables["rows"] == [[1, 1], [5, 5]]
+
+
+def test_totals_and_late_rows_are_all_rows(spark, sf_dir, tmp_path):
+    """In any order of arrival, with snapshots in between and a batch that runs again."""
+    usage = views.usage(spark, sf_dir)
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(5):
+        usage.where(F.pmod(F.xxhash64("id"), F.lit(5)) == part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(usage.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    live.stream_totals(stream, target, str(tmp_path / "cp"), once=True, compact_after=2).awaitTermination()
+    late = live.read_late(spark, target, usage.schema)
+    assert 0 < late.count() < usage.count()
+    all_ = live._added(live.read_totals(spark, target, live.live_stats(usage).schema).unionByName(live.live_stats(late)))
+    def shape(rows):
+        found = sorted(rows.select("window_start", "org_id", "provider", "model", "total_tokens", "cache_saved_tokens", "compression_saved_tokens", "total_requests", "total_cache_hits", "total_cost").collect())
+        return [tuple(r)[:-1] for r in found], [r.total_cost for r in found]
+
+    def same(rows):
+        (keys, costs), (expected, expected_costs) = shape(rows), shape(live.live_stats(usage))
+        assert keys == expected and costs == pytest.approx(expected_costs)
+
+    same(all_)
+    assert commits.load(spark, target).batches("totals") <= 3
+    again = live.stream_totals(stream, target, str(tmp_path / "cp-lost"), once=True)  # its place in the stream is lost
+    again.awaitTermination()
+    same(live._added(live.read_totals(spark, target, live.live_stats(usage).schema).unionByName(live.live_stats(live.read_late(spark, target, usage.schema)))))

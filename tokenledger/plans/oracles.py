@@ -807,6 +807,29 @@ _BODIES: dict[str, str] = {
     "fold_chunk_stream": "SELECT * FROM folded",
     "stream_ingest": """SELECT id, 'ingested' AS type, total_tokens, round(total_cost, 9) AS total_cost,
         total_tokens > 32000 AS token_limit_exceeded FROM usage_log""",
+    "stream_ingest_tables": """
+        SELECT id AS usage_id, total_tokens, 2 AS n_parts,
+            9 + 6 + length(event_id::VARCHAR) + CASE WHEN event_id % 10 = 0 THEN 13 + length(event_id::VARCHAR) + 13 ELSE 0 END AS part_tokens,
+            CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS n_hits, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS n_actions,
+            CASE WHEN event_id % 10 = 0 THEN 'email' END AS pii_type, CASE WHEN event_id % 10 = 0 THEN epoch_us(ts) END AS hit_time,
+            CASE WHEN event_id % 4 = 0 THEN epoch_us(ts) END AS action_time
+        FROM usage_log""",
+    "dead_letters": """
+        SELECT CASE WHEN event_id % 50 = 0 THEN id END AS id, CASE WHEN event_id % 50 = 0 THEN -input_tokens - 1 ELSE input_tokens END AS input_tokens,
+            2 AS n_parts, 'record has no id or negative token counts' AS error, 'check' AS part
+        FROM usage_log WHERE event_id % 50 = 0 OR event_id % 70 = 3""",
+    "replayed_letters": """
+        SELECT id, total_tokens, round(total_cost, 9) AS total_cost, 2 AS n_parts, epoch_us(ts) AS time
+        FROM usage_log WHERE event_id % 50 = 0 OR event_id % 70 <> 3""",
+    "stream_totals_and_late": """
+        SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS day, org_id, provider, model,
+            sum(total_tokens)::BIGINT AS total_tokens, round(sum(total_cost), 9) AS total_cost,
+            sum(CASE WHEN type = 'cache_hit' THEN saved_tokens ELSE 0 END)::BIGINT AS cache_saved_tokens,
+            sum(CASE WHEN type = 'execution' THEN saved_tokens ELSE 0 END)::BIGINT AS compression_saved_tokens,
+            count(*) AS total_requests, count(*) FILTER (type = 'cache_hit') AS total_cache_hits,
+            event_id % 10 = 0 AND date_trunc('day', ts) + INTERVAL 1 DAY
+                <= (SELECT max(ts) FROM events WHERE event_id % 10 <> 0) - INTERVAL 1 HOUR AS late
+        FROM usage_log GROUP BY ALL""",
     "stats_daily": "SELECT * FROM daily",
     "stream_stats_daily": "SELECT * FROM daily",
     "stream_cache": """SELECT id, CASE WHEN (ts, id) > first_store THEN first_store[2] END AS cached_usage_id

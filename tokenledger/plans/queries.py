@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schema
 from ..config import Config
@@ -963,6 +964,60 @@ def stream_ingest(spark, sf_dir):
     )
 
 
+@query
+def stream_ingest_tables(spark, sf_dir):
+    """What live ingest made of each call in all four tables, hits with the time of their record."""
+    path = new_path(spark, "ingest-tables")
+    live.stream_ingest(views.sent_records(_stream(spark, sf_dir, "events")), f"{path}/tables", f"{path}/checkpoint", once=True).awaitTermination()
+    usage, parts, hits, actions = (live.read_batches(spark, f"{path}/tables", t) for t in ("usage_data", "prompt_variables", "pii_hits", "variable_actions"))
+    of_parts = parts.groupBy("usage_id").agg(F.count("*").alias("n_parts"), F.sum("token_count").alias("part_tokens"))
+    of_hits = hits.groupBy("usage_id").agg(F.count("*").alias("n_hits"), F.max("pii_type").alias("pii_type"), F.unix_micros(F.max("timestamp")).alias("hit_time"))
+    of_actions = actions.groupBy("usage_id").agg(F.count("*").alias("n_actions"), F.unix_micros(F.max("timestamp")).alias("action_time"))
+    rows = usage.withColumnRenamed("id", "usage_id")
+    for table in (of_parts, of_hits, of_actions):
+        rows = rows.join(table, "usage_id", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_parts", "part_tokens", "n_hits", "n_actions")]
+    return rows.select("usage_id", "total_tokens", *counts, "pii_type", "hit_time", "action_time")
+
+
+def _sent_badly(spark: SparkSession, sf_dir: str) -> tuple[str, StructType]:
+    """Live ingest of the given events, of which some arrive with negative counts or without an id; every other one of the
+    former is sent again as it should be. The tables' folder, and the schema of the records."""
+    path = new_path(spark, "letters")
+    records = views.sent_records(views.table(spark, sf_dir, "events"))
+    number = F.substring("id", 2, 20).cast("bigint")
+    first = records.withColumns(
+        {
+            "input_tokens": F.when(number % 50 == 0, -F.col("input_tokens") - 1).otherwise(F.col("input_tokens")),
+            "id": F.when((number % 70 != 3) | (number % 50 == 0), F.col("id")),
+        }
+    )
+    for rows in (first, records.where(number % 100 == 0)):
+        rows.write.mode("append").parquet(f"{path}/records")
+        stream = spark.readStream.schema(records.schema).parquet(f"{path}/records")
+        live.stream_ingest(stream, f"{path}/tables", f"{path}/checkpoint", once=True).awaitTermination()
+    return f"{path}/tables", records.schema
+
+
+@query
+def dead_letters(spark, sf_dir):
+    target, sent = _sent_badly(spark, sf_dir)
+    letters = live.dead_letters(spark, target).select(F.from_json("record", sent).alias("r"), "error", "part")
+    return letters.select("r.id", "r.input_tokens", F.size("r.variables").alias("n_parts"), "error", "part")
+
+
+@query
+def replayed_letters(spark, sf_dir):
+    """All stored calls after the letters were mended and replayed, twice; those sent again meanwhile are there once."""
+    target, sent = _sent_badly(spark, sf_dir)
+    tokens = F.col("input_tokens")
+    for _ in range(2):
+        live.replay_letters(spark, target, sent, lambda df: df.withColumn("input_tokens", F.when(tokens < 0, -tokens - 1).otherwise(tokens)))
+    parts = live.read_batches(spark, target, "prompt_variables").groupBy("usage_id").agg(F.count("*").alias("n_parts"))
+    rows = live.read_batches(spark, target, "usage_data")
+    return rows.join(parts, rows["id"] == parts["usage_id"]).select("id", "total_tokens", _r("total_cost"), "n_parts", _micros("timestamp", "time"))
+
+
 @query
 def stats_daily(spark, sf_dir):
     return _daily(live.live_stats(views.usage(spark, sf_dir)))
@@ -984,9 +1039,26 @@ def _daily(rows: DataFrame) -> DataFrame:
     )
 
 
+@query
+def stream_totals_and_late(spark, sf_dir):
+    """Windowed figures of a live log in three runs, of which the last brings a tenth of all calls late; what came behind
+    the watermark is counted apart."""
+    path = new_path(spark, "totals")
+    usage = views.usage(spark, sf_dir)
+    number, middle = F.substring("id", 2, 20).cast("bigint"), F.lit("2024-01-16").cast("timestamp")
+    in_time = number % 10 != 0
+    for rows in (usage.where(in_time & (F.col("timestamp") < middle)), usage.where(in_time & (F.col("timestamp") >= middle)), usage.where(~in_time)):
+        rows.write.mode("append").parquet(f"{path}/log")
+        stream = spark.readStream.schema(usage.schema).parquet(f"{path}/log")
+        live.stream_totals(stream, f"{path}/tables", f"{path}/checkpoint", once=True).awaitTermination()
+    late = live.live_stats(live.read_late(spark, f"{path}/tables", usage.schema))
+    counted = live.read_totals(spark, f"{path}/tables", late.schema)
+    return _daily(counted).withColumn("late", F.lit(False)).unionByName(_daily(late).withColumn("late", F.lit(True)))
+
+
 @query
 def stream_cache(spark, sf_dir):
     path = new_path(spark, "cache")
     calls = views.event_calls(_stream(spark, sf_dir, "events"), bypass=False)
     live.stream_cache(calls, path, f"{path}/checkpoint", once=True).awaitTermination()
-    return spark.read.schema(live.CALL_ROW).parquet(f"{path}/calls").select("id", "cached_usage_id")
+    return live.read_calls(spark, path).select("id", "cached_usage_id")

@@ -82,7 +82,12 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(parts), *keys) if parts else df
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a written table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove the intermediate tables of finished work below the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tokenledger")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, f"{shared_dir(spark)}/tokenledger")
