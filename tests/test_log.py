@@ -381,3 +381,17 @@ def test_children_carry_the_time_of_their_record(spark):
     tables = tl.ingest_usage(raw)
     for name in ("pii_hits", "variable_actions"):
         assert [str(r.timestamp) for r in tables[name].collect()] == ["2024-01-02 03:04:05"]
+
+
+def test_a_log_of_several_ages_reads_back_with_defaults(spark, tmp_path):
+    path = str(tmp_path / "log")
+    old = spark.createDataFrame([("u1", "acme", 5)], "id string, org_id string, total_tokens bigint").withColumn("timestamp", F.timestamp_seconds(F.lit(1704067200)))
+    new = old.withColumns({"id": F.lit("u2"), "type": F.lit("cache_hit"), "saved_tokens": F.lit(7).cast("bigint"), "project_id": F.lit("p"), "saved_cost": F.lit(0.5)})
+    for rows in (old, new):
+        tl.write_log({"usage_data": rows}, path)
+    usage = tl.read_log(spark, path, ["usage_data"])["usage_data"]
+    got = usage.select("id", "type", "project_id", "saved_tokens", "saved_cost", "org_id").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [("u1", "execution", "default", 0, 0.0, "acme"), ("u2", "cache_hit", "p", 7, 0.5, "acme")]
+    scoped = usage.where("org_id = 'acme' and date = date'2024-01-01'")
+    plan = scoped._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1][:200]
+    assert "org_id" in plan and "date" in plan and scoped.count() == 2

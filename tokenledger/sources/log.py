@@ -60,14 +60,20 @@ def seed_rows(spark: SparkSession, email: str = "dev@localhost") -> dict[str, Da
     }
 
 
+def _defaulted(df: DataFrame) -> DataFrame:
+    late = {c: F.coalesce(F.col(c), F.lit(v)).cast(df.schema[c].dataType) for c, v in LATE_COLUMNS.items() if c in df.columns}
+    return df.withColumns(late) if late else df
+
+
 def read_log(spark: SparkSession, source: str | Mapping[str, str], tables: list[str] | None = None) -> dict[str, DataFrame]:
     """The log's tables by name, from a folder of parquet tables or, given JDBC options, from a database.
 
-    JDBC options may hold ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` to read in parallel.
+    Files and tables of several ages may stand side by side: columns that a row was written without get their default.
+    Partition columns stay, so that a filter on them prunes files. JDBC options may hold ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` to read in parallel.
     """
     names = tables or list(schema.TABLES)
     if isinstance(source, str):
-        return {n: spark.read.schema(schema.TABLES[n]).parquet(f"{source.rstrip('/')}/{n}") for n in names}
+        return {n: _defaulted(spark.read.schema(schema.TABLES[n]).parquet(f"{source.rstrip('/')}/{n}")) for n in names}
     prefix = source.get("schema", "")
     options = {k: v for k, v in source.items() if k != "schema"}
     return {
