@@ -1,6 +1,7 @@
 """Each operator on awkward rows, an empty table and clashing columns, against brute force where it is not in SQL."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -192,6 +193,20 @@ def test_substrings_of_crossing_passages(spark):
             assert r.kept_text.encode() == b" ".join(expected[r.doc_id, r.text])
 
 
+def test_crowded_anchors_give_the_same_windows(spark):
+    rng = random.Random(5)
+    passage = prose(rng, 26, 40)
+    rows = [(None if i % 3 else i, f"{prose(rng, i % 9, 40)} {passage} {prose(rng, i % 7, 40)}", "en", "a", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+    def found(**sizes):
+        spans = relative_lz.duplicate_windows(docs, **sizes).collect()
+        return {(r.doc, r.at + k) for r in spans for k in range(r.windows)}
+
+    whole = found()
+    assert whole and whole == found(block_passages=3) == found(crowd=1) == found(block_passages=5, crowd=40)
+
+
 def test_substrings_of_nothing(nothing):
     assert relative_lz.remove(nothing).count() == 0
 

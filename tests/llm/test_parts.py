@@ -196,6 +196,32 @@ def test_factors_cover_each_window_once_and_alike():
     assert keys[4] and keys[4] <= keys[0] and keys[4] <= keys[1]  # a passage is cut alike wherever it stands
 
 
+def test_longest_earlier_matches_and_their_parse():
+    rng = random.Random(8)
+    texts = [[rng.randrange(3) for _ in range(rng.randrange(4, 15))] for _ in range(60)]
+    width = 4
+    words = np.array([w for t in texts for w in t], np.uint64)
+    bounds = np.cumsum([0] + [len(t) for t in texts])
+    windows = np.diff(bounds) - width + 1
+    first = np.cumsum(windows) - windows
+    start = np.concatenate([np.arange(b, b + n) for b, n in zip(bounds[:-1], windows, strict=True)])
+    end = np.repeat(bounds[1:], windows)
+    got = relative_lz.longest_earlier(words, start, end, np.zeros(len(start), np.int64), width)
+    suffixes = [words[s:e].tolist() for s, e in zip(start, end, strict=True)]
+
+    def common(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    best = [max([common(x, y) for y in suffixes[:i]], default=0) for i, x in enumerate(suffixes)]
+    assert got.tolist() == [n if n >= width else 0 for n in best]
+    spans = relative_lz.greedy_factors(got, first, windows, width)
+    covered = {(int(p), int(a) + k) for p, a, n in zip(*spans, strict=True) for k in range(n)}
+    assert covered == {(p, a) for p, n in enumerate(windows) for a in range(n) if got[first[p] + a]}
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(7)
     slots = [np.unique(np.concatenate([rng.integers(0, 300, 20), [1000 + label]])) for label in (0, 1) for _ in range(60)]

@@ -1,24 +1,30 @@
 """Substring duplicates by relative Lempel-Ziv parsing.
 
-Every text is factored against an index of the whole corpus. Parsing word by word from a text's start would need the texts
-before it in order, so factors are cut where content says: among the runs of ``ANCHOR`` words in a window of ``WINDOW``
-words, the one of least hash is the window's anchor, and the consecutive windows with one anchor make up a factor. Equal
-passages are cut alike wherever they stand.
-
-1. The index: anchors of all texts, kept by hash in blocks (the partitions of a shuffle). Only anchors that occur again can
-   belong to a duplicate. A task reports an anchor that repeats among its own texts as such, and sends it to its block
-   once, so a hot passage reaches a block at most once from each batch.
-2. Factors at repeated anchors are looked up whole: of equal factors, all but the first in the corpus become duplicate
-   spans. This takes a least position per factor, which tasks gather in part before they send.
-3. Factors with the same anchor but other bounds meet where a passage begins or ends. Their windows are checked one by one
-   in the same way, so that a match that crosses a factor's bounds is found.
+Documents are factored greedily against reference blocks that hold the corpus, and factors of ``WINDOW`` words or more are
+duplicate spans. Which block can hold a match is told by content: among the runs of ``ANCHOR`` words in a window of
+``WINDOW`` words, the one of least hash is the window's anchor, and the consecutive windows with one anchor make up a
+passage. Equal windows have equal anchors, so a passage finds all its matches in the block of its anchor, and no document
+has to meet blocks with which it shares nothing.
+
+1. The dictionary: passages of all texts by anchor. Only anchors that occur again can belong to a duplicate. A passage that
+   stands earlier as a whole is one factor; it needs no parse, and a task that holds both reports it at once. Only the first
+   of equal passages enters a reference block, so a passage with many copies is there once.
+2. Reference blocks (``_block_factors``): the different passages of some anchors, about ``BLOCK_PASSAGES``, in the order of
+   the corpus. The block's suffixes are put into classes by their first ``WINDOW`` words and the classes split word by word,
+   as one descends a suffix tree; this gives each suffix its longest match that starts earlier. The greedy parse then takes
+   at each place the longest match, or one word where there is none, and goes on behind it.
+3. Borders: the windows that cross the end of a factor lie in no factor. Each is looked up in the block by itself.
+
+An anchor with more than ``CROWD`` different passages is too much for one block. Its windows are matched one by one by a
+least position per window, which tasks gather in part before they send; the rows are the same.
 
 A window is a duplicate if its word sequence starts earlier: in a smaller doc_id, or earlier in the same text. All windows
-are judged on the input. Anchors are compared by 64-bit, factors and windows by 128-bit hashes.
+are judged on the input. Anchors are compared by 64-bit, passages and windows by 128-bit hashes, words in a block by 64.
 
 Edge cases: a null or blank text has no words; texts shorter than a window lose nothing. Repeated doc_ids are told apart
-by a hash of their text; rows with the same id and text are one document given twice, and each keeps what it keeps. A null doc_id counts as the smallest. An empty table gives an empty table. Other columns are not
-read, and ``remove`` carries them along whatever their names.
+by a hash of their text, also where lists of spans are sent to texts; rows with the same id and text are one document given
+twice, and each keeps what it keeps. A null doc_id counts as the smallest. An empty table gives an empty table. Other
+columns are not read, and ``remove`` carries them along whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.llm import words as W
@@ -35,6 +42,9 @@ from tokenledger.llm.tables import ROW, packed, stage
 
 WINDOW = 20
 ANCHOR = 6
+#: Passages in a reference block, on average, and different passages of one anchor up to which it stands in a block.
+BLOCK_PASSAGES = 40_000
+CROWD = 8_000
 _LEAST = -(2**63)
 _FACTOR = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("windows", pa.int32()), ("sure", pa.bool_())])
 FACTOR = "key long, run long, doc long, at long, windows int, sure boolean"
@@ -74,9 +84,19 @@ def factors(rows: W.Words, window: int = WINDOW, anchor: int = ANCHOR) -> dict[s
     return {"row": row, "key": grams[least], "run": run, "start": start, "windows": count}
 
 
+#: Seed of Spark's ``xxhash64``; marks made in tasks and in column expressions agree.
+_SEED = 42
+
+
 def _text_marks(rows: W.Words) -> np.ndarray:
     """31 bits that tell texts with one doc_id apart."""
-    return (W._run_hashes(W._LETTER[rows.data], rows.offsets[:-1], rows.offsets[1:]) >> np.uint64(33)).astype(np.int64)
+    raw, ends = rows.data.tobytes(), rows.offsets.tolist()
+    return np.array([xxhash.xxh64_intdigest(raw[s:e], _SEED) >> 33 for s, e in zip(ends, ends[1:], strict=False)], np.int64)
+
+
+def _mark(text: Column) -> Column:
+    """:func:`_text_marks` as a column."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 33)
 
 
 def _ids(batch: pa.RecordBatch, rows: W.Words) -> np.ndarray:
@@ -112,36 +132,117 @@ def _parsed(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parse, FACTOR)
 
 
-def _window_rows(docs: DataFrame, checked: DataFrame, window: int) -> DataFrame:
-    """``(h1, h2, doc, at)`` of each window of the factors ``checked (doc, at, windows)``."""
+def _passages(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The words, as 64-bit hashes, of the passages ``wanted (doc, at, words, key, block)``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("wanted")
+            lists = batch.column("wanted")
             for rows in W.each_chunk(batch.column("text")):
-                marks, ids, hashes = _text_marks(rows), _ids(batch, rows), rows.hashes()
-                place, doc, at = [], [], []
+                ids, hashes, picked, owner = _ids(batch, rows), rows.hashes(), [], []
                 for i in range(rows.rows):
-                    for f in wanted[rows.first + i].as_py():
-                        mark, start = f["at"] >> 32, f["at"] & 0xFFFFFFFF
-                        if mark == marks[i]:
-                            place.append(rows.bounds[i] + start + np.arange(f["windows"]))
-                            at.append(f["at"] + np.arange(f["windows"]))
-                            doc.append(np.full(f["windows"], ids[i]))
-                if not place:
+                    found = lists[rows.first + i].as_py()
+                    picked += found
+                    owner += [i] * len(found)
+                if not picked:
                     continue
-                p = np.concatenate(place)
-                h1 = W._run_hashes(hashes, p, p + window).view(np.int64)
-                h2 = W._run_hashes(W.mix(hashes ^ np.uint64(0x6A09E667F3BCC909)), p, p + window).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"h1": pa.array(h1), "h2": pa.array(h2), "doc": pa.array(np.concatenate(doc)), "at": pa.array(np.concatenate(at))})
-
-    listed = stage(checked.groupBy("doc").agg(F.collect_list(F.struct("at", "windows")).alias("wanted")), "lz-wanted")
+                at, n, key, block = (np.array([f[c] for f in picked], np.int64) for c in ("at", "words", "key", "block"))
+                place = rows.bounds[np.array(owner)] + (at & 0xFFFFFFFF)
+                words = [hashes[p:e].tobytes() for p, e in zip(place.tolist(), (place + n).tolist(), strict=True)]
+                arrays = [pa.array(block), pa.array(key), pa.array(ids[np.array(owner)]), pa.array(at), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["block", "key", "doc", "at", "words"])
+
+    listed = wanted.groupBy("doc", F.shiftright("at", 32).alias("mark")).agg(F.collect_list(F.struct("at", "words", "key", "block")).alias("wanted"))
+    listed = stage(listed, "lz-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.join(listed, F.coalesce(texts["doc_id"], F.lit(_LEAST)) == listed["doc"])
-    return found.select("doc_id", "text", "wanted").mapInArrow(cut, "h1 long, h2 long, doc long, at long")
+    own = (F.coalesce(texts["doc_id"], F.lit(_LEAST)) == listed["doc"]) & (_mark(texts["text"]) == listed["mark"])
+    cuts = texts.join(listed, own).select("doc_id", "text", "wanted").mapInArrow(cut, "block long, key long, doc long, at long, words binary")
+    return cuts.dropDuplicates(["block", "key", "doc", "at"])  # rows given twice
+
+
+def longest_earlier(words: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
+    """For each suffix ``words[start:end]``, given in the order of the corpus, the length of its longest match with an
+    earlier one of the same ``key``; 0 where it is shorter than a window.
 
+    Suffixes are split into classes by their first ``window`` words and then by one word more at a time. The first of a
+    class has no earlier match of that length, all others have. Classes of one are left.
+    """
+    length = np.zeros(len(start), np.int64)
+    left = np.arange(len(start))
+    parts, depth = (W._run_hashes(words, start, start + window), key), window
+    while len(left):
+        order = np.lexsort((left, *parts))
+        left, parts = left[order], [p[order] for p in parts]
+        new = np.ones(len(left), bool)
+        new[1:] = np.logical_or.reduce([p[1:] != p[:-1] for p in parts])
+        of = np.cumsum(new) - 1
+        length[left[~new]] = depth
+        longer = (np.bincount(of)[of] > 1) & (start[left] + depth < end[left])
+        left, of = left[longer], of[longer]
+        parts, depth = (words[start[left] + depth], of), depth + 1
+    return length
+
+
+def greedy_factors(longest: np.ndarray, first: np.ndarray, windows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parse of passages, of which passage ``i`` owns the suffixes ``first[i]`` to ``first[i] + windows[i]``: spans as
+    passage, place in it, and number of windows. The windows that cross a factor's end follow as spans of one."""
+    passage, place = np.arange(len(first)), np.zeros(len(first), np.int64)
+    spans = [(passage[:0], place[:0], place[:0])]
+    while len(passage):
+        match = longest[first[passage] + place]
+        whole = match >= window
+        spans.append((passage[whole], place[whole], match[whole] - window + 1))
+        behind = place + np.maximum(match, 1)
+        for back in range(1, window):
+            at = behind - back
+            inside = np.flatnonzero(whole & (at < windows[passage]))
+            inside = inside[longest[first[passage[inside]] + at[inside]] >= window]
+            spans.append((passage[inside], at[inside], np.ones(len(inside), np.int64)))
+        more = behind < windows[passage]
+        passage, place = passage[more], behind[more]
+    return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
+
+
+def _block_factors(passages: DataFrame, window: int) -> DataFrame:
+    """``(doc, at, windows)``: the duplicate spans of passages, each factored against the earlier ones of its block."""
+
+    def factor(block: pa.Table) -> pa.Table:
+        doc, at, key = (block.column(c).to_numpy() for c in ("doc", "at", "key"))
+        order = np.lexsort((at, doc))
+        doc, at, key = doc[order], at[order], key[order]
+        raw = block.column("words").combine_chunks()
+        raw = raw.take(pa.array(order))
+        data, ends = W.string_buffers(raw)
+        words, ends = data.view(np.uint64), ends // 8
+        windows = np.diff(ends) - window + 1
+        first = np.cumsum(windows) - windows
+        owner = np.repeat(np.arange(len(doc)), windows)
+        start = ends[owner] + np.arange(len(owner)) - first[owner]
+        longest = longest_earlier(words, start, ends[owner + 1], key[owner], window)
+        passage, place, count = greedy_factors(longest, first, windows, window)
+        return pa.table({"doc": doc[passage], "at": at[passage] + place, "windows": pa.array(count, pa.int32())})
+
+    return passages.groupBy("block").applyInArrow(factor, "doc long, at long, windows int")
+
+
+def _single_windows(passages: DataFrame, window: int) -> DataFrame:
+    """``(doc, at, windows)``: the duplicate windows of passages, by a least position for each window."""
 
-def duplicate_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = W.string_buffers(batch.column("words"))
+            words, ends = data.view(np.uint64), ends // 8
+            h1, place, row = W.windows(words, ends, window)
+            h2 = W._run_hashes(W.mix(words ^ np.uint64(0x6A09E667F3BCC909)), place, place + window)
+            doc, at = (batch.column(c).to_numpy()[row] for c in ("doc", "at"))
+            yield pa.RecordBatch.from_pydict({"h1": h1.view(np.int64), "h2": h2.view(np.int64), "doc": doc, "at": at + place - ends[row]})
+
+    rows = stage(passages.select("doc", "at", "words").mapInArrow(cut, "h1 long, h2 long, doc long, at long"), "lz-windows")
+    earliest = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(earliest, ["h1", "h2"]).filter(F.struct("doc", "at") != F.col("first")).select("doc", "at", F.lit(1).alias("windows"))
+
+
+def duplicate_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_passages: int = BLOCK_PASSAGES, crowd: int = CROWD) -> DataFrame:
     """``(doc, at, windows)``: runs of windows whose words start earlier in the corpus."""
     parsed = _parsed(docs, window, anchor)
     repeated = parsed.groupBy("key").agg(F.count("*").alias("n"), (F.min("run") != F.max("run")).alias("cut_apart")).filter("n > 1").drop("n")
@@ -150,24 +251,26 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     hits = stage(parsed.join(repeated, "key"), "lz-hits")
     open_ = hits.filter("not sure")
     first = open_.groupBy("key", "run").agg(F.min(F.struct("doc", "at")).alias("first"))
-    looked_up = stage(open_.join(first, ["key", "run"]).select("doc", "at", "windows", (F.struct("doc", "at") != F.col("first")).alias("later"), "cut_apart"), "lz-factors")
-    spans = hits.filter("sure").select("doc", "at", "windows").unionByName(looked_up.filter("later").select("doc", "at", "windows"))
+    looked_up = open_.join(first, ["key", "run"]).select("key", "doc", "at", "windows", (F.struct("doc", "at") != F.col("first")).alias("later"), "cut_apart")
+    looked_up = stage(looked_up, "lz-factors")
+    whole = hits.filter("sure").select("doc", "at", "windows").unionByName(looked_up.filter("later").select("doc", "at", "windows"))
 
-    edges = looked_up.filter("cut_apart and not later").select("doc", "at", "windows").distinct()
-    rows = stage(_window_rows(docs, edges, window), "lz-windows")
-    earliest = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    crossing = rows.join(earliest, ["h1", "h2"]).filter(F.struct("doc", "at") != F.col("first")).select("doc", "at", F.lit(1).alias("windows"))
-    return spans.unionByName(crossing)
+    different = looked_up.filter("cut_apart and not later").select("key", "doc", "at", "windows").distinct()
+    sizes = stage(different.groupBy("key").agg(F.count("*").alias("n")), "lz-sizes")
+    blocks = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // block_passages))
+    block = F.when(F.col("n") > crowd, F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    wanted = different.join(sizes.filter("n > 1"), "key").select("doc", "at", (F.col("windows") + window - 1).alias("words"), "key", block.cast("long").alias("block"))
+    passages = stage(_passages(docs, wanted), "lz-passages")
+    return whole.unionByName(_block_factors(passages.filter("block >= 0"), window)).unionByName(_single_windows(passages.filter("block < 0"), window))
 
 
-def _kept_words(text: bytes, mark: int, found: list[dict], window: int) -> tuple[list[bytes], int]:
+def _kept_words(text: bytes, found: list[dict], window: int) -> tuple[list[bytes], int]:
     words = text.split()
     gone = np.zeros(len(words) + 1, np.int64)
     for f in found:
-        if f["at"] >> 32 == mark:
-            start = f["at"] & 0xFFFFFFFF
-            gone[start] += 1
-            gone[start + f["windows"] + window - 1] -= 1
+        start = f["at"] & 0xFFFFFFFF
+        gone[start] += 1
+        gone[start + f["windows"] + window - 1] -= 1
     covered = np.cumsum(gone[:-1]) > 0
     return [w for w, c in zip(words, covered.tolist(), strict=True) if not c], len(words)
 
@@ -177,7 +280,7 @@ def cleaned(docs: DataFrame, *columns: str, whole_rows: bool = False, window: in
     place of columns. ``kept_text`` joins the kept words with one space; it is null where nothing is removed, as the text then stays.
     """
     spans = duplicate_windows(docs, window, anchor)
-    listed = stage(spans.groupBy("doc").agg(F.collect_list(F.struct("at", "windows")).alias("spans")), "lz-spans")
+    listed = stage(spans.groupBy("doc", F.shiftright("at", 32).alias("mark")).agg(F.collect_list(F.struct("at", "windows")).alias("spans")), "lz-spans")
     rows = packed(docs) if whole_rows else docs
     columns = (ROW,) if whole_rows else columns
 
@@ -186,12 +289,11 @@ def cleaned(docs: DataFrame, *columns: str, whole_rows: bool = False, window: in
             column, kept, total, removed = batch.column("text"), [], [], []
             found = batch.column("spans")
             for rows in W.each_chunk(column):
-                marks = _text_marks(rows)
                 for i in range(rows.rows):
                     spans = found[rows.first + i]
                     n, words = int(rows.counts[i]), None
                     if spans.is_valid:
-                        words, n = _kept_words(rows.data[rows.offsets[i] : rows.offsets[i + 1]].tobytes(), int(marks[i]), spans.as_py(), window)
+                        words, n = _kept_words(rows.data[rows.offsets[i] : rows.offsets[i + 1]].tobytes(), spans.as_py(), window)
                     kept.append(None if words is None or len(words) == n else b" ".join(words).decode("utf-8", "replace"))
                     total.append(n)
                     removed.append(0 if words is None else n - len(words))
@@ -199,8 +301,8 @@ def cleaned(docs: DataFrame, *columns: str, whole_rows: bool = False, window: in
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in columns} | made)
 
     text, doc_id = (F.col(f"{ROW}.`{c}`" if whole_rows else c) for c in ("text", "doc_id"))
-    rows = rows.select(*columns, *([] if "text" in columns else [text.alias("text")]), F.coalesce(doc_id.cast("long"), F.lit(_LEAST)).alias("doc_key"))
-    joined = rows.join(listed, rows["doc_key"] == listed["doc"], "left")
+    rows = rows.select(*columns, *([] if "text" in columns else [text.alias("text")]), F.coalesce(doc_id.cast("long"), F.lit(_LEAST)).alias("doc_key"), _mark(text).alias("doc_mark"))
+    joined = rows.join(listed, (rows["doc_key"] == listed["doc"]) & (rows["doc_mark"] == listed["mark"]), "left")
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
     return joined.select(*columns, *([] if "text" in columns else ["text"]), "spans").mapInArrow(clean, f"{kinds}, kept_text string, n_words long, n_removed long")
 
