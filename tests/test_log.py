@@ -395,3 +395,26 @@ def test_a_log_of_several_ages_reads_back_with_defaults(spark, tmp_path):
     scoped = usage.where("org_id = 'acme' and date = date'2024-01-01'")
     plan = scoped._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1][:200]
     assert "org_id" in plan and "date" in plan and scoped.count() == 2
+
+
+def test_pages_behind_a_mark_are_the_pages_by_number(spark, tmp_path):
+    made = spark.range(60).selectExpr(
+        "concat('u', lpad(string(id), 3, '0')) id", "'o' org_id", "if(id % 7 = 0, null, int(id % 4)) total_tokens",
+        "if(id % 11 = 0, null, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, int(id) div 5)) timestamp")
+    for sort in ("date", "tokens"):
+        mark, seen = None, []
+        for number in range(1, 11):
+            rows = tl.page_after(made, mark, sort, 7)
+            assert rows.collect() == tl.page(made, number, sort, 7).collect()
+            seen += [r.id for r in rows.collect()]
+            mark = tl.page_mark(rows, sort) or mark
+        assert sorted(seen) == sorted(r.id for r in made.collect())
+    assert tl.page_mark(made.limit(0)) is None
+
+    made.withColumn("date", F.to_date("timestamp")).write.partitionBy("org_id", "date").parquet(str(tmp_path / "log"))
+    stored = spark.read.parquet(str(tmp_path / "log"))
+    rows = tl.page_after(stored, tl.page_mark(tl.page(made, 4, "date", 7)), "date", 7)
+    assert [r.id for r in rows.collect()] == [r.id for r in tl.page(made, 5, "date", 7).collect()]
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    filters = text[text.index("PartitionFilters"):]
+    assert "date" in filters[: filters.index("PushedFilters")] and "LessThanOrEqual(timestamp" in filters and "TakeOrderedAndProject" in text

@@ -8,7 +8,7 @@ from .operators.construct import construct
 from .operators.cost import alternatives, best_alternative, cost, retired_models, with_alternatives
 from .operators.explain import analysis_prompts, backfill_plans, explain, parse_analysis
 from .operators.guard import guard, scan_and_rewrite
-from .operators.listing import listing, nest, page, page_count, recent, recommended
+from .operators.listing import listing, nest, page, page_after, page_count, page_mark, recent, recommended
 from .operators.reports import breakdowns, budget, by_model, by_provider, heatmap, potential_savings, projects, scope, stats_report, totals
 from .operators.scan import entropy, injection_findings, mask_pii, pii_findings, secret_findings, threat_flags
 from .operators.tenancy import attach_org

@@ -50,6 +50,37 @@ def page(usage: DataFrame, number: int, sort: str = "date", size: int = PAGE_SIZ
     return usage.orderBy(*_order(sort)).offset((number - 1) * size).limit(size)
 
 
+def page_mark(rows: DataFrame, sort: str = "date") -> tuple | None:
+    """Where a page ends: the sort value and id of its last row, for :func:`page_after`; None for an empty page.
+
+    ``rows`` is a page, so the one row that comes to the driver is taken from few.
+    """
+    column = _ORDERS[sort][1]
+    last = rows.orderBy(F.col(column).asc_nulls_first(), F.col("id").desc()).select(column, "id").first()
+    return tuple(last) if last else None
+
+
+def page_after(usage: DataFrame, mark: tuple | None = None, sort: str = "date", size: int = PAGE_SIZE) -> DataFrame:
+    """The ``size`` rows behind ``mark`` (value and id of the last row seen; None for the first page), in the order of
+    :func:`page`.
+
+    However deep the page, a task keeps ``size`` rows. The range of the value reaches the scan, and a log laid out by day
+    is read only up to the day of the mark. Rows without a value come last, by id; ids are unique and not null.
+    """
+    direction, column = _ORDERS[sort]
+    if mark is not None:
+        value, last = mark
+        behind = F.col(column).isNull() & (F.col("id") > F.lit(last))
+        if value is not None:
+            at = F.lit(value)
+            ties = (F.col(column) < at) | (F.col("id") > F.lit(last))
+            behind = F.col(column).isNull() | ((F.col(column) <= at) & ties)
+            if sort == "date" and "date" in usage.columns:
+                usage = usage.where((F.col("date") <= F.to_date(at)) | F.col("date").isNull())
+        usage = usage.where(behind)
+    return usage.orderBy(direction(column), F.col("id")).limit(size)
+
+
 def page_count(usage: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     """One row: rows and pages."""
     return usage.agg(F.count("*").alias("rows")).withColumn("pages", F.ceil(F.col("rows") / size).cast("bigint"))

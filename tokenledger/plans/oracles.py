@@ -483,6 +483,10 @@ _BODIES: dict[str, str] = {
     "recent_usage": """SELECT id, type, model, total_tokens, round(total_cost, 9) AS total_cost, epoch_us(ts) AS at
         FROM usage_log WHERE org_id = 'org_1' AND project_id = 'proj_1' ORDER BY ts DESC, id LIMIT 50""",
     "usage_page": "SELECT id, total_tokens FROM usage_log ORDER BY ts DESC, id LIMIT 10 OFFSET 20",
+    "usage_page_after": "SELECT id, total_tokens FROM usage_log ORDER BY ts DESC, id LIMIT 10 OFFSET 30",
+    "usage_pages_by_tokens": """SELECT id, total_tokens, ((place - 1) // 25 + 1)::INTEGER AS page
+        FROM (SELECT id, total_tokens, row_number() OVER (ORDER BY total_tokens DESC, id) AS place FROM usage_log)
+        WHERE place <= 100""",
     "usage_page_count": "SELECT count(*) AS rows, ceil(count(*) / 10.0)::BIGINT AS pages FROM usage_log",
     "usage_by_cost": """SELECT id, round(total_cost, 9) AS total_cost FROM usage_log
         ORDER BY usage_log.total_cost DESC, id LIMIT 25""",

@@ -261,6 +261,25 @@ def usage_page(spark, sf_dir):
     return listings.page(views.usage(spark, sf_dir), 3).select("id", "total_tokens")
 
 
+@query
+def usage_page_after(spark, sf_dir):
+    """The fourth page by date, which starts where the third one ended."""
+    usage = views.usage(spark, sf_dir)
+    mark = listings.page_mark(listings.page(usage, 3))
+    return listings.page_after(usage, mark).select("id", "total_tokens")
+
+
+@query
+def usage_pages_by_tokens(spark, sf_dir):
+    """Four pages by token count, of which many calls have the same, each behind the one before."""
+    usage, mark, pages = views.usage(spark, sf_dir), None, []
+    for number in range(1, 5):
+        rows = listings.page_after(usage, mark, "tokens", 25)
+        mark = listings.page_mark(rows, "tokens")
+        pages.append(rows.select("id", "total_tokens", F.lit(number).alias("page")))
+    return pages[0].union(pages[1]).union(pages[2]).union(pages[3])
+
+
 @query
 def usage_page_count(spark, sf_dir):
     return listings.page_count(views.usage(spark, sf_dir))
