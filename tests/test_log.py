@@ -207,6 +207,26 @@ def test_running_equals_window(spark):
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, expected.collect()))
 
 
+def test_running_over_bursts(spark):
+    """Half of the rows in two seconds of one key, with ties, times before 1970 and rows without a time."""
+    random.seed(5)
+    rows = []
+    for i in range(1200):
+        at = START + timedelta(microseconds=random.randrange(2 * 10**6)) if i % 2 else START + timedelta(seconds=random.randrange(9000))
+        at = None if i % 50 == 3 else datetime(1969, 12, 31, 23, i % 60) if i % 40 == 1 else at
+        rows.append((f"c{i:05d}", "hot" if i % 2 else f"p{i % 9}", START if i % 30 == 7 else at, None if i % 4 == 2 else i))
+    frame = spark.createDataFrame(rows, "id string, k string, timestamp timestamp, n bigint")
+    window = W.partitionBy("k").orderBy("timestamp", "id").rowsBetween(W.unboundedPreceding, -1)
+    expected = frame.select(
+        "id", F.last("n", True).over(window).alias("l"), F.coalesce(F.sum("n").over(window), F.lit(0)).alias("s"))
+    expected = sorted(map(tuple, expected.collect()))
+    for seconds in (1, 3600, 10**6):
+        ours = running.last_before(frame, ["k"], "timestamp", "id", F.col("n"), "l", seconds)
+        ours = running.sum_before(ours, ["k"], "timestamp", "id", F.col("n"), "s", seconds)
+        assert set(ours.columns) == {*frame.columns, "l", "s"}
+        assert sorted(map(tuple, ours.select("id", "l", "s").collect())) == expected
+
+
 def test_upsert_and_lookup(spark):
     ddl = "prompt_hash string, response_content string, usage_id string, timestamp timestamp"
     old = spark.createDataFrame([("h", "one", "u1", START)], ddl)

@@ -1,9 +1,11 @@
 """Running values over long, uneven histories.
 
-A plain window over a key puts all rows of that key in one task. Here a key is cut into time buckets: rows are
-summarised per (key, bucket) with map-side partial aggregation, the few summaries of a key are scanned in order, and
-each row adds the carry of the earlier buckets to what it sees inside its own bucket. Row-level windows therefore only
-ever hold one bucket of one key, and the result equals the plain window.
+A plain window over a key puts all rows of that key in one task. Here a key is cut into time buckets and a bucket into
+``SLOTS`` slots: rows are summarised per (key, bucket, slot) with map-side partial aggregation, the summaries of a bucket
+(at most ``SLOTS``) and those of a key's buckets are scanned in order, and each row adds the carry of both scans to what
+it sees inside its own slot. Row-level windows therefore only ever hold one slot of one key, a second by default, so a
+burst on one key is spread as well; only rows of one key with (almost) the same time meet. The result equals the plain
+window. Rows without a time come before all others.
 """
 
 from __future__ import annotations
@@ -15,8 +17,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
+SLOTS = 3600
+
+
+def _timed(df: DataFrame, ts: str, value: Column, seconds: int) -> DataFrame:
+    """Add the value with its bucket and its slot in the bucket."""
+    width = seconds * 1_000_000
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    within = F.pmod(micros, F.lit(width))
+    return df.withColumns({
+        "_value": value,
+        "_bucket": ((micros - within) / F.lit(width)).cast("bigint"),
+        "_slot": F.floor(within / F.lit(max(width // SLOTS, 1))).cast("bigint"),
+    })
 
 
 def _before(window):
@@ -27,14 +40,15 @@ def last_before(
     df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: Column, name: str, bucket_seconds: int = 3600
 ) -> DataFrame:
     """Add ``name``: the last non-null ``value`` of earlier rows with the same (non-null) keys, by ``(ts, tie)``."""
-    rows = df.withColumn("_bucket", _bucket(F.col(ts), bucket_seconds)).withColumn("_value", value)
+    rows = _timed(df, ts, value, bucket_seconds)
     latest = F.max(F.when(F.col("_value").isNotNull(), F.struct(F.col(ts), F.col(tie), F.col("_value"))))
     return _with_carry(
         rows,
         latest,
+        F.max("_summary"),
         keys,
         lambda w: F.last("_summary", ignorenulls=True).over(w)["_value"],
-        lambda inner, carry: F.coalesce(F.last("_value", ignorenulls=True).over(inner), carry),
+        lambda inner, near, far: F.coalesce(F.last("_value", ignorenulls=True).over(inner), near, far),
         ts,
         tie,
         name,
@@ -45,27 +59,34 @@ def sum_before(
     df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: Column, name: str, bucket_seconds: int = 3600
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over earlier rows with the same (non-null) keys, by ``(ts, tie)``; 0 if none."""
-    rows = df.withColumn("_bucket", _bucket(F.col(ts), bucket_seconds)).withColumn("_value", value)
+    rows = _timed(df, ts, value, bucket_seconds)
     zero = F.lit(0)
     return _with_carry(
         rows,
         F.sum("_value"),
+        F.sum("_summary"),
         keys,
         lambda w: F.sum("_summary").over(w),
-        lambda inner, carry: F.coalesce(F.sum("_value").over(inner), zero) + F.coalesce(carry, zero),
+        lambda inner, near, far: F.coalesce(F.sum("_value").over(inner), zero)
+        + F.coalesce(near, zero)
+        + F.coalesce(far, zero),
         ts,
         tie,
         name,
     )
 
 
-def _with_carry(rows, summary, keys, scan, combine, ts, tie, name) -> DataFrame:
-    """Summarise buckets, scan the summaries of each key, and join every bucket's carry to its rows.
+def _with_carry(rows, summary, merge, keys, scan, combine, ts, tie, name) -> DataFrame:
+    """Summarise slots and buckets, scan both in order, and join every slot's carries to its rows.
 
-    The join and the row window share one partitioning by key and bucket.
+    The join and the row window share one partitioning by key, bucket and slot.
     """
-    summaries = rows.groupBy(*keys, "_bucket").agg(summary.alias("_summary"))
-    carried = summaries.withColumn("_carry", scan(_before(W.partitionBy(*keys).orderBy("_bucket")))).drop("_summary")
-    inner = _before(W.partitionBy(*keys, "_bucket").orderBy(ts, tie))
-    joined = rows.join(carried, [*keys, "_bucket"], "left")
-    return joined.withColumn(name, combine(inner, F.col("_carry"))).drop("_bucket", "_carry", "_value")
+    bucket, slot = [*keys, "_bucket"], [*keys, "_bucket", "_slot"]
+    slots = rows.groupBy(*slot).agg(summary.alias("_summary"))
+    buckets = slots.groupBy(*bucket).agg(merge.alias("_summary"))
+    far = buckets.withColumn("_far", scan(_before(W.partitionBy(*keys).orderBy("_bucket")))).drop("_summary")
+    near = slots.withColumn("_near", scan(_before(W.partitionBy(*bucket).orderBy("_slot")))).drop("_summary")
+    inner = _before(W.partitionBy(*slot).orderBy(ts, tie))
+    joined = rows.join(near.join(far, bucket, "left"), slot, "left")
+    value = combine(inner, F.col("_near"), F.col("_far"))
+    return joined.withColumn(name, value).drop("_bucket", "_slot", "_near", "_far", "_value")
