@@ -56,6 +56,29 @@ def test_word_by_word_ids_equal_whole_texts(cache):
     assert [x.tolist() for x in tokens.Encoder(PATH, by_word=False).rows(pa.array(texts), 9)] == whole
 
 
+@pytest.mark.parametrize("cache", [40, 700, 600_000])
+def test_odd_words_have_the_ids_of_whole_texts(cache):
+    rng = random.Random(11)
+    pieces = [*"abzAKZ01.,;:!?&%$#-_()<>|'", "'s", "'LL", "...", "&&&", "\u0301", "\u0331", "\u0307", "İ", "ß", "ſ", "\u212a", "é", "Σ", "“", "\u200b", "\x85", "中"]
+    texts = [" ".join("".join(rng.choices(pieces, k=rng.randint(1, 6))) for _ in range(300)) for _ in range(40)]
+    encoder = tokens.Encoder(PATH, cache_words=cache)
+    whole = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for a in range(0, len(texts), 4):
+        assert [x.tolist() for x in encoder.rows(pa.array(texts[a : a + 4]))] == whole[a : a + 4]
+
+
+def test_words_are_encoded_once_whatever_their_capitals_and_last_marks(monkeypatch):
+    encoder, sent = tokens.Encoder(PATH, cache_words=12), []
+    encode = encoder._encode_words
+    monkeypatch.setattr(encoder, "_encode_words", lambda found, *a: (sent.extend(found), encode(found, *a))[1])
+    for text in ("one One, ONE&&& one... other", "other one.", "One this", "that those", "one again", "one &&&", "u v w x y", "y one", "p q r s t", "one t"):
+        got = [x.tolist() for x in encoder.rows(pa.array([text]))]
+        assert got == [encoder.tokenizer.encode(text, add_special_tokens=False).ids]
+    assert max(len(encoder.known), len(encoder.recent)) <= 12 and sent.count("those") == 1
+    assert sent.count("one") == 1  # it had been asked for when the cache was full, so it stayed
+    assert not [x for x in sent if x != x.lower() or (x[0].isalpha() and not x.isalpha())]
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 129, 70_000, 200_001])
 @pytest.mark.parametrize("kinds", [1, 3, 5000])
 def test_rans_round_trip(n, kinds):
