@@ -438,3 +438,11 @@ def test_pages_behind_a_mark_are_the_pages_by_number(spark, tmp_path):
     text = rows._jdf.queryExecution().executedPlan().toString()
     filters = text[text.index("PartitionFilters"):]
     assert "date" in filters[: filters.index("PushedFilters")] and "LessThanOrEqual(timestamp" in filters and "TakeOrderedAndProject" in text
+
+
+def test_first_plans_by_id_without_ids_and_for_no_usage(spark):
+    rows = [("u1", "p2", 2.0, ["b"]), ("u1", "p1", 1.0, ["a"]), ("u1", None, 0.0, ["n"]), ("u2", None, 5.0, ["c"]), (None, "p9", 9.0, None), (None, "p8", 8.0, ["d"])]
+    plans = spark.createDataFrame(rows, "usage_id string, id string, estimated_savings_pct double, detected_issues array<string>")
+    got = {r.usage_id: tuple(r.explain_plan) for r in listing.first_plans(plans).collect()}
+    assert got == {"u1": ("p1", 1.0, ["a"]), "u2": (None, None, None), None: ("p8", 8.0, ["d"])}
+    assert listing.first_plans(plans.unionByName(plans)).count() == 3

@@ -46,3 +46,9 @@ def test_guard_shuffles_nothing_and_scans_once(spark, tmp_path):
     assert "Exchange" not in plan(wide)
     findings = tl.secret_findings(parts)
     assert plan(findings).count("regexp_extract_all") == 1 and "Filter (size" not in plan(findings)
+
+
+def test_the_first_plan_computes_only_what_is_read(spark, sf_dir):
+    text = queries.QUERIES["first_plans"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    for unread in ("mce_alternatives", "detected_issues", "variable_analysis"):
+        assert unread not in text

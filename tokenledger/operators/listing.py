@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numbers import to_fixed
 from ..functions.pricing import PRICES, Price
@@ -87,10 +88,15 @@ def page_count(usage: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
 
 
 def first_plans(plans: DataFrame) -> DataFrame:
-    """One plan per usage row: the first by id. Plans are packed into a struct so that partial minima can be used."""
-    others = [c for c in plans.columns if c not in ("usage_id", "id")]
-    packed = F.struct("id", *others)
-    return plans.groupBy("usage_id").agg(F.min_by(packed, "id").alias("explain_plan"))
+    """One plan per usage row: the first by id. Its fields are null if no plan has an id.
+
+    The first rows are taken as they are and packed last, so that the optimizer drops the fields that the caller does not
+    read, and all that is only computed for them. Each task passes on one row of a usage at most.
+    """
+    place = F.row_number().over(Window.partitionBy("usage_id").orderBy(F.asc_nulls_last("id")))
+    first = plans.withColumn("_place", place).where("_place = 1")
+    others = [F.when(F.col("id").isNotNull(), F.col(c)).alias(c) for c in plans.columns if c not in ("usage_id", "id")]
+    return first.select("usage_id", F.struct("id", *others).alias("explain_plan"))
 
 
 def nest_variables(variables: DataFrame) -> DataFrame:
@@ -107,7 +113,8 @@ def nest(usage: DataFrame, variables: DataFrame, plans: DataFrame, prices: Seque
     """
     ids = usage.select(F.col("id").alias("usage_id"))
     own_plans = backfill_plans(plans.join(ids, "usage_id", "left_semi"), usage, prices)
-    nested_plans = first_plans(own_plans).withColumnRenamed("usage_id", "_plan_usage")
+    plan = F.when(F.col("explain_plan.id").isNotNull(), F.col("explain_plan"))
+    nested_plans = first_plans(own_plans).select(F.col("usage_id").alias("_plan_usage"), plan.alias("explain_plan"))
     nested_parts = nest_variables(variables.join(ids, "usage_id", "left_semi")).withColumnRenamed(
         "usage_id", "_part_usage"
     )
