@@ -2,10 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tokenledger import Config, assemble, construct, count_tokens, explode_history, guard, to_requests
-from tokenledger.operators.guard import PII_REJECTED, SECURITY_NOTE, THREAT_REJECTED, action_rows, checks_run
+from tokenledger.operators.guard import PII_REJECTED, SECURITY_NOTE, THREAT_REJECTED, action_rows, checks_run, pii_scanned
 
 KEY = "sk-" + "1234567890abcdef" * 2
 SCHEMA = "usage_id string, position int, name string, content string"
@@ -45,6 +46,22 @@ def test_pii_policies(spark):
     assert refused["pii_hits"].count() == 2  # findings of a refused prompt are kept
 
 
+def test_policies_over_known_findings_scan_no_text(spark):
+    rows = pii_parts(spark).unionByName(frame(spark, ("u3", 0, "context", None), (None, 0, "context", "call 206-555-0143, a@b.example")))
+    parts = pii_scanned(rows)
+    for action in ("mask", "warn", "reject"):
+        cfg = Config(formatting=("pii",), security=(), pii_action=action)
+        fresh, known = guard(rows, cfg), guard(parts, cfg, staged=False, known_pii=True)
+        for name in fresh:
+            assert known[name].columns == fresh[name].columns
+            assert sorted(map(str, known[name].collect())) == sorted(map(str, fresh[name].collect())), (action, name)
+        text = known["actions"]._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" not in text and "regexp" not in text
+    for cfg in (Config(security_action="mask"), Config(skip_history=True)):
+        with pytest.raises(ValueError):
+            guard(parts, cfg, known_pii=True)
+
+
 def test_action_json(spark):
     done = guard(pii_parts(spark), Config(formatting=("pii",)))
     details = [json.loads(r.details) for r in action_rows(done["actions"]).where("variable_name = 'user_query'").collect()]

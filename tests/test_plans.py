@@ -52,3 +52,8 @@ def test_the_first_plan_computes_only_what_is_read(spark, sf_dir):
     text = queries.QUERIES["first_plans"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     for unread in ("mce_alternatives", "detected_issues", "variable_analysis"):
         assert unread not in text
+
+
+def test_the_policies_share_one_scan_of_the_texts(spark, sf_dir):
+    text = queries.QUERIES["pii_policy"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in text and "regexp" not in text
